@@ -8,8 +8,11 @@ a register with probability sum(min counts) / sum(max counts).  Points are made
 by which all registers are filled, which takes about m ln m points a text instead of m for each shingle.
 
 Candidates share a band; the multiset overlap of the whole texts decides.  No group is ever expanded into all pairs:
-each band bucket first links its members to its smallest node, and only where a bucket still holds several components
-are members of *different* components compared, until none is left uncompared.
+first every text is compared with the most central text of its buckets (the one that meets most others), which joins
+nearly all of a group; then with the central texts of its other buckets, where components still differ.  Only buckets
+that still hold several components are compared to the end, in blocks of BLOCK x BLOCK texts inside tasks that send out
+nothing but links: pairs of one component, pairs met in an earlier band and pairs whose signatures differ too much are
+skipped.
 
 Defined results: null text counts as empty; a text without words is linked only to equal texts; a text of one to four
 words is one shingle; a null doc_id takes part and is never the class id unless the whole class has none; repeated
@@ -31,11 +34,10 @@ from .shingles import U, counted, mix, slices
 WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 28  # a pair at 0.8 shares no band with probability (1 - 0.8**5)**28 = 1.5e-5
 REGISTERS = ROWS * BANDS
-#: Fewest equal registers (of 140) for a pair to be verified in the later rounds: at 0.8 the expected number is 112, and
-#: this is 6.3 standard deviations below.
-AGREEING = 82
-#: Buckets with several components and up to so many members are compared at once; larger ones by rounds of leaders.
-AT_ONCE = 64
+#: Fewest equal registers (of 140) for a pair to be verified inside a block: at 0.8 the expected number is 112, and this
+#: is 4.4 standard deviations below.
+AGREEING = 91
+BLOCK = 256
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -129,25 +131,46 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("ga", "gb"))
-            yield batch.filter(pa.array((x == y).sum(axis=1) >= AGREEING)).select(["a", "b"])
+def _compared(t: pa.Table) -> pa.Table:
+    """The links that join different components within one block of a bucket."""
+    comp, node = t["comp"].to_numpy().copy(), t["node"].to_numpy()
+    mine, key = t["chunk"].to_numpy(), t["key"][0].as_py()
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    bands = np.array(t["bands"].combine_chunks().flatten().to_numpy()).reshape(-1, BANDS)
+    tags = np.frombuffer(b"".join(t["tag"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    at = int(np.flatnonzero(bands[0] == key)[0])
+    texts, known, links = t["text"], {}, []
+
+    def bag(k: int) -> tuple:
+        if k not in known:
+            known[k] = counted([texts[k].as_py().encode("utf-8", "replace")], WIDTH)[1:]
+        return known[k]
+
+    for x in np.flatnonzero(mine == i):
+        other = np.flatnonzero((mine == j) & (comp != comp[x]) & ((i != j) | (node > node[x])))
+        if len(other):
+            other = other[(tags[other] == tags[x]).sum(axis=1) >= AGREEING]
+            other = other[~(bands[other, :at] == bands[x, :at]).any(axis=1)]
+        for y in other:
+            if comp[y] != comp[x] and overlap(bag(x), bag(y)) >= SIMILARITY:
+                links.append((node[x], node[y]))
+                comp[comp == comp[y]] = comp[x]
+    a, b = zip(*links) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links, class_size) for every row of ``docs(doc_id, text)``.
-
-    class_id is the smallest doc_id of the class; n_links counts the verified links of the row's text to other texts.
-    """
+    """(doc_id, class_id, class_size) for every row of ``docs(doc_id, text)``; class_id is the class's smallest doc_id."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     sig = cut(rows.mapInArrow(_signatures, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>, tag binary"))
     reps = cut(sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     one = _one_of_each(sig, reps)
     members = one.select("node", F.explode("bands").alias("key"))
-    low = members.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("size")).where("size > 1")
-    shared = cut(members.join(low, "key").select("node", "key", "low", "size"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = cut(members.join(sizes, "key"))
+    met = met.join(met.groupBy("node").agg(F.sum("size").alias("score")), "node")
+    central = met.groupBy("key").agg(F.max(F.struct("score", "node")).getField("node").alias("low"))
+    shared = cut(met.join(central, "key").select("node", "key", "low", "size"))
     # The texts that can be linked at all, once; copies were dropped before.
     linked = shared.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id"))
     texts = cut(rows.join(linked.withColumnRenamed("doc_id", "rep"), "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text"))
@@ -163,37 +186,27 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         p = pairs.join(ca, "a", "left").join(cb, "b", "left")
         return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    star = shared.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    edges = verify(star.groupBy("a").agg(F.min("b").alias("b")))
+    star = shared.where("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("times"))
+    star = cut(star)
+    best = star.groupBy("a").agg(F.max(F.struct("times", "b")).getField("b").alias("b"))
+    edges = verify(best)
     comps = cut(connected_components(edges))
-    tried = star.distinct().join(star.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_anti")
-    edges = cut(edges.unionByName(verify(across(tried, comps))))
+    edges = cut(edges.unionByName(verify(across(star.join(best, ["a", "b"], "left_anti").select("a", "b"), comps))))
     comps = cut(connected_components(edges))
-    leaders = AT_ONCE
-    while True:
-        placed = shared.join(comps, "node", "left").select("key", "node", "low", "size", F.coalesce("comp", "node").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        # Where a bucket was seen to its end before, all pairs across its components are known to be no links.
-        open_ = placed.where((F.col("size") > 2) & ((F.col("size") > leaders // 8) | F.lit(leaders == AT_ONCE))).join(mixed.select("key"), "key", "left_semi")
-        share = F.col("size") <= leaders
-        drawn = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(1 << 30)) * F.col("size") < F.lit(leaders << 30)
-        heads = open_.where(share | drawn).select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-        found = open_.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), "size").join(heads, "key").where("ca <> cb")
-        pairs = cut(found.where((F.col("size") > leaders) | (F.col("a") > F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        if not pairs.take(1):
-            break
-        tags = one.select("node", "tag")
-        p = pairs.join(tags.select(F.col("node").alias("a"), F.col("tag").alias("ga")), "a").join(tags.select(F.col("node").alias("b"), F.col("tag").alias("gb")), "b")
-        more = verify(p.select("a", "b", "ga", "gb").mapInArrow(_alike, "a long, b long"))
-        edges = cut(edges.unionByName(more).distinct())
-        comps = cut(connected_components(edges))
-        leaders *= 8
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_text = reps.join(comps, "node", "left").join(ends, "node", "left")
-    of_text = of_text.select("node", "rep", "copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    placed = shared.where("size > 2").join(comps, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+    open_ = placed.join(mixed, "key", "left_semi").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    # A text goes to the blocks of its chunk with every chunk of the bucket, its own included.
+    dealt = open_.select("key", "node", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("key", "node", "comp", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    loaded = dealt.join(one, "node").join(texts, "node")
+    more = loaded.groupBy("key", "i", "j").applyInArrow(_compared, "a long, b long")
+    comps = cut(connected_components(cut(edges.unionByName(more.distinct()))))
+    of_text = reps.join(comps, "node", "left").select("node", "rep", "copies", F.coalesce("comp", "node").alias("comp"))
     classes = of_text.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = of_text.join(classes, "comp").select("node", "class_id", "n_links", "class_size")
-    return sig.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links", "class_size")
+    named = of_text.join(classes, "comp").select("node", "class_id", "class_size")
+    return sig.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size")
 
 
 def _one_of_each(sig: DataFrame, reps: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from .base import cut
 CAPACITY, CLOSING = 4096, 1
 LARGE_SHARE, GROUPS = 3, 100  # at most 2 large pieces fit a sequence: 100 sizes have at most C(102, 2) = 5,151 configurations
 SALTS = 64
-CACHED = 600_000  # words whose ids a Python worker remembers; it starts anew beyond
+CACHED = 1_500_000  # words whose ids a Python worker remembers; it starts anew beyond
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -50,8 +50,8 @@ def _encoder(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tok, known = _tokenizers[path]
+        _tokenizers[path] = (Tokenizer.from_file(path), _Known())
+    tok = _tokenizers[path][0]
     model = tok.model
     shown = _byte_letters()
 
@@ -65,32 +65,29 @@ def _encoder(path: str):
         core = word.rstrip(".,;:!?")
         if core.isascii() and core.isalpha() and len(word) - len(core) < 2:
             parts = [core, word[len(core) :]]
-            out = raw([t.id for p in parts if p for t in model.tokenize("".join(map(shown.__getitem__, p.encode())))])
-        else:
-            out = whole(word)
-        known[word] = out
-        return out
+            return raw([t.id for p in parts if p for t in model.tokenize("".join(map(shown.__getitem__, p.encode())))])
+        return whole(word)
+
+    known = _tokenizers[path][1]
+    known.learn = learn
 
     def encode(text: str) -> bytes:
-        if not text.isascii() and ("Σ" in text or "İ" in text) or "<|" in text or not text.isprintable() and _odd(text):
+        # Four separators split words in Python only; two capitals have lower-case forms that depend on their place.
+        if any(c in text for c in "\x1c\x1d\x1e\x1f") or "<|" in text or not text.isascii() and ("Σ" in text or "İ" in text):
             return whole(text)
         if len(known) > CACHED:
             known.clear()
-        words = text.lower().split()
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            return b"".join([known.get(w) or learn(w) for w in words])
+        return b"".join(map(known.__getitem__, text.lower().split()))
 
     return encode
 
 
-def _odd(text: str) -> bool:
-    """Whether it holds separators or control characters besides the usual white space."""
-    return not text.translate(_PLAIN).isprintable()
+class _Known(dict):
+    """Ids of words; an unknown word is learnt on the way."""
 
-
-_PLAIN = {9: 32, 10: 32, 13: 32}
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = self.learn(word)
+        return out
 
 
 def _byte_letters() -> dict[int, str]:
