@@ -1,17 +1,602 @@
-"""All registered queries on the driver's tables."""
+"""All registered queries on the driver's tables, each with DuckDB SQL that gives the same rows.
+
+``documents`` in English train the models, ``benchmark`` is held against them, and ``events`` are a tagged corpus: a
+user's events in order are a sentence, the event type is the word and the value's size class its tag.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import depparse, evaluation, lm, pcfg, segmentation, spelling, tagging
+from ..operators.corpus import ordered_prefix, sentences, table, vocabulary
 
 FLAGSHIP = "nonword_correct_b"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- inputs, and the same in SQL ---------------------------------------------------------------------------------------
+
+
+def _english(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences(table(spark, sf, "documents").where("lang = 'en'"))
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences(table(spark, sf, "benchmark"), "item_id")
+
+
+def _plain_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    return vocabulary(_english(spark, sf)).where(r"w rlike '^[a-z]{3,}$'")
+
+
+def _unknown(spark: SparkSession, sf: str) -> DataFrame:
+    seen = vocabulary(_asked(spark, sf)).where(r"w rlike '^[a-z]{4,}$'")
+    return seen.join(vocabulary(_english(spark, sf)), "w", "left_anti").select(F.col("w").alias("q"))
+
+
+def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+    """(sent, tokens): events by user, in the order of event_id."""
+    e = table(spark, sf, "events").select("user_id", "event_id", F.col("event_type").alias("form"), F.concat(F.lit("T"), (F.floor(F.coalesce("value", F.lit(0.0))) % 4).cast("string")).alias("tag"))
+    rows = F.array_sort(F.collect_list(F.struct("event_id", "form", "tag")))
+    return e.groupBy(F.col("user_id").alias("sent")).agg(F.transform(rows, lambda x: F.struct(x["form"].alias("form"), x["tag"].alias("tag"))).alias("tokens"))
+
+
+def _lines(name: str, key: str, where: str = "TRUE") -> str:
+    return rf"""(SELECT {key}, line, w FROM (SELECT {key}, i AS line, regexp_extract_all(lower(parts[i]), '\p{{L}}+') AS w FROM
+    (SELECT {key}, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT {key}, string_split(text, chr(10)) AS parts FROM {name} WHERE {where}))) WHERE len(w) > 0)"""
+
+
+_EN = f"en AS {_lines('documents', 'doc_id', chr(108) + 'ang = ' + chr(39) + 'en' + chr(39))}"
+_ASK = f"ask AS {_lines('benchmark', 'item_id')}"
+_VOC = "voc AS (SELECT w, count(*) AS c FROM (SELECT unnest(w) AS w FROM en) GROUP BY w)"
+_UNI = "uni AS (SELECT w, count(*) AS c FROM (SELECT unnest(['<s>'] || w || ['</s>']) AS w FROM en) GROUP BY w)"
+_UNIT = "unit AS (SELECT w, count(*) AS c FROM (SELECT unnest(w || ['</s>']) AS w FROM en) GROUP BY w)"
+
+
+def _ngrams(src: str, n: int, opened: int, keys: str = "") -> str:
+    pad = "[" + ", ".join(["'<s>'"] * opened) + "]"
+    cols = ", ".join(f"p[i + {k}] AS w{k + 1}" for k in range(n))
+    keep = f"{keys}, " if keys else ""
+    return f"(SELECT {keep}{cols} FROM (SELECT {keep}p, unnest(range(1, len(p) - {n} + 2)) AS i FROM (SELECT {keep}{pad} || w || ['</s>'] AS p FROM {src})))"
+
+
+_BI = f"bi AS (SELECT w1, w2, count(*) AS c FROM {_ngrams('en', 2, 1)} GROUP BY ALL)"
+_TRI = f"tri AS (SELECT w1, w2, w3, count(*) AS c FROM {_ngrams('en', 3, 2)} GROUP BY ALL)"
+_PVOC = "pv AS (SELECT w, c FROM voc WHERE regexp_full_match(w, '[a-z]{3,}'))"
+_UNK = "unk AS (SELECT DISTINCT w AS q FROM (SELECT unnest(w) AS w FROM ask) WHERE regexp_full_match(w, '[a-z]{4,}') AND w NOT IN (SELECT w FROM voc))"
+_CAND = "cand AS (SELECT q, w AS word, c FROM unk JOIN pv ON damerau_levenshtein(q, w) <= 1)"
+_TAG = """tok AS (SELECT user_id AS sent, event_type AS form, 'T' || CAST(floor(coalesce(value, 0.0)) AS BIGINT) % 4 AS tag,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
+_TRANS = """tc AS (SELECT t1, t2, tag AS t3, count(*) AS c FROM (SELECT tag, coalesce(lag(tag, 2) OVER o, '<s>') AS t1, coalesce(lag(tag, 1) OVER o, '<s>') AS t2 FROM tok WINDOW o AS (PARTITION BY sent ORDER BY pos)) GROUP BY ALL)"""
+_DEL = "list_transform(range(1, length({w}) + 1), lambda i: substr({w}, 1, i - 1) || substr({w}, i + 1))"
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts[:-1]) + "\n" + parts[-1]
+
+
+# --- text --------------------------------------------------------------------------------------------------------------
+
+
+@query(_with(_EN, _VOC, "SELECT w, c FROM voc"))
+def token_counts(spark, sf):
+    return vocabulary(_english(spark, sf))
+
+
+@query(r"""SELECT item_id, t, regexp_replace(t, '[^\p{L}\p{N}]', '', 'g') AS core, regexp_replace(t, '[\p{L}\p{N}]', '', 'g') AS tail, lower(regexp_replace(t, '[^\p{L}\p{N}_]', '', 'g')) AS clean
+FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^ \n\t]+')) AS t FROM benchmark)""")
+def alnum_core_tail(spark, sf):
+    t = table(spark, sf, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n\t]+"), 0)).alias("t"))
+    return t.select("item_id", "t", T.alnum_core(F.col("t")).alias("core"), T.tail(F.col("t")).alias("tail"), T.context_clean(F.col("t")).alias("clean"))
+
+
+@query("SELECT doc_id, CASE WHEN rn <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM documents)")
+def train_test_split(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    head = ordered_prefix(docs, "doc_id", 0.8).select("doc_id", F.lit("train").alias("part"))
+    return head.unionByName(docs.join(head, "doc_id", "left_anti").select("doc_id", F.lit("test").alias("part")))
+
+
+@query(_with(_EN, _VOC, _ASK, "SELECT w, count(*) AS n, w NOT IN (SELECT w FROM voc) AS oov FROM (SELECT unnest(w) AS w FROM ask) GROUP BY w"))
+def vocab_oov_flags(spark, sf):
+    asked = vocabulary(_asked(spark, sf)).withColumnRenamed("c", "n")
+    return asked.join(vocabulary(_english(spark, sf)).select("w", F.lit(1).alias("k")), "w", "left").select("w", "n", F.col("k").isNull().alias("oov"))
+
+
+@query(r"SELECT item_id, s FROM (SELECT item_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.?!]+[.?!]*'), lambda x: trim(x, E' \n\t')), lambda x: x <> '')) AS s FROM benchmark WHERE NOT regexp_matches(text, '[.?!][^ \n\t.?!]'))")
+def sentence_split(spark, sf):
+    b = table(spark, sf, "benchmark").where(r"NOT text rlike '[.?!][^ \n\t.?!]'".replace("\\n", "\n").replace("\\t", "\t"))
+    return b.select("item_id", F.explode(pcfg.split_sentences(F.col("text"))).alias("s"))
+
+
+# --- language models -----------------------------------------------------------------------------------------------------
+
+
+@query(_with(_EN, _VOC, "SELECT w, c, round((c + 1) / (n + v), 12) AS p FROM voc, (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM voc)"))
+def unigram_probs(spark, sf):
+    return lm.unigram_probabilities(_english(spark, sf)).withColumn("p", F.round("p", 12))
+
+
+@query(_with(_EN, _BI, "SELECT * FROM bi"))
+def bigram_counts(spark, sf):
+    return lm.counts(_english(spark, sf), 2, 1)
+
+
+@query(_with(_EN, _TRI, "SELECT * FROM tri"))
+def trigram_counts(spark, sf):
+    return lm.counts(_english(spark, sf), 3, 2)
+
+
+@query(_with(_EN, _BI, "SELECT w1, CAST(sum(c) AS BIGINT) AS total FROM bi GROUP BY w1"))
+def bigram_context_totals(spark, sf):
+    return lm.counts(_english(spark, sf), 2, 1).groupBy("w1").agg(F.sum("c").alias("total"))
+
+
+_ADDK = "SELECT {cols}, ln((coalesce(bi.c, 0) + 0.05) / (coalesce(uni.c, 0) + 0.05 * (SELECT count(*) FROM uni))) AS logp FROM {src} x LEFT JOIN bi ON bi.w1 = x.w1 AND bi.w2 = x.w2 LEFT JOIN uni ON uni.w = x.w1"
+
+
+@query(_with(_EN, _ASK, _UNI, _BI, f"x0 AS (SELECT DISTINCT w1, w2 FROM {_ngrams('ask', 2, 1)})", f"SELECT w1, w2, round(logp, 6) AS logp FROM ({_ADDK.format(cols='x.w1, x.w2', src='x0')})"))
+def bigram_addk_score(spark, sf):
+    pairs = _asked(spark, sf).select(F.inline(lm.grams(2, 1))).distinct()
+    return lm.addk_scores(pairs, _english(spark, sf)).select("w1", "w2", F.round("logp", 6).alias("logp"))
+
+
+@query(
+    _with(_EN, _ASK, _UNIT, _BI, _TRI, f"x0 AS (SELECT DISTINCT w1, w2, w3 FROM {_ngrams('ask', 3, 2)})",
+    """SELECT w1, w2, w3, round(ln(0.60 * CASE WHEN c12 > 0 THEN c3 / c12 ELSE 0 END + 0.25 * CASE WHEN x2 > 0 THEN c23 / x2 ELSE 0 END + 0.14 * cu / t + 0.01 / v)
+      - CASE WHEN cu = 0 AND w3 <> '</s>' THEN 3.0 + 1.2 * length(w3) ELSE 0 END, 6) AS logp FROM (
+      SELECT x.w1, x.w2, x.w3, coalesce(tri.c, 0) AS c3, b1.c AS c12, coalesce(b2.c, 0) AS c23, x2.n AS x2, coalesce(unit.c, 0) AS cu,
+        (SELECT sum(c) FROM unit) AS t, (SELECT count(*) FROM unit WHERE w <> '</s>') AS v FROM x0 x
+      LEFT JOIN tri ON tri.w1 = x.w1 AND tri.w2 = x.w2 AND tri.w3 = x.w3 LEFT JOIN bi b1 ON b1.w1 = x.w1 AND b1.w2 = x.w2
+      LEFT JOIN bi b2 ON b2.w1 = x.w2 AND b2.w2 = x.w3 LEFT JOIN (SELECT w1, sum(c) AS n FROM bi GROUP BY w1) x2 ON x2.w1 = x.w2 LEFT JOIN unit ON unit.w = x.w3)""")
+)
+def trigram_interp_score(spark, sf):
+    triples = _asked(spark, sf).select(F.inline(lm.grams(3, 2))).distinct()
+    return lm.interpolated_scores(triples, _english(spark, sf)).withColumn("logp", F.round("logp", 6))
+
+
+@query(_with(_EN, _UNI, _TRI, "SELECT tri.w1, tri.w2, tri.w3, round(ln((c + 1) / (n + (SELECT count(*) FROM uni))), 6) AS logp FROM tri JOIN (SELECT w1, w2, CAST(sum(c) AS BIGINT) AS n FROM tri GROUP BY ALL) k ON k.w1 = tri.w1 AND k.w2 = tri.w2"))
+def trigram_laplace_score(spark, sf):
+    return lm.laplace_scores(_english(spark, sf)).withColumn("logp", F.round("logp", 6))
+
+
+_SENT = f"SELECT item_id, line, n, sum(logp) AS logp FROM ({_ADDK.format(cols='x.item_id, x.line, x.n', src=_ngrams('(SELECT *, len(w) AS n FROM ask)', 2, 1, 'item_id, line, n'))}) GROUP BY ALL"
+
+
+@query(_with(_EN, _ASK, _UNI, _BI, f"SELECT item_id, line, n, round(logp, 5) AS logp FROM ({_SENT})"))
+def sentence_logprob(spark, sf):
+    return lm.sentence_scores(_asked(spark, sf), ["item_id", "line"], _english(spark, sf)).select("item_id", "line", F.col("n").cast("long"), F.round("logp", 5).alias("logp"))
+
+
+@query(_with(_EN, _ASK, _UNI, _BI, f"SELECT item_id, line, round(CASE WHEN logp / n > -20 THEN exp(-logp / n) ELSE 9999.0 END, 3) AS perplexity FROM ({_SENT})"))
+def sentence_perplexity(spark, sf):
+    return lm.sentence_scores(_asked(spark, sf), ["item_id", "line"], _english(spark, sf)).select("item_id", "line", F.round("perplexity", 3).alias("perplexity"))
+
+
+@query(_with(_EN, _ASK, _UNI, _BI, f"SELECT item_id, line, round(logp / n, 5) AS average FROM ({_SENT}) WHERE n >= 2 AND logp / n < -7.5"))
+def perplexity_alerts(spark, sf):
+    s = lm.sentence_scores(_asked(spark, sf), ["item_id", "line"], _english(spark, sf)).withColumn("average", F.col("logp") / F.col("n"))
+    return s.where("n >= 2 AND average < -7.5").select("item_id", "line", F.round("average", 5).alias("average"))
+
+
+# --- spelling ------------------------------------------------------------------------------------------------------------
+
+
+@query(_with(_EN, _VOC, _ASK, _UNK, """SELECT DISTINCT q, e FROM (
+  SELECT q, substr(q, 1, i - 1) || substr(q, i + 1) AS e FROM unk, range(1, 60) r(i) WHERE i <= length(q)
+  UNION ALL SELECT q, substr(q, 1, i - 1) || substr(q, i + 1, 1) || substr(q, i, 1) || substr(q, i + 2) FROM unk, range(1, 60) r(i) WHERE i < length(q)
+  UNION ALL SELECT q, substr(q, 1, i - 1) || chr(c) || substr(q, i + 1) FROM unk, range(1, 60) r(i), range(97, 123) l(c) WHERE i <= length(q)
+  UNION ALL SELECT q, substr(q, 1, i - 1) || chr(c) || substr(q, i) FROM unk, range(1, 60) r(i), range(97, 123) l(c) WHERE i <= length(q) + 1)""").replace("chr(c)", "chr(CAST(c AS INTEGER))"))
+def edit1_candidates(spark, sf):
+    return _unknown(spark, sf).select("q", F.explode(T.edits1(F.col("q"))).alias("e"))
+
+
+@query(_with(_EN, _VOC, _PVOC, f"SELECT DISTINCT variant, word FROM (SELECT w AS word, unnest([w] || {_DEL.format(w='w')}) AS variant FROM pv)"))
+def symdel_index(spark, sf):
+    return spelling.index(_plain_vocab(spark, sf))
+
+
+@query(_with(_EN, _VOC, _PVOC, _ASK, _UNK, _CAND, "SELECT q, word FROM cand"))
+def symdel_candidates(spark, sf):
+    return spelling.candidates_b(_unknown(spark, sf), _plain_vocab(spark, sf))
+
+
+_BEST = "SELECT q, arg_min(word, (-c, word)) AS correction, count(*) AS n_candidates FROM cand GROUP BY q"
+
+
+@query(_with(_EN, _VOC, _PVOC, _ASK, _UNK, _CAND, _BEST))
+def nonword_correct_a(spark, sf):
+    v = _plain_vocab(spark, sf)
+    return spelling.best(spelling.candidates_a(_unknown(spark, sf), v), v)
+
+
+@query(_with(_EN, _VOC, _PVOC, _ASK, _UNK, _CAND, _BEST))
+def nonword_correct_b(spark, sf):
+    v = _plain_vocab(spark, sf)
+    return spelling.best(spelling.candidates_b(_unknown(spark, sf), v), v)
+
+
+@query(_with(_EN, _VOC, _PVOC, _ASK, _UNK, _CAND, "SELECT (SELECT count(*) FROM unk) AS n_queries, count(*) AS n_a, count(*) AS n_b, round(count(*) / (SELECT count(*) FROM unk), 9) AS average FROM cand"))
+def candidate_set_size(spark, sf):
+    v, q = _plain_vocab(spark, sf), _unknown(spark, sf)
+    a, b = (f(q, v).agg(F.count("*").alias(n)) for f, n in ((spelling.candidates_a, "n_a"), (spelling.candidates_b, "n_b")))
+    one = F.broadcast
+    return q.agg(F.count("*").alias("n_queries")).join(one(a)).join(one(b)).withColumn("average", F.round(F.try_divide("n_b", "n_queries"), 9))
+
+
+_WRONG = f"""wrong AS (SELECT w, arg_min(wrong, rank) AS wrong FROM (
+  SELECT w, i AS rank, substr(w, 1, i - 1) || substr(w, i + 1) AS wrong FROM pv, range(1, 60) r(i) WHERE i <= length(w)
+  UNION ALL SELECT w, 1000 + 26 * i + l.c - 97, substr(w, 1, i - 1) || chr(CAST(l.c AS INTEGER)) || substr(w, i + 1) FROM pv, range(1, 60) r(i), range(97, 123) l(c) WHERE i <= length(w))
+  WHERE wrong NOT IN (SELECT w FROM pv) GROUP BY w)"""
+
+
+@query(_with(_EN, _VOC, _PVOC, _WRONG, "SELECT w, wrong FROM wrong"))
+def nonword_corruption(spark, sf):
+    return spelling.corrupted(_plain_vocab(spark, sf))
+
+
+def _frequent(v: DataFrame) -> DataFrame:
+    return v.where("c >= 20")
+
+
+@query(_with(_EN, _VOC, "pv AS (SELECT w, c FROM voc WHERE regexp_full_match(w, '[a-z]{3,}') AND c >= 20)", _WRONG, """SELECT count(*) AS n, round(avg(CASE WHEN got = w THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM (
+  SELECT wrong.w, arg_min(pv.w, (-pv.c, pv.w)) AS got FROM wrong LEFT JOIN pv ON damerau_levenshtein(wrong, pv.w) <= 1 GROUP BY wrong.w)"""))
+def spelling_accuracy(spark, sf):
+    v = _frequent(_plain_vocab(spark, sf))
+    wrong = spelling.corrupted(v)
+    found = spelling.best(spelling.candidates_b(wrong.select(F.col("wrong").alias("q")).distinct(), v), v)
+    both = wrong.join(found, wrong["wrong"] == found["q"], "left")
+    return both.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce((F.col("correction") == F.col("w")).cast("double"), F.lit(0.0))), 9).alias("accuracy"))
+
+
+@query(_with(_EN, _VOC, "pv AS (SELECT w, c FROM voc WHERE regexp_full_match(w, '[a-z]{3,}') AND c >= 20)", """SELECT w, arg_min(other, (substr(md5('7:' || w || ':' || other), 1, 8), other)) AS wrong FROM (SELECT a.w, b.w AS other FROM pv a JOIN pv b ON a.w <> b.w AND damerau_levenshtein(a.w, b.w) <= 1) GROUP BY w"""))
+def realword_corruption(spark, sf):
+    v = _frequent(_plain_vocab(spark, sf))
+    pairs = spelling.candidates_b(v.select(F.col("w").alias("q")), v).where("q <> word")
+    order = F.struct(F.substring(F.md5(F.concat_ws(":", F.lit("7"), "q", "word").cast("binary")), 1, 8), "word")
+    return pairs.groupBy(F.col("q").alias("w")).agg(F.min_by("word", order).alias("wrong"))
+
+
+_REAL = """pos AS (SELECT item_id, line, i AS pos, w[i] AS w, coalesce(w[i - 1], '<s>') AS prev, coalesce(w[i + 1], '</s>') AS next FROM (SELECT item_id, line, w, unnest(range(1, len(w) + 1)) AS i FROM ask)),
+pv AS (SELECT w, c FROM voc WHERE regexp_full_match(w, '[a-z]{3,}') AND c >= 20),
+trial AS (SELECT pos.*, pv.w AS cand FROM pos JOIN pv ON damerau_levenshtein(pos.w, pv.w) <= 1 WHERE pos.w IN (SELECT w FROM pv) AND pos.w NOT IN (%s)),
+sized AS (SELECT count(*) AS v FROM uni),
+scored AS (SELECT t.*, round(ln((coalesce(l.c, 0) + 0.05) / (coalesce(ul.c, 0) + 0.05 * v)) + ln((coalesce(r.c, 0) + 0.05) / (coalesce(ur.c, 0) + 0.05 * v)), 9) AS s FROM trial t, sized
+  LEFT JOIN bi l ON l.w1 = t.prev AND l.w2 = t.cand LEFT JOIN bi r ON r.w1 = t.cand AND r.w2 = t.next LEFT JOIN uni ul ON ul.w = t.prev LEFT JOIN uni ur ON ur.w = t.cand)""" % ", ".join(f"'{w}'" for w in T.PROTECTED)
+
+
+@query(_with(_EN, _VOC, _ASK, _UNI, _BI, _REAL, "SELECT item_id, line, pos, w, correction, round(gain, 5) AS gain FROM (SELECT item_id, line, pos, w, arg_min(cand, (-s, cand)) AS correction, max(s) - max(CASE WHEN cand = w THEN s END) AS gain FROM scored GROUP BY ALL) WHERE gain >= 0.5"))
+def realword_correct_independent(spark, sf):
+    out = spelling.realword_independent(_asked(spark, sf), ["item_id", "line"], _english(spark, sf), _frequent(_plain_vocab(spark, sf)))
+    return out.withColumn("gain", F.round("gain", 5))
+
+
+@query()
+def realword_correct(spark, sf):
+    return spelling.realword_serial(_asked(spark, sf), _english(spark, sf), _frequent(_plain_vocab(spark, sf)))
+
+
+@query("""SELECT item_id, t, CASE WHEN upper(t) = t AND lower(t) <> t THEN upper('straw') WHEN upper(f) = f AND lower(f) <> f THEN 'Straw' ELSE 'straw' END AS restored
+FROM (SELECT item_id, t, substr(t, 1, 1) AS f FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^ \n\t]+')) AS t FROM benchmark))""".replace("\\n", "\n").replace("\\t", "\t"))
+def case_restore(spark, sf):
+    t = table(spark, sf, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[^ \n\t]+"), 0)).alias("t"))
+    return t.select("item_id", "t", T.restore_case(F.lit("straw"), F.col("t")).alias("restored"))
+
+
+@query(_with(_EN, _VOC, _PVOC, _ASK, _UNK, _CAND, f"best AS ({_BEST})", "SELECT item_id, line, array_to_string(list_transform(w, lambda x: coalesce(m.map[x][1], x)), ' ') AS corrected FROM ask, (SELECT map(list(q ORDER BY q), list([correction] ORDER BY q)) AS map FROM best) m"))
+def sentence_pipeline(spark, sf):
+    v = _plain_vocab(spark, sf)
+    fixed = spelling.best(spelling.candidates_b(_unknown(spark, sf), v), v).select(F.col("q").alias("x"), "correction")
+    rows = _asked(spark, sf).select("item_id", "line", F.posexplode("w").alias("pos", "x")).join(fixed, "x", "left")
+    said = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("correction", "x").alias("y"))))
+    return rows.groupBy("item_id", "line").agg(F.array_join(F.transform(said, lambda s: s["y"]), " ").alias("corrected"))
+
+
+# --- tagging -------------------------------------------------------------------------------------------------------------
+
+
+@query(_with(_TAG, _TRANS, "SELECT t1, t2, t3, round(ln((c + 0.1) / (n + 0.1 * (SELECT count(DISTINCT tag) FROM tok))), 6) AS logp FROM tc JOIN (SELECT t1, t2, CAST(sum(c) AS BIGINT) AS n FROM tc GROUP BY ALL) k USING (t1, t2)"))
+def tag_transitions(spark, sf):
+    return tagging.transitions(_tagged(spark, sf)).withColumn("logp", F.round("logp", 6))
+
+
+@query(_with(_TAG, """SELECT tag, round(ln((s + 0.1) / (sents + 0.1 * k)), 6) AS start_logp, round(ln((e + 0.1) / (n + 0.2)), 6) AS end_logp FROM (
+  SELECT tag, count(*) AS n, count(*) FILTER (pos = 1) AS s, count(*) FILTER (pos = n) AS e FROM tok GROUP BY tag), (SELECT count(DISTINCT sent) AS sents, count(DISTINCT tag) AS k FROM tok)"""))
+def start_end_probs(spark, sf):
+    return tagging.start_end(_tagged(spark, sf)).select("tag", F.round("start_logp", 6).alias("start_logp"), F.round("end_logp", 6).alias("end_logp"))
+
+
+@query(_with(_TAG, "SELECT lower(form) AS w, tag, round(ln(count(*) / any_value(m)), 6) AS logp FROM (SELECT form, tag, count(*) OVER (PARTITION BY tag) AS m FROM tok) GROUP BY 1, 2"))
+def emissions(spark, sf):
+    return tagging.emissions(_tagged(spark, sf)).withColumn("logp", F.round("logp", 6))
+
+
+@query(_with(_TAG, "SELECT w, arg_min(tag, (-c, tag)) AS best FROM (SELECT lower(form) AS w, tag, count(*) AS c FROM tok GROUP BY 1, 2) GROUP BY w"))
+def mft_baseline(spark, sf):
+    return tagging.most_frequent_tags(_tagged(spark, sf))
+
+
+@query(_with(_TAG, "best AS (SELECT w, arg_min(tag, (-c, tag)) AS best FROM (SELECT lower(form) AS w, tag, count(*) AS c FROM tok WHERE sent % 5 <> 0 GROUP BY 1, 2) GROUP BY w)", """SELECT count(*) AS n, round(avg(CASE WHEN best = tag THEN 1.0 ELSE 0.0 END), 9) AS accuracy, count(best) AS known,
+  round(avg(CASE WHEN best = tag THEN 1.0 ELSE 0.0 END) FILTER (best IS NOT NULL), 9) AS accuracy_known FROM tok LEFT JOIN best ON best.w = lower(form) WHERE sent % 5 = 0"""))
+def mft_accuracy_known_oov(spark, sf):
+    t = _tagged(spark, sf)
+    best = tagging.most_frequent_tags(t.where("sent % 5 <> 0"))
+    both = tagging.tokens(t.where("sent % 5 = 0")).join(best, "w", "left").withColumn("ok", F.coalesce((F.col("best") == F.col("tag")).cast("double"), F.lit(0.0)))
+    return both.agg(F.count("*").alias("n"), F.round(F.avg("ok"), 9).alias("accuracy"), F.count("best").alias("known"), F.round(F.avg(F.when(F.col("best").isNotNull(), F.col("ok"))), 9).alias("accuracy_known"))
+
+
+_FEAT = """list_filter(list_transform([1, 2, 3, 4], lambda k: CASE WHEN length({w}) > k THEN 'suf_' || right({w}, k) END) || list_transform([2, 3], lambda k: CASE WHEN length({w}) > k + 1 THEN 'pref_' || left({w}, k) END) || ['shape_all_lower'], lambda x: x IS NOT NULL)"""
+
+
+@query(_with(_EN, _VOC, _PVOC, f"SELECT w, unnest({_FEAT.format(w='w')}) AS feature FROM pv"))
+def morph_features(spark, sf):
+    return _plain_vocab(spark, sf).select("w", F.explode(T.word_features(F.col("w"))).alias("feature"))
+
+
+_SUFFIX = "CASE WHEN w LIKE '%ing' THEN 'V' WHEN w LIKE '%ed' THEN 'D' WHEN w LIKE '%ly' THEN 'R' ELSE 'N' END"
+_FW = f"fw AS (SELECT feature, tag, CAST(sum(CASE WHEN c <= 5 THEN 3 ELSE 1 END * c) AS BIGINT) AS weight FROM (SELECT unnest({_FEAT.format(w='w')}) AS feature, {_SUFFIX} AS tag, c FROM pv) GROUP BY 1, 2)"
+
+
+def _suffix_tagged(spark, sf) -> DataFrame:
+    """Plain English words, tagged by their ends; a sentence is a line."""
+    plain = _english(spark, sf).select("doc_id", "line", F.filter("w", lambda x: x.rlike("^[a-z]{3,}$")).alias("w"))
+    tag = lambda x: F.when(x.endswith("ing"), "V").when(x.endswith("ed"), "D").when(x.endswith("ly"), "R").otherwise("N")
+    return plain.select("doc_id", "line", F.transform("w", lambda x: F.struct(x.alias("form"), tag(x).alias("tag"))).alias("tokens"))
+
+
+@query(_with(_EN, _VOC, _PVOC, _FW, "SELECT feature, tag, weight FROM fw"))
+def feature_tag_weights(spark, sf):
+    return tagging.feature_weights(_suffix_tagged(spark, sf))
+
+
+@query(_with(_EN, _VOC, _PVOC, _ASK, _UNK, _FW, f"""SELECT q AS form, tt.tag, round(sum(ln((coalesce(fw.weight, 0) + 0.1) / (tt.total + 0.1 * tt.f))) / sqrt(count(*)), 6) AS logp FROM (SELECT q, unnest({_FEAT.format(w='q')}) AS feature FROM unk) a
+  JOIN (SELECT tag, sum(weight) AS total, (SELECT count(DISTINCT feature) FROM fw) AS f FROM fw GROUP BY tag) tt ON TRUE LEFT JOIN fw ON fw.feature = a.feature AND fw.tag = tt.tag GROUP BY 1, 2"""))
+def morph_logprob(spark, sf):
+    return tagging.morph_scores(_unknown(spark, sf).select(F.col("q").alias("form")), _suffix_tagged(spark, sf)).withColumn("logp", F.round("logp", 6))
+
+
+_AUG = """CASE tag WHEN 'NOUN' THEN CASE WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN 'NOUN-Pl' ELSE 'NOUN-Sg' END
+  WHEN 'VERB' THEN CASE WHEN w LIKE '%ed' THEN 'VERB-Past' WHEN w LIKE '%ing' THEN 'VERB-Prog' WHEN w LIKE '%s' THEN 'VERB-3Sg' ELSE tag END
+  WHEN 'ADJ' THEN CASE WHEN w LIKE '%er' THEN 'ADJ-Comp' WHEN w LIKE '%est' THEN 'ADJ-Sup' ELSE tag END ELSE tag END"""
+
+
+@query(_with(_EN, _VOC, _PVOC, f"SELECT w, tag, {_AUG} AS fine FROM pv, (SELECT unnest(['NOUN', 'VERB', 'ADJ', 'DET']) AS tag)"))
+def suffix_tags(spark, sf):
+    v = _plain_vocab(spark, sf).select("w", F.explode(F.array(*[F.lit(t) for t in ("NOUN", "VERB", "ADJ", "DET")])).alias("tag"))
+    return v.withColumn("fine", tagging.english_morph(F.col("w"), F.col("tag")))
+
+
+_FEATS = "CASE event_id % 3 WHEN 0 THEN 'Gender=Masc|Number=Plur' WHEN 1 THEN 'Case=Nom|Number=Sing' ELSE '_' END"
+
+
+@query(f"SELECT event_id, concat_ws('-', event_type, nullif(left(regexp_extract(f, '(?:^|\\|)Gender=([^|]*)', 1), 4), ''), nullif(left(regexp_extract(f, '(?:^|\\|)Number=([^|]*)', 1), 4), '')) AS tag FROM (SELECT event_id, event_type, {_FEATS} AS f FROM events)")
+def gender_number_tags(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type", F.expr(_FEATS).alias("f"))
+    return e.select("event_id", tagging.feats_tag(F.col("event_type"), F.col("f")).alias("tag"))
+
+
+_SOME = ["NN", "NP-TL", "AT", "VBD-HL", "JJ-TL", "PRP", "QQ", "TO-NC", "NN$-TL", "("]
+
+
+@query("SELECT event_id, tag, CASE tag WHEN 'NN' THEN 'NN' WHEN 'NP-TL' THEN 'NNP' WHEN 'AT' THEN 'DT' WHEN 'VBD-HL' THEN 'VBD' WHEN 'JJ-TL' THEN 'JJ' WHEN 'PRP' THEN 'PRP' WHEN 'TO-NC' THEN 'TO' WHEN '(' THEN '-LRB-' ELSE 'NN' END AS penn FROM (SELECT event_id, (" + str(_SOME) + ")[event_id % 10 + 1] AS tag FROM events)")
+def reconcile_tags(spark, sf):
+    tags = F.array(*[F.lit(t) for t in _SOME])
+    e = table(spark, sf, "events").select("event_id", F.get(tags, (F.col("event_id") % 10).cast("int")).alias("tag"))
+    return e.withColumn("penn", tagging.reconcile(F.col("tag")))
+
+
+@query()
+def hmm_viterbi(spark, sf):
+    t = _tagged(spark, sf)
+    return tagging.viterbi(t.where("sent % 5 = 0").select("sent", F.transform("tokens", lambda x: x["form"]).alias("w")), t.where("sent % 5 <> 0"))
+
+
+# --- segmentation and evaluation -------------------------------------------------------------------------------------------
+
+
+_DRAW = "CAST(('0x' || substr(md5('42:' || item_id || ':' || line || ':' || pos), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query(_with(_ASK, f"""t AS (SELECT item_id, line, pos, word, next, CASE WHEN {_DRAW} < 0.3 AND next IS NOT NULL THEN 1 ELSE 0 END AS low FROM (SELECT item_id, line, i AS pos, w[i] AS word, w[i + 1] AS next FROM (SELECT item_id, line, w, unnest(range(1, len(w) + 1)) AS i FROM ask)))""",
+  "u AS (SELECT *, sum(1 - low) OVER (PARTITION BY item_id, line ORDER BY pos) AS run FROM t)", "v AS (SELECT *, low = 1 AND sum(low) OVER (PARTITION BY item_id, line, run ORDER BY pos) % 2 = 1 AS fuse FROM u)",
+  "SELECT item_id, line, pos, CASE WHEN fuse THEN word || next ELSE word END AS token FROM (SELECT *, lag(fuse) OVER (PARTITION BY item_id, line ORDER BY pos) AS gone FROM v) WHERE NOT coalesce(gone, FALSE)"))
+def typing_merges(spark, sf):
+    return segmentation.typing_merges(_asked(spark, sf), ["item_id", "line"], 0.3)
+
+
+def _spaceless(spark, sf) -> DataFrame:
+    short = _asked(spark, sf).where(F.size("w") <= 12)
+    return short.select("item_id", "line", "w", F.array_join("w", "").alias("text"))
+
+
+@query("WITH RECURSIVE" + _with(_EN, _VOC, _ASK, "q AS (SELECT item_id, line, array_to_string(w, '') AS text FROM ask WHERE len(w) <= 12)",
+  "pre AS (SELECT text, i, max(n) AS n FROM (SELECT DISTINCT text FROM q), range(1, 200) r(i), range(2, 40) s(n) WHERE i + n - 1 <= length(text) AND substr(text, i, n) IN (SELECT w FROM voc) GROUP BY ALL)",
+  """g AS (SELECT item_id, line, text, CAST(1 AS BIGINT) AS i, '' AS words FROM q
+  UNION ALL SELECT g.item_id, g.line, g.text, g.i + coalesce(pre.n, 1), g.words || ' ' || substr(g.text, g.i, coalesce(pre.n, 1)) FROM g LEFT JOIN pre ON pre.text = g.text AND pre.i = g.i WHERE g.i <= length(g.text))""",
+  "SELECT item_id, line, trim(words) AS words FROM g WHERE i > length(text)").removeprefix("WITH"))
+def greedy_segment(spark, sf):
+    out = segmentation.greedy_segmented(_spaceless(spark, sf), "text", vocabulary(_english(spark, sf)))
+    return out.select("item_id", "line", F.array_join("words", " ").alias("words"))
+
+
+def _trained(spark, sf) -> DataFrame:
+    return sentences(table(spark, sf, "documents").where("lang = 'en' AND length(text) < 2000"))
+
+
+@query()
+def viterbi_segment(spark, sf):
+    return segmentation.segmented(_spaceless(spark, sf), "text", _trained(spark, sf)).select("item_id", "line", F.array_join("words", " ").alias("words"))
+
+
+
+
+def _merged(spark, sf) -> DataFrame:
+    """Sentences with every third word joined with the next: reference and prediction for the measures."""
+    w = F.col("w")
+    heads = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i % 3 != 2))
+    pred = F.transform(heads, lambda i: F.when((i % 3 == 1) & (i < F.size(w)), F.concat(F.get(w, i - 1), F.get(w, i))).otherwise(F.get(w, i - 1)))
+    return _asked(spark, sf).select("item_id", "line", "w", pred.alias("p"))
+
+
+_MERGED = "mg AS (SELECT item_id, line, w, list_transform(list_filter(range(1, len(w) + 1), lambda i: i % 3 <> 2), lambda i: CASE WHEN i % 3 = 1 AND i < len(w) THEN w[i] || w[i + 1] ELSE w[i] END) AS p FROM ask)"
+_ENDS = "list_transform(range(1, len({x}) + 1), lambda i: list_sum(list_transform({x}[1:i], lambda y: length(y))))"
+
+
+@query(_with(_ASK, _MERGED, f"e AS (SELECT item_id, line, {_ENDS.format(x='w')} AS r, {_ENDS.format(x='p')} AS g FROM mg)",
+  "SELECT item_id, line, round(b / len(g), 9) AS prec, round(b / len(r), 9) AS rec, round(2 * b / (len(r) + len(g)), 9) AS f1 FROM (SELECT *, len(list_intersect(r, g)) AS b FROM e)"))
+def boundary_f1(spark, sf):
+    p, r, f = evaluation.f1(evaluation.ends(F.col("w")), evaluation.ends(F.col("p")))
+    return _merged(spark, sf).select("item_id", "line", F.round(p, 9).alias("prec"), F.round(r, 9).alias("rec"), F.round(f, 9).alias("f1"))
+
+
+_SPANS = "list_transform(range(1, len({x}) + 1), lambda i: list_sum(list_transform({x}[1:i], lambda y: length(y))) || '-' || length({x}[i]))"
+
+
+@query(_with(_ASK, _MERGED, f"e AS (SELECT item_id, line, {_SPANS.format(x='w')} AS r, {_SPANS.format(x='p')} AS g FROM mg)",
+  "SELECT item_id, line, round(2 * len(list_intersect(r, g)) / (len(r) + len(g)), 9) AS f1 FROM e"))
+def span_f1(spark, sf):
+    f = evaluation.f1(evaluation.spans(F.col("w")), evaluation.spans(F.col("p")))[2]
+    return _merged(spark, sf).select("item_id", "line", F.round(f, 9).alias("f1"))
+
+
+_PAIRS = _with(_TAG, "best AS (SELECT w, arg_min(tag, (-c, tag)) AS best FROM (SELECT lower(form) AS w, tag, count(*) AS c FROM tok GROUP BY 1, 2) GROUP BY w)", "pr AS (SELECT tag AS gold, best AS pred FROM tok JOIN best ON best.w = lower(form))", "cf AS (SELECT gold, pred, count(*) AS n FROM pr WHERE gold <> pred GROUP BY ALL)", "")
+
+
+def _pairs(spark, sf) -> DataFrame:
+    t = _tagged(spark, sf)
+    return tagging.tokens(t).join(tagging.most_frequent_tags(t), "w").select(F.col("tag").alias("gold"), F.col("best").alias("pred"))
+
+
+@query(_PAIRS + "SELECT * FROM cf ORDER BY n DESC, gold, pred LIMIT 12")
+def confusion_topk(spark, sf):
+    return evaluation.confusion(_pairs(spark, sf)).orderBy(F.desc("n"), "gold", "pred").limit(12)
+
+
+@query()
+def confusion_pivot(spark, sf):
+    return evaluation.confusion_grid(evaluation.confusion(_pairs(spark, sf)))
+
+
+@query(_with(_ASK, _MERGED, """sp AS (SELECT item_id, line, 'w' AS k, list_sum(list_transform(w[1:i], lambda y: length(y))) AS e, length(w[i]) AS n, length(w[i]) % 3 AS tag FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM mg)
+  UNION ALL SELECT item_id, line, 'p', list_sum(list_transform(p[1:i], lambda y: length(y))), length(p[i]), length(p[i]) % 2 FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM mg))""",
+  "SELECT count(*) FILTER (p.tag = w.tag) AS correct, count(*) FILTER (p.tag <> w.tag) AS genuine, count(*) FILTER (p.tag IS NULL) AS segmentation FROM (SELECT * FROM sp WHERE k = 'w') w LEFT JOIN (SELECT * FROM sp WHERE k = 'p') p ON p.item_id = w.item_id AND p.line = w.line AND p.e = w.e AND p.n = w.n"))
+def error_breakdown(spark, sf):
+    m = _merged(spark, sf).withColumn("key", F.concat_ws(":", "item_id", "line"))
+    of = lambda c, mod: m.select("key", F.inline(evaluation.spans(F.col(c)))).withColumn("tag", (F.col("e") - F.col("s")) % mod)
+    return evaluation.pipeline_errors(of("w", 3), of("p", 2), "key")
+
+
+# --- parsing and verdict ---------------------------------------------------------------------------------------------------
+
+
+def _trees(spark, sf) -> DataFrame:
+    """A projective tree for each line of the benchmark: odd words hang on the word before, even ones on the last."""
+    w = F.col("w")
+    token = lambda x, i: F.struct((i + 1).alias("id"), x.alias("form"), F.concat(F.lit("P"), (F.length(x) % 4).cast("string")).alias("upos"), F.when(i == 0, 0).otherwise(F.when(i % 2 == 1, i).otherwise(1)).alias("head"), F.concat(F.lit("r"), (F.length(x) % 3).cast("string")).alias("deprel"))
+    return _asked(spark, sf).where(F.size(w) <= 40).select(F.concat_ws(":", "item_id", "line").alias("key"), F.transform(w, token).alias("tokens"))
+
+
+@query()
+def oracle_transitions(spark, sf):
+    return depparse.transitions(_trees(spark, sf), "key").select("key", "step", "transition")
+
+
+@query()
+def dep_features(spark, sf):
+    return depparse.transitions(_trees(spark, sf), "key").select("key", "step", F.array_join("names", " ").alias("names"), "stack", "buffer")
+
+
+@query("""WITH t AS (SELECT item_id, line, i, w[i] AS f FROM (SELECT item_id, line, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT * FROM """ + _lines("benchmark", "item_id") + """ WHERE len(w) <= 40)))
+SELECT count(*) AS n, round(avg(CASE WHEN i = 1 OR i % 2 = 0 AND i = 2 OR i > 1 AND i % 2 = 1 THEN 0.0 ELSE 0.0 END) + avg(CASE WHEN CASE WHEN i = 1 THEN 0 WHEN i % 2 = 0 THEN i - 1 ELSE 1 END = i - 1 THEN 1.0 ELSE 0.0 END), 9) AS uas,
+  round(avg(CASE WHEN CASE WHEN i = 1 THEN 0 WHEN i % 2 = 0 THEN i - 1 ELSE 1 END = i - 1 AND length(f) % 3 = 1 THEN 1.0 ELSE 0.0 END), 9) AS las FROM t""")
+def attachment_scores(spark, sf):
+    gold = _trees(spark, sf).select("key", F.inline("tokens")).select("key", F.col("id").alias("dep"), "head", F.col("deprel").alias("label"))
+    chain = gold.select("key", "dep", (F.col("dep") - 1).alias("head"), F.lit("r1").alias("label"))
+    return evaluation.attachment(gold, chain, "key").select("n", F.round("uas", 9).alias("uas"), F.round("las", 9).alias("las"))
+
+
+#: A small grammar for the parsing queries: sentences of the benchmark are its inputs, word classes its tags.
+GRAMMAR = [("S", ["P0", "VP"], False, 0.5), ("S", ["P1", "VP"], False, 0.5), ("VP", ["P2", "VP"], False, 0.3), ("VP", ["P3", "VP"], False, 0.3), ("VP", ["P2", "P3"], False, 0.2), ("VP", ["P3"], False, 0.2)]
+
+
+@query()
+def cky_parse(spark, sf):
+    rows = _trees(spark, sf).where(F.size("tokens") <= 8).select("key", F.transform("tokens", lambda t: t["form"]).alias("words"), F.transform("tokens", lambda t: t["upos"]).alias("tags"))
+    grammar = spark.createDataFrame(GRAMMAR, "lhs string, rhs array<string>, lexical boolean, p double")
+    return pcfg.parsed(rows, grammar).select("key", "parse.tree", F.round("parse.logp", 6).alias("logp"), "parse.status")
+
+
+_BRACKETS = "'(S (' || event_type || ' a) (V b) (X' || event_id % 3 || ' c))'"
+
+
+@query("""WITH r AS (SELECT 'S' AS lhs, event_type || ' S|<V-X' || event_id % 3 || '>' AS rhs FROM events UNION ALL SELECT 'S|<V-X' || event_id % 3 || '>', 'V X' || event_id % 3 FROM events
+  UNION ALL SELECT event_type, 'a' FROM events UNION ALL SELECT 'V', 'b' FROM events UNION ALL SELECT 'X' || event_id % 3, 'c' FROM events)
+SELECT lhs, rhs, count(*) AS c, round(count(*) / any_value(n), 9) AS p FROM (SELECT *, count(*) OVER (PARTITION BY lhs) AS n FROM r) GROUP BY 1, 2""")
+def pcfg_rule_probs(spark, sf):
+    trees = table(spark, sf, "events").select(F.expr(_BRACKETS).alias("tree"))
+    return pcfg.rules(trees).select("lhs", F.array_join("rhs", " ").alias("rhs"), "c", F.round("p", 9).alias("p"))
+
+
+_STATUS = "CASE event_id % 3 WHEN 0 THEN 'parsed' WHEN 1 THEN 'partial_parse' ELSE 'unparseable' END"
+_AVG = "SELECT event_id, event_id % 5 + 1 AS n, " + _STATUS + " AS status, -9.0 - event_id % 7 AS a, -5.0 - event_id % 4 AS t, -6.0 - event_id % 6 AS b FROM events"
+
+
+@query(f"""SELECT event_id, CASE WHEN status = 'parsed' AND a >= -11 THEN 'PCFG (Constituency)' WHEN t >= -6.8 THEN 'Trigram LM' WHEN status = 'partial_parse' THEN 'PCFG (Partial)' WHEN b >= -7.8 THEN 'Bigram LM' ELSE 'Fallback N-Gram' END AS method,
+  CASE WHEN status = 'parsed' AND a >= -11 THEN 'Grammatical (Valid Structure)' WHEN t >= -6.8 THEN 'Grammatical (Fluent Local Sequence)' WHEN status = 'partial_parse' OR b >= -7.8 THEN 'Marginally Grammatical' ELSE 'Likely Ungrammatical / Outlier' END AS verdict FROM ({_AVG})""")
+def decision_rule(spark, sf):
+    table(spark, sf, "events").createOrReplaceTempView("glossa_events")
+    rows = spark.sql(_AVG.replace("FROM events", "FROM glossa_events"))
+    n = F.col("n")
+    method, said = pcfg.verdict(F.col("status"), n, F.col("a").cast("double") * n, F.col("t").cast("double") * n, F.col("b").cast("double") * n)
+    return rows.select("event_id", method.alias("method"), said.alias("verdict"))
+
+
+# --- editor ----------------------------------------------------------------------------------------------------------------
+
+
+@query(_with(_EN, _VOC, _PVOC, _ASK, _UNK, _CAND, f"best AS ({_BEST})", "SELECT item_id, line, i - 1 AS token_index, q AS original, correction AS replacement FROM (SELECT item_id, line, w, unnest(range(1, len(w) + 1)) AS i FROM ask) JOIN best ON q = w[i]"))
+def spell_alerts(spark, sf):
+    v = _plain_vocab(spark, sf)
+    fixed = spelling.best(spelling.candidates_b(_unknown(spark, sf), v), v)
+    rows = _asked(spark, sf).select("item_id", "line", F.posexplode("w").alias("token_index", "q"))
+    return rows.join(fixed, "q").select("item_id", "line", F.col("token_index").cast("long"), F.col("q").alias("original"), F.col("correction").alias("replacement"))
+
+
+@query(_with(_ASK, "SELECT item_id, line, i AS fired, array_to_string(w[greatest(1, i - 6):i], ' ') AS seen FROM (SELECT item_id, line, w, unnest(range(5, len(w) + 1, 5)) AS i FROM ask)"))
+def grammar_windows(spark, sf):
+    fired = F.when(F.size("w") >= 5, F.sequence(F.lit(5), F.greatest(F.size("w"), F.lit(5)), F.lit(5))).otherwise(F.array().cast("array<int>"))
+    rows = _asked(spark, sf).select("item_id", "line", "w", F.explode(fired).alias("i"))
+    return rows.select("item_id", "line", F.col("i").cast("long").alias("fired"), F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("i") - 6), F.least(F.lit(7), F.col("i"))), " ").alias("seen"))
+
+
+@query()
+def live_editor(spark, sf):
+    from ..streaming import editor
+
+    tokens = segmentation.typing_merges(_asked(spark, sf), ["item_id", "line"], 0.08)
+    keyed = tokens.select(F.concat_ws(":", "item_id", "line").alias("key"), F.col("pos").alias("seq"), "token")
+    return editor.replayed_alerts(keyed, editor.Language(_trained(spark, sf)))
