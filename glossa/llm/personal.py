@@ -104,9 +104,12 @@ def _annotated(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_base", base_spans(F.col("text")))
     context = lambda before: F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
     core = lambda m: F.regexp_replace(m, r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
+    # The instance of a token that opens a base span is the whole span; tokens inside a span are part of it.
+    opened = lambda x: F.get(F.filter("_base", lambda b: (b["s"] >= x["s"]) & (b["s"] < x["e"])), F.lit(0))
+    entity = lambda b: F.substring("text", (b["s"] + 1).cast("int"), (b["e"] - b["s"]).cast("int"))
     tokens = F.filter(
-        F.transform(matches(F.col("text"), TOKEN), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), context(x["before"]).alias("pattern"), core(x["m"]).alias("instance"))),
-        lambda x: (x["pattern"] != "") & (x["instance"] != ""),
+        F.transform(matches(F.col("text"), TOKEN), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), context(x["before"]).alias("pattern"), F.coalesce(entity(opened(x)), core(x["m"])).alias("instance"))),
+        lambda x: (x["pattern"] != "") & (x["instance"] != "") & ~F.exists("_base", lambda b: (b["s"] < x["s"]) & (x["s"] < b["e"])),
     )
     return rows.withColumn("_tokens", tokens)
 
