@@ -116,14 +116,3 @@ def license_labels(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
-
-
-ORACLE = r"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
-), p AS (
-  SELECT doc_id, w, list_filter(range(1, len(w) + 1), i -> (w[i] IN ('mit', 'apache') AND w[i + 1] = 'license') OR (w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license')) AS at FROM d
-)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(at) AS BIGINT) AS n_base, at[1] - 1 AS first_word, at[-1] - 1 AS last_word,
-  array_to_string(list_sort(list_distinct(list_transform(at, i -> CASE w[i] WHEN 'general' THEN 'gpl' ELSE w[i] END))), ',') AS base_labels FROM p
-"""

@@ -59,7 +59,7 @@ def features(raws: list[bytes]) -> np.ndarray:
                 (n - c[65] - c[48] - c[97] - c[32] - c[10]) / n,
                 c[10] / n,
                 len(set(words)) / many,
-                len(words[0]) / 20 if many == 1 else min(1.0, n / many / 20),
+                min(1.0, n / many / 20),
                 min(1.0, np.log1p(len(words)) / 10),
                 len(set(raw.split(b"\n"))) / (c[10] + 1),
             ]
