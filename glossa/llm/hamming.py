@@ -48,10 +48,10 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     total = rows.count()
     asked = cut(rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi"))
     members = cut(first_ids(rows, "code", k + 1).select("code", "vec_id", "_n"))
-    weight = members.groupBy("code").agg(F.max("_n").alias("n"))
-    index = cut(weight.select("code", F.posexplode(F.array(*[_segment("code", s) for s in range(SEGMENTS)])).alias("seg", "value")))
+    weight = members.groupBy("code").agg(F.max("_n").alias("n"), F.min("vec_id").alias("low"))
+    index = cut(weight.select("code", "n", "low", F.posexplode(F.array(*[_segment("code", s) for s in range(SEGMENTS)])).alias("seg", "value")))
     open_ = cut(asked.select(F.col("code").alias("query")).distinct())
-    best = spark.createDataFrame([], "query long, code long, distance int")
+    best = spark.createDataFrame([], f"query long, code long, distance int, n int, low {codes.schema['vec_id'].dataType.simpleString()}")
     done = best
     for r in range(WIDE + 1):
         masks = [sum(1 << b for b in bits) for bits in combinations(range(WIDE), r)]
@@ -64,24 +64,23 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         first = F.lit(True)
         for s, d in enumerate(apart):
             first = first & F.when(F.col("seg") > s, d > r).otherwise(d >= r)
-        met = met.where(first).select("query", "code", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
+        met = met.where(first).select("query", "code", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"), "n", "low")
         pool = met.unionByName(best)
-        # Whole classes at a time: the classes before one hold fewer than k + 1 rows.
-        held = pool.join(weight, "code")
-        ahead = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
-        kept = held.withColumn("_ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where(F.col("_ahead") <= k)
-        state = cut(kept.select("query", "code", "distance", "n"))
+        # The first row of every class before one comes before all rows of that one, so k + 1 classes are enough; Spark
+        # cuts them in each task before the shuffle.
+        near = Window.partitionBy("query").orderBy("distance", "low", "code")
+        state = cut(pool.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k + 1).drop("_n"))
         reach = SEGMENTS * (r + 1) - 1
         closed = state.where(F.col("distance") <= reach).groupBy("query").agg(F.sum("n").alias("n")).where(F.col("n") >= min(k + 1, total)).select("query")
-        done = done.unionByName(state.join(closed, "query", "left_semi").drop("n"))
-        best = state.join(closed, "query", "left_anti").drop("n")
+        done = done.unionByName(state.join(closed, "query", "left_semi"))
+        best = state.join(closed, "query", "left_anti")
         open_ = cut(open_.join(closed, "query", "left_anti"))
         if not open_.take(1):
             break
     else:
         done = done.unionByName(best)
     by_row = Window.partitionBy("query").orderBy("distance", "vec_id")
-    lists = done.join(members.select("code", "vec_id"), "code").withColumn("_r", F.row_number().over(by_row)).where(F.col("_r") <= k + 1)
+    lists = done.select("query", "code", "distance").join(members.select("code", "vec_id"), "code").withColumn("_r", F.row_number().over(by_row)).where(F.col("_r") <= k + 1)
     out = asked.select(F.col("vec_id").alias("query_id"), F.col("code").alias("query")).join(cut(lists.select("query", "vec_id", "distance")), "query").where("vec_id <> query_id")
     each = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return out.withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("distance").cast("int").alias("distance"))

@@ -272,6 +272,18 @@ def test_hamming(spark):
     assert hamming.top_k(hamming.sign_codes(v.limit(0)), v).count() == 0
 
 
+def test_hamming_ties(spark):
+    """Far more different codes at one distance than k, several rows to a code, ids in no order of the codes."""
+    rows = [(0, 0), (100, 3)] + [(2007 + 37 * i % 191, 1 << (i % 63)) for i in range(120)] + [(1000 + i, 3 << (i % 61)) for i in range(90)]
+    codes = spark.createDataFrame(rows, "vec_id long, code long").repartition(7)
+    got = [tuple(r) for r in hamming.top_k(codes, codes.where("vec_id in (0, 100)").select("vec_id"), 9).collect()]
+    want = []
+    for query, mine in [r for r in rows if r[0] in (0, 100)]:
+        near = sorted(((mine ^ c).bit_count(), i) for i, c in rows if i != query)
+        want += [(query, n + 1, i, d) for n, (d, i) in enumerate(near[:9])]
+    assert sorted(got) == sorted(want)
+
+
 def test_ann(spark):
     v, x = vectors(spark)
     got = collections.defaultdict(list)
