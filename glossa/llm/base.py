@@ -72,3 +72,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
+
+
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """Roots of a forest: (a, b) long, b being the one parent of a -> (node, comp) for all that have a parent.
+
+    Pointer jumping: every step is one join and halves the depth.  The pairs must hold no cycle.
+    """
+    now = cut(parents.select(F.col("a").alias("node"), F.col("b").alias("comp"), F.lit(True).alias("moved")))
+    while now.where("moved").take(1):
+        above = now.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+        now = cut(now.join(above, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")))
+    return now.select("node", "comp")
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after joining the components of every link (ca, cb).
+
+    A node that ``comps`` does not list is a component of its own.  Only the links between components are searched,
+    which are few when ``comps`` is nearly complete.
+    """
+    links = cut(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if not links.take(1):
+        return comps
+    joined = connected_components(links).withColumnRenamed("comp", "whole")
+    moved = comps.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))
+    own = joined.select("node", F.col("whole").alias("comp"))
+    return cut(moved.unionByName(own.join(comps.select("node"), "node", "left_anti")))

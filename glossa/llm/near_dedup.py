@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import connected_components, cut
+from .base import cut, forest_roots, merged
 from .shingles import U, counted, mix, slices
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -128,12 +128,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held += len(raw)
                 both.append(known[node])
             keep.append(overlap(*both) >= SIMILARITY)
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["ta", "tb"])
 
 
 def _compared(t: pa.Table) -> pa.Table:
-    """The links that join different components within one block of a bucket."""
-    comp, node = t["comp"].to_numpy().copy(), t["node"].to_numpy()
+    """The components that links join within one block of a bucket."""
+    first, node = t["comp"].to_numpy(), t["node"].to_numpy()
+    comp = first.copy()
     mine, key = t["chunk"].to_numpy(), t["key"][0].as_py()
     i, j = t["i"][0].as_py(), t["j"][0].as_py()
     bands = np.array(t["bands"].combine_chunks().flatten().to_numpy()).reshape(-1, BANDS)
@@ -153,10 +154,10 @@ def _compared(t: pa.Table) -> pa.Table:
             other = other[~(bands[other, :at] == bands[x, :at]).any(axis=1)]
         for y in other:
             if comp[y] != comp[x] and overlap(bag(x), bag(y)) >= SIMILARITY:
-                links.append((node[x], node[y]))
+                links.append((first[x], first[y]))
                 comp[comp == comp[y]] = comp[x]
     a, b = zip(*links) if links else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return pa.table({"ca": pa.array(a, pa.int64()), "cb": pa.array(b, pa.int64())})
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -173,26 +174,21 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     shared = cut(met.join(central, "key").select("node", "key", "low", "size"))
     # The texts that can be linked at all, once; copies were dropped before.
     linked = shared.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id"))
-    texts = cut(rows.join(linked.withColumnRenamed("doc_id", "rep"), "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text"))
+    texts = cut(rows.join(linked.withColumnRenamed("doc_id", "rep"), "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").dropDuplicates(["node"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        kept = [c for c in pairs.columns if c not in ("a", "b")]
         p = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return cut(p.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long").distinct())
-
-    def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-        """Those of the pairs whose ends lie in different components."""
-        ca = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-        cb = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        p = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        return p.select("a", "b", *kept, "ta", "tb").mapInArrow(_verified, ", ".join(f"{c} long" for c in ["a", "b", *kept]))
 
     star = shared.where("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("times"))
     star = cut(star)
     best = star.groupBy("a").agg(F.max(F.struct("times", "b")).getField("b").alias("b"))
-    edges = verify(best)
-    comps = cut(connected_components(edges))
-    edges = cut(edges.unionByName(verify(across(star.join(best, ["a", "b"], "left_anti").select("a", "b"), comps))))
-    comps = cut(connected_components(edges))
+    # A central text ranks above all others of its bucket, so links to it hold no cycle.
+    comps = forest_roots(verify(best))
+    ca, cb = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    rest = star.select("a", "b").join(ca, "a", "left").join(cb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    comps = merged(comps, verify(rest.where("ca <> cb").join(best, ["a", "b"], "left_anti")))
     placed = shared.where("size > 2").join(comps, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
     chunks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -201,8 +197,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     dealt = open_.select("key", "node", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     dealt = dealt.select("key", "node", "comp", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     loaded = dealt.join(one, "node").join(texts, "node")
-    more = loaded.groupBy("key", "i", "j").applyInArrow(_compared, "a long, b long")
-    comps = cut(connected_components(cut(edges.unionByName(more.distinct()))))
+    more = loaded.groupBy("key", "i", "j").applyInArrow(_compared, "ca long, cb long")
+    comps = merged(comps, more)
     of_text = reps.join(comps, "node", "left").select("node", "rep", "copies", F.coalesce("comp", "node").alias("comp"))
     classes = of_text.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
     named = of_text.join(classes, "comp").select("node", "class_id", "class_size")
@@ -212,7 +208,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 def _one_of_each(sig: DataFrame, reps: DataFrame) -> DataFrame:
     """The row of the smallest doc_id of every text."""
     kept = sig.join(reps.select("node", "rep"), "node").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    return cut(kept.select("node", "bands", "tag"))
+    return cut(kept.select("node", "bands", "tag").dropDuplicates(["node"]))  # whole rows may be repeated
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

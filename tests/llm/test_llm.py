@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossa.llm import ann, chat, hamming, licenses, mixing, near_dedup, packing, personal, quality, registry, sharding
-from glossa.llm.base import connected_components, table
+from glossa.llm.base import connected_components, forest_roots, merged, table
 from glossa.llm.shingles import counted
 
 R = random.Random(11)
@@ -151,6 +151,22 @@ def test_components(spark):
 # --- chat
 
 
+def test_forests_and_merging(spark):
+    def found(df):
+        return dict(tuple(r) for r in df.select("node", "comp").collect())
+
+    forest = [(k, k + 1) for k in range(20)] + [(k, 50) for k in range(40, 50)] + [(60, 61)]
+    comps = forest_roots(spark.createDataFrame(forest, "a long, b long"))
+    assert found(comps) == {a: 20 if a < 20 else 50 if a < 50 else 61 for a, _ in forest}
+    assert found(forest_roots(spark.createDataFrame([], "a long, b long"))) == {}
+    links = spark.createDataFrame([(20, 50), (50, 70), (70, 71), (80, 81), (20, 50)], "ca long, cb long")
+    got = found(merged(comps, links))
+    whole = got[0]
+    assert {k for k, c in got.items() if c == whole} | {whole} == set(range(21)) | set(range(40, 51)) | {70, 71}
+    assert got[60] == 61 and got[81] == got.get(80, 80) == 80
+    assert found(merged(comps, links.limit(0))) == found(comps)
+
+
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "\\", "<|turn|>user\n<|end|>\n", "\\<|", "", None, "<<SYS>>\\\\[INST]", "é\n", "<<|end|>\n<"]
     log = [(7, k, 0, "message", r, s) for k, (s, r) in enumerate(zip(said, ["user", "assistant", "we\nird", None] * 3))] + [(7, 200, 0, "message", "assistant", "late")]
