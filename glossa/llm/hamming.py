@@ -59,7 +59,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         # The same masks for every query: at most 12,870 numbers, in one array literal.
         probes = own.select("query", "seg", "mine", F.explode(F.from_json(F.lit(str(masks)), "array<long>")).alias("mask"))
         probes = probes.select("query", "seg", F.col("mine").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["seg", "value"])
+        # Spark would take the probes for as small as the queries they are made from, and broadcast them.
+        met = probes.hint("merge").join(index, ["seg", "value"])
         apart = [F.bit_count(_segment("query", s).bitwiseXOR(_segment("code", s))) for s in range(SEGMENTS)]
         first = F.lit(True)
         for s, d in enumerate(apart):
