@@ -119,8 +119,6 @@ def _good_patterns(found: DataFrame) -> DataFrame:
     seeded = F.expr("exists(_base, b -> b.s < t.e AND t.s < b.e)")
     links = found.select("_base", F.explode("_tokens").alias("t")).select("t.pattern", "t.instance", seeded.cast("int").alias("seed"))
     links = cut(links.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    # Only patterns that have a seed can ever score; the others stay at 0.
-    links = cut(links.join(links.where("seed = 1").select("pattern").distinct(), "pattern", "left_semi"))
     scores = links.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
     for _ in range(ROUNDS):
         patterns = links.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + DOUBT)).alias("good"), F.count("*").alias("n"))

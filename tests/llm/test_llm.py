@@ -347,6 +347,14 @@ def test_contexts_find_what_the_patterns_miss(spark):
     assert got[99] == "context:18:30" and got[3].startswith("phone:18:35")
 
 
+def test_contexts_reached_through_discovered_instances(spark):
+    """``staff no`` has no seed; it scores only by ids that stand after ``call me`` too."""
+    texts = [f"please call me +1 (212) 555-01{k:02d} today" for k in range(40)] + [f"please {p} 212444{k:02d} today" for k in range(8) for p in ("call me", "staff no")]
+    rows = [*enumerate(texts), (99, "please staff no 99887766 today")]
+    got = {r["doc_id"]: r["spans"] for r in personal.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99] == "context:16:24"
+
+
 # --- pipeline
 
 
