@@ -4,7 +4,8 @@ Base spans come from the four regular expressions of the contract, written so th
 quantifiers; a match may only begin where a run of its characters begins or where the last match ended - beginning
 later inside a run could not succeed where its beginning fails).
 
-The base spans are seeds.  Every token with a digit or @ is an instance, and the two words before it are its pattern.
+The base spans are seeds.  Every token with a digit or @ is an instance, and the two words before it are its pattern;
+words with a digit or @ stand in it as marks.
 Instances and patterns form a bipartite graph, which is scored in turns: a pattern is as good as the mean of its
 different instances, counted with a doubt of DOUBT unknown ones; an instance is as good as its best pattern, and seeds
 stay at 1.  Patterns of GOOD or better with at least SUPPORT different instances mark the tokens after them that look
@@ -39,12 +40,21 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m, before>>: start and end (code points) of all matches, the match, and up to 80 characters before.
+def two_words(text: Column) -> Column:
+    """The last two words in lower case, those with a digit or @ as the marks 0 and @; empty where there are fewer."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    mark = lambda w: F.when(F.instr(w, "@") > 0, "@").when(w.rlike("[0-9]"), "0").otherwise(F.lower(w))
+    return let(F.slice(F.concat(F.array(F.lit(""), F.lit("")), words), -2, 2), lambda x: F.when(F.get(x, F.lit(0)) == "", "").otherwise(F.array_join(F.transform(x, mark), " ")))
+
+
+def matches(text: Column, pattern: str, words: bool = False) -> Column:
+    """array<struct<s, e, m, before>>: start and end (code points) of all matches, the match, and the two words before.
 
     ``split`` gives what lies between the matches, so the starts are running sums of lengths; the sums are made in
-    chunks, which keeps long lists linear.
+    chunks, which keeps long lists linear.  With ``words`` every match must be a whole word: then the two words before
+    lie in the gap or in the two matches before it.  Without, ``before`` is empty.
     """
+    near = lambda p, i: F.concat_ws("", F.get(p, i - 2)["hit"], F.get(p, i - 1)["gap"], F.get(p, i - 1)["hit"], F.get(p, i)["gap"])
     pairs = let(F.split(text, pattern, -1), lambda gaps: F.filter(F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit")), lambda x: x["hit"].isNotNull()))
     whole = lambda x: (F.length(x["gap"]) + F.length(x["hit"])).cast("long")
     zero = F.lit(0).cast("long")
@@ -57,11 +67,13 @@ def matches(text: Column, pattern: str) -> Column:
         none = F.array().cast("array<struct<s:bigint,e:bigint,m:string,before:string>>")
         step = lambda a, y: F.struct(
             (a["at"] + whole(y)).alias("at"),
-            F.array_append(a["out"], F.struct((a["at"] + F.length(y["gap"])).alias("s"), (a["at"] + whole(y)).alias("e"), y["hit"].alias("m"), F.right(y["gap"], F.lit(80)).alias("before"))).alias("out"),
+            F.array_append(a["out"], F.struct((a["at"] + F.length(y["gap"])).alias("s"), (a["at"] + whole(y)).alias("e"), y["hit"].alias("m"), y["before"].alias("before"))).alias("out"),
         )
         return F.aggregate(x, F.struct(begin.alias("at"), none.alias("out")), step)["out"]
 
     empty = F.array().cast("array<struct<s:bigint,e:bigint,m:string,before:string>>")
+    context = lambda p, i: two_words(near(p, i)) if words else F.lit("")
+    pairs = let(pairs, lambda p: F.transform(p, lambda x, i: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), context(p, i).alias("before"))))
     return let(pairs, lambda p: F.when(F.size(p) > 0, chunked(p)).otherwise(empty))
 
 
@@ -102,13 +114,12 @@ def _annotated(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.where(text.rlike("[0-9@]")).withColumn("text", text)
     rows = rows.withColumn("_base", base_spans(F.col("text")))
-    context = lambda before: F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
     core = lambda m: F.regexp_replace(m, r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
     # The instance of a token that opens a base span is the whole span; tokens inside a span are part of it.
     opened = lambda x: F.get(F.filter("_base", lambda b: (b["s"] >= x["s"]) & (b["s"] < x["e"])), F.lit(0))
     entity = lambda b: F.substring("text", (b["s"] + 1).cast("int"), (b["e"] - b["s"]).cast("int"))
     tokens = F.filter(
-        F.transform(matches(F.col("text"), TOKEN), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), context(x["before"]).alias("pattern"), F.coalesce(entity(opened(x)), core(x["m"])).alias("instance"))),
+        F.transform(matches(F.col("text"), TOKEN, True), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["before"].alias("pattern"), F.coalesce(entity(opened(x)), core(x["m"])).alias("instance"))),
         lambda x: (x["pattern"] != "") & (x["instance"] != "") & ~F.exists("_base", lambda b: (b["s"] < x["s"]) & (x["s"] < b["e"])),
     )
     return rows.withColumn("_tokens", tokens)

@@ -355,6 +355,25 @@ def test_contexts_reached_through_discovered_instances(spark):
     assert got[99] == "context:16:24"
 
 
+def test_contexts_with_numbers_in_them(spark):
+    texts = [f"user {4711 + k} call +1 (212) 555-01{k:02d}" for k in range(12)] + ["user 99 call 99887766", "user a@b.co call 99887766", "x" * 200 + " 1 call\n 99887766 " + "1 " * 600]
+    got = {r["doc_id"]: r["spans"] for r in personal.personal_data(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got[12] == "context:13:21" and got[13] == "email:5:11" and got[14] == "context:209:217"
+
+
+def test_two_words(spark):
+    texts = [f"{a} " * k + f"Pin,\t\n{b} 7" for a in ("word", "12", "a@b", "é" * 300) for k in (0, 1, 2, 300) for b in ("No", "4711,", "@x")]
+    texts += ["7", " 7", "a 7", "1 7", "1 2 7 8", " 1\n 2 @ x 7", "1 " * 700]
+    mark = lambda w: "@" if "@" in w else "0" if re.search("[0-9]", w) else w.lower()
+    want = []
+    for t in texts:
+        w = t.split()
+        want.append([" ".join(map(mark, w[k - 2 : k])) if k > 1 else "" for k, x in enumerate(w) if re.search("[0-9@]", x)])
+    df = spark.createDataFrame([*enumerate(texts)], "k int, t string")
+    got = df.select("k", F.transform(personal.matches(F.col("t"), personal.TOKEN, True), lambda x: x["before"]).alias("b")).orderBy("k").collect()
+    assert [r["b"] for r in got] == want
+
+
 # --- pipeline
 
 
