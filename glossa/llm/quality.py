@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Space, np.ndarray, np.ndarr
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, raws in slices(b.column("text").to_pylist()):
-                x = features(raws).astype(np.float16)
+                x = features(raws)  # float32: counts of long texts pass the range of float16
                 yield pa.RecordBatch.from_arrays([b.column("_id").slice(first, len(raws)), b.column("_label").slice(first, len(raws)).cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "x"])
 
     kind = labels.schema["doc_id"].dataType.simpleString()
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Space, np.ndarray, np.ndarr
     if not rows.num_rows:
         return None
     rows = rows.take(pa.array(np.lexsort(([*rows["x"].to_pylist()], rows["id"].to_numpy()))[: 2 * LABELLED])) if rows.num_rows > 1 else rows
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
     space = Space(x)
     return space, space.vectors(x), rows["label"].to_numpy().astype(np.float32)
 

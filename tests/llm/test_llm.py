@@ -265,6 +265,15 @@ def test_quality(spark, docs, empty):
     assert quality.score(docs, labels.limit(0)).where("score <> 0.5").count() == 0 and quality.score(empty, labels).count() == 0
 
 
+def test_quality_of_long_labelled_texts(spark):
+    texts = ["word " * 60_000, "x" * 250_000] + [f"{WORDS[k]} {WORDS[k + 1]} {k}" for k in range(30)]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(32)], "doc_id long, quality int, toxic int")
+    assert not any(zlib.crc32(str(k).encode()) % 3 == 1 for k in (0, 1))
+    scored = quality.score(rows, labels).collect()
+    assert len(scored) == 32 and all(0 <= r["score"] <= 1 for r in scored)
+
+
 # --- searches
 
 
