@@ -24,9 +24,16 @@ def greedy(text: str, vocab: set[str], longest: int) -> list[str]:
 
 
 class Model:
-    """Interpolated trigram model for the decoder; holds the n-grams of the training sentences it is given."""
+    """Interpolated trigram model for the decoder; holds the n-grams of the training sentences it is given.
 
-    def __init__(self, sents: DataFrame):
+    With ``texts`` it holds only those n-grams that some segmentation of the texts can ask for, found by joins; the
+    totals are still those of all sentences, so these texts get the same segmentations.
+    """
+
+    def __init__(self, sents: DataFrame, texts: DataFrame | None = None):
+        if texts is not None:
+            self._joined(sents, texts)
+            return
         self.tri = {(r[0], r[1], r[2]): r[3] for r in lm.counts(sents, 3, 2).collect()}
         self.bi = {(r[0], r[1]): r[2] for r in lm.counts(sents, 2, 1).collect()}
         self.context: dict[str, int] = {}
@@ -35,14 +42,39 @@ class Model:
         uni = {r[0]: r[1] for r in sents.select(F.explode(F.concat("w", F.array(F.lit(lm.CLOSE)))).alias("w")).groupBy("w").count().collect()}
         self.uni, self.total = uni, sum(uni.values())
         self.vocab = set(uni) - {lm.CLOSE}
+        self.types = len(self.vocab)
         self.longest = min(LONGEST, max(map(len, self.vocab), default=1))
 
+    def _joined(self, sents: DataFrame, texts: DataFrame) -> None:
+        words = sents.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("c")).persist()
+        total, types, longest = words.agg(F.sum("c"), F.count("*"), F.max(F.length("w"))).first()
+        self.total, self.types, self.longest = (total or 0) + sents.count(), types, min(LONGEST, longest or 1)
+        pieces = _pieces(texts, words, self.longest).persist()
+        asked = pieces.select("w").distinct().persist()
+        self.uni = {r[0]: r[1] for r in words.join(asked, "w").collect()}
+        self.vocab = set(self.uni)
+        self.uni[lm.CLOSE] = self.total - (total or 0)
+        bi = lm.counts(sents, 2, 1).persist()
+        self.context = {r[0]: r[1] for r in bi.groupBy(F.col("w1").alias("w")).agg(F.sum("c").alias("n")).join(asked, "w").collect()}
+        after = pieces.select("id", F.col("s").alias("e"), F.col("e").alias("end"), F.col("w").alias("w2"))
+        pairs = pieces.withColumnRenamed("w", "w1").join(after, ["id", "e"])
+        held = bi.join(pairs.select("w1", "w2").distinct(), ["w1", "w2"]).persist()
+        self.bi = {(r[0], r[1]): r[2] for r in held.select("w1", "w2", "c").collect()}
+        # A trigram in the sentences has both its bigrams there, but for the double boundary.
+        opened = sents.sparkSession.createDataFrame([(lm.OPEN, lm.OPEN)], "w1 string, w2 string")
+        pairs = pairs.join(held.select("w1", "w2").unionByName(opened), ["w1", "w2"])
+        more = pairs.select("id", F.col("s").alias("e"), F.col("e").alias("end"), F.col("w1").alias("w2"), F.col("w2").alias("w3"))
+        triples = pairs.join(more, ["id", "e", "end", "w2"]).select("w1", "w2", "w3").distinct()
+        self.tri = {(r[0], r[1], r[2]): r[3] for r in lm.counts(sents, 3, 2).join(triples, ["w1", "w2", "w3"]).select("w1", "w2", "w3", "c").collect()}
+        for df in (words, pieces, asked, bi, held):
+            df.unpersist()
+
     def logp(self, a: str, b: str, c: str) -> float:
         a, b, c = a.lower(), b.lower(), c.lower()
         part = lambda n, d: n / d if d else 0.0
         w = lm.LAMBDAS
         p = w[0] * part(self.tri.get((a, b, c), 0), self.bi.get((a, b), 0)) + w[1] * part(self.bi.get((b, c), 0), self.context.get(b, 0))
-        p += w[2] * part(self.uni.get(c, 0), self.total) + w[3] / max(1, len(self.vocab))
+        p += w[2] * part(self.uni.get(c, 0), self.total) + w[3] / max(1, self.types)
         unknown = 0.0 if c in self.vocab or c == lm.CLOSE else MISSING + PER_LETTER * len(c)
         return (math.log(p) if p > 0 else -50.0) - unknown
 
@@ -62,9 +94,21 @@ class Model:
         return list(max(ends, key=lambda x: x[0])[1]) if text else []
 
 
+def _pieces(texts: DataFrame, words: DataFrame, longest: int) -> DataFrame:
+    """(id, s, e, w): the places of known words and single characters in ``texts(text)``, and of the boundaries."""
+    bare = texts.select(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)[\s\x1c-\x1f]+", "").alias("text")).distinct()
+    bare = bare.select(F.xxhash64("text").alias("id"), "text", F.length("text").alias("n")).where("n > 0")
+    starts = bare.select("id", "text", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("s"))
+    ends = starts.select("id", "text", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.col("n") + 1))).alias("e"))
+    some = ends.select("id", "s", "e", F.lower(F.substring("text", F.col("s"), F.col("e") - F.col("s"))).alias("w"))
+    known = some.join(words.select("w", F.lit(True).alias("known")), "w", "left").where("known OR e = s + 1").select("id", "s", "e", "w")
+    mark = lambda s, w: bare.select("id", s.alias("s"), (s + 1).alias("e"), F.lit(w).alias("w"))
+    return known.unionByName(mark(F.lit(-1), lm.OPEN)).unionByName(mark(F.lit(0), lm.OPEN)).unionByName(mark(F.col("n") + 1, lm.CLOSE))
+
+
 def segmented(rows: DataFrame, text: str, sents: DataFrame, beam: int = 40) -> DataFrame:
     """Adds ``words``: the best segmentation under the trigram model."""
-    sent = rows.sparkSession.sparkContext.broadcast(Model(sents))
+    sent = rows.sparkSession.sparkContext.broadcast(Model(sents, rows.select(F.col(text).alias("text"))))
 
     @F.pandas_udf("array<string>")
     def decode(x: pd.Series) -> pd.Series:

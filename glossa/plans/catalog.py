@@ -443,13 +443,9 @@ def greedy_segment(spark, sf):
     return out.select("item_id", "line", F.array_join("words", " ").alias("words"))
 
 
-def _trained(spark, sf) -> DataFrame:
-    return sentences(table(spark, sf, "documents").where("lang = 'en' AND length(text) < 2000"))
-
-
 @query()
 def viterbi_segment(spark, sf):
-    return segmentation.segmented(_spaceless(spark, sf), "text", _trained(spark, sf)).select("item_id", "line", F.array_join("words", " ").alias("words"))
+    return segmentation.segmented(_spaceless(spark, sf), "text", _english(spark, sf)).select("item_id", "line", F.array_join("words", " ").alias("words"))
 
 
 
@@ -599,4 +595,4 @@ def live_editor(spark, sf):
 
     tokens = segmentation.typing_merges(_asked(spark, sf), ["item_id", "line"], 0.08)
     keyed = tokens.select(F.concat_ws(":", "item_id", "line").alias("key"), F.col("pos").alias("seq"), "token")
-    return editor.replayed_alerts(keyed, editor.Language(_trained(spark, sf)))
+    return editor.replayed_alerts(keyed, editor.Language(_english(spark, sf)))

@@ -89,6 +89,25 @@ def test_decoder_is_optimal_on_short_sentences(tagged):
     assert d.decode(["the", "dog", "runs", "swiftly"])[-1] == "ADV"
 
 
+def test_segmentation_by_joined_counts(spark, corpus):
+    texts = ["thisisatest", "naturallanguageprocessing", "zzthisq", "This isATest", "", None, "a", "testthisisnatural"]
+    rows = spark.createDataFrame([*enumerate(texts)], "k int, text string")
+    whole, part = segmentation.Model(corpus), segmentation.Model(corpus, rows)
+    assert [part.segment(t or "") for t in texts] == [whole.segment(t or "") for t in texts]
+    assert (part.total, part.types, part.longest) == (whole.total, whole.types, whole.longest) and len(part.tri) <= len(whole.tri)
+    got = segmentation.segmented(rows, "text", corpus).orderBy("k").collect()
+    assert [r["words"] for r in got] == [whole.segment(t or "") for t in texts]
+
+
+def test_training_takes_long_documents(spark, tmp_path):
+    from glossa.plans import catalog
+
+    texts = ["thesevere storms " * 5, "the severe " * 300]
+    spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "severe the")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [r["words"] for r in catalog.viterbi_segment(spark, str(tmp_path)).collect()] == ["severe the"]
+
+
 def test_segmentation(spark, corpus):
     m = segmentation.Model(corpus)
     assert m.segment("thisisatest") == ["this", "is", "a", "test"] and m.segment("") == []
