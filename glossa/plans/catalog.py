@@ -429,8 +429,7 @@ def typing_merges(spark, sf):
 
 
 def _spaceless(spark, sf) -> DataFrame:
-    short = _asked(spark, sf).where(F.size("w") <= 12)
-    return short.select("item_id", "line", "w", F.array_join("w", "").alias("text"))
+    return _asked(spark, sf).select("item_id", "line", "w", F.array_join("w", "").alias("text"))
 
 
 @query("WITH RECURSIVE" + _with(_EN, _VOC, _ASK, "q AS (SELECT item_id, line, array_to_string(w, '') AS text FROM ask WHERE len(w) <= 12)",
@@ -439,7 +438,8 @@ def _spaceless(spark, sf) -> DataFrame:
   UNION ALL SELECT g.item_id, g.line, g.text, g.i + coalesce(pre.n, 1), g.words || ' ' || substr(g.text, g.i, coalesce(pre.n, 1)) FROM g LEFT JOIN pre ON pre.text = g.text AND pre.i = g.i WHERE g.i <= length(g.text))""",
   "SELECT item_id, line, trim(words) AS words FROM g WHERE i > length(text)").removeprefix("WITH"))
 def greedy_segment(spark, sf):
-    out = segmentation.greedy_segmented(_spaceless(spark, sf), "text", vocabulary(_english(spark, sf)))
+    # The SQL takes only lines of at most 12 words.
+    out = segmentation.greedy_segmented(_spaceless(spark, sf).where(F.size("w") <= 12), "text", vocabulary(_english(spark, sf)))
     return out.select("item_id", "line", F.array_join("words", " ").alias("words"))
 
 

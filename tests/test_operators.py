@@ -108,6 +108,14 @@ def test_training_takes_long_documents(spark, tmp_path):
     assert [r["words"] for r in catalog.viterbi_segment(spark, str(tmp_path)).collect()] == ["severe the"]
 
 
+def test_long_lines_are_segmented(spark, tmp_path):
+    from glossa.plans import catalog
+
+    spark.createDataFrame([(1, "the severe storms " * 20, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "the severe storms " * 10)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [r["words"] for r in catalog.viterbi_segment(spark, str(tmp_path)).collect()] == [("the severe storms " * 10).strip()]
+
+
 def test_segmentation(spark, corpus):
     m = segmentation.Model(corpus)
     assert m.segment("thisisatest") == ["this", "is", "a", "test"] and m.segment("") == []
