@@ -116,6 +116,18 @@ def test_long_lines_are_segmented(spark, tmp_path):
     assert [r["words"] for r in catalog.viterbi_segment(spark, str(tmp_path)).collect()] == [("the severe storms " * 10).strip()]
 
 
+def test_long_lines_are_parsed(spark, tmp_path):
+    from glossa.plans import catalog
+
+    said = "meet " + "at " * 39 + "the"  # longer than 40 words
+    spark.createDataFrame([(1, said)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [r["key"] for r in catalog.cky_parse(spark, str(tmp_path)).collect()] == ["1:1"]
+    for f in (catalog.oracle_transitions, catalog.dep_features):
+        assert {r["key"] for r in f(spark, str(tmp_path)).collect()} == {"1:1"}
+    arcs = [r["transition"] for r in catalog.oracle_transitions(spark, str(tmp_path)).collect()]
+    assert sum(not x.upper().startswith("SH") for x in arcs) >= 41  # one arc a word
+
+
 def test_segmentation(spark, corpus):
     m = segmentation.Model(corpus)
     assert m.segment("thisisatest") == ["this", "is", "a", "test"] and m.segment("") == []
