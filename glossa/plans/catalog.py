@@ -260,6 +260,7 @@ def nonword_corruption(spark, sf):
 
 
 def _frequent(v: DataFrame) -> DataFrame:
+    """Words seen 20 times or more: the cut that the SQL of its queries makes."""
     return v.where("c >= 20")
 
 
@@ -297,7 +298,7 @@ def realword_correct_independent(spark, sf):
 
 @query()
 def realword_correct(spark, sf):
-    return spelling.realword_serial(_asked(spark, sf), _english(spark, sf), _frequent(_plain_vocab(spark, sf)))
+    return spelling.realword_serial(_asked(spark, sf), _english(spark, sf), _plain_vocab(spark, sf))
 
 
 @query("""SELECT item_id, t, CASE WHEN upper(t) = t AND lower(t) <> t THEN upper('straw') WHEN upper(f) = f AND lower(f) <> f THEN 'Straw' ELSE 'straw' END AS restored

@@ -128,6 +128,14 @@ def test_long_lines_are_parsed(spark, tmp_path):
     assert sum(not x.upper().startswith("SH") for x in arcs) >= 41  # one arc a word
 
 
+def test_rare_words_are_proposed(spark, tmp_path):
+    from glossa.plans import catalog
+
+    spark.createDataFrame([(1, "we will meet them\n" * 5 + "a meat pie\n" * 5, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "we will meat them")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert catalog.realword_correct(spark, str(tmp_path)).first()["corrected"] == ["we", "will", "meet", "them"]
+
+
 def test_segmentation(spark, corpus):
     m = segmentation.Model(corpus)
     assert m.segment("thisisatest") == ["this", "is", "a", "test"] and m.segment("") == []
