@@ -54,10 +54,12 @@ class Model:
         self.uni = {r[0]: r[1] for r in words.join(asked, "w").collect()}
         self.vocab = set(self.uni)
         self.uni[lm.CLOSE] = self.total - (total or 0)
-        bi = lm.counts(sents, 2, 1).persist()
-        self.context = {r[0]: r[1] for r in bi.groupBy(F.col("w1").alias("w")).agg(F.sum("c").alias("n")).join(asked, "w").collect()}
+        # Every word and every opening mark begins one bigram.
+        self.context = {w: c for w, c in self.uni.items() if w != lm.CLOSE} | {lm.OPEN: self.uni[lm.CLOSE]}
         after = pieces.select("id", F.col("s").alias("e"), F.col("e").alias("end"), F.col("w").alias("w2"))
         pairs = pieces.withColumnRenamed("w", "w1").join(after, ["id", "e"])
+        of = lambda w: F.broadcast(asked.withColumnRenamed("w", w))
+        bi = sents.select(F.inline(lm.grams(2, 1))).join(of("w1"), "w1", "left_semi").join(of("w2"), "w2", "left_semi").groupBy("w1", "w2").agg(F.count("*").alias("c"))
         held = bi.join(pairs.select("w1", "w2").distinct(), ["w1", "w2"]).persist()
         self.bi = {(r[0], r[1]): r[2] for r in held.select("w1", "w2", "c").collect()}
         # A trigram in the sentences has both its bigrams there, but for the double boundary.
@@ -65,8 +67,9 @@ class Model:
         pairs = pairs.join(held.select("w1", "w2").unionByName(opened), ["w1", "w2"])
         more = pairs.select("id", F.col("s").alias("e"), F.col("e").alias("end"), F.col("w1").alias("w2"), F.col("w2").alias("w3"))
         triples = pairs.join(more, ["id", "e", "end", "w2"]).select("w1", "w2", "w3").distinct()
-        self.tri = {(r[0], r[1], r[2]): r[3] for r in lm.counts(sents, 3, 2).join(triples, ["w1", "w2", "w3"]).select("w1", "w2", "w3", "c").collect()}
-        for df in (words, pieces, asked, bi, held):
+        tri = sents.select(F.inline(lm.grams(3, 2))).join(F.broadcast(triples), ["w1", "w2", "w3"], "left_semi")
+        self.tri = {(r[0], r[1], r[2]): r[3] for r in tri.groupBy("w1", "w2", "w3").agg(F.count("*").alias("c")).collect()}
+        for df in (words, pieces, asked, held):
             df.unpersist()
 
     def logp(self, a: str, b: str, c: str) -> float:
