@@ -7,16 +7,22 @@ is measured on the sample, for a recall of AIM, since it depends on the data: cl
 without structure about half of them.
 
 Equal vectors are one entry of the index with their smallest ids, so a vector copied a million times is compared once.
-Lists are dealt into blocks of about BLOCK entries; a list above that is cut into several, and the queries of a block
-into chunks, so no task grows with the input.  Within a block the best SHORT entries of each query by table are ranked
-exactly, in double precision, and the best of all blocks are kept.
-
-Defined results: see ``vectors.usable`` for vectors that take no part; ties go to the smaller vec_id; a vec_id that
-occurs twice is two candidates; fewer candidates than wanted give all of them; further columns are ignored.
+The number of lists grows with the root of the number of vectors, as far as the sample can place centroids (LISTS).
+Lists are dealt into blocks of about BLOCK entries, and a list above that is cut into several.  A query goes to the blocks
+that hold a list it probes; no vector is copied.  A task holds the entries of one block and lets the queries stream past
+it, so its memory is bounded.  Within a block the best SHORT entries of each query by table, and all that tie with the last
+of them, are ranked exactly, in double precision, ties by vec_id, and the best of all blocks are kept.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors are
+compared with vectors of their own length; ties go to the smaller vec_id, a null vec_id being the largest; a vec_id
+that occurs twice is two candidates, though not for itself; fewer candidates than wanted give all of them; further
+columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,10 +32,11 @@ from .base import cut
 from .vectors import first_ids, usable
 
 SAMPLE, PROBED_BY = 20_000, 400  # vectors that train the index; queries among them that set the number of probes
-AIM = 0.985  # part of true neighbours in the probed lists, on the sample
-LISTS = 1024  # at most; the square root of the number of vectors, halved, below
-SUBSPACE, CODES = 2, 256  # dimensions of a subspace; entries of its codebook
-BLOCK, CHUNK, SHORT = 4096, 4096, 80
+AIM = 0.975  # part of true neighbours in the probed lists, on the sample
+LISTS = 1024  # at most: the sample has about 20 vectors for each; below, half the root of the number of vectors
+SUBSPACE, CODES = 4, 256  # dimensions of a subspace; entries of its codebook
+BLOCK, CHUNK, SHORT = 16_384, 256, 400  # entries of a block at most; queries compared at once; entries ranked exactly
+TASKS = 32  # blocks at least, if there are entries enough
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -77,27 +84,36 @@ class Index:
     def probed(self, q: np.ndarray) -> np.ndarray:
         """queries x lists: whether the query looks into the list."""
         products = q @ self.centers.T
-        out = np.zeros(products.shape, bool)
-        np.put_along_axis(out, np.argpartition(-products, self.probes - 1, axis=1)[:, : self.probes], True, axis=1)
-        return out
+        edge = -np.partition(-products, self.probes - 1, axis=1)[:, self.probes - 1, None]
+        return products >= edge - 1e-9 * np.abs(edge)  # lists that tie with the last one are probed too
 
-    def search(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, entry row, exact score) of the best k entries a query finds in its probed lists."""
+    def search(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray, x: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, entry row, exact score) of the best k entries a query finds in its probed lists; ties by ``low``.
+
+        ``lists`` must be sorted.
+        """
         q32, look = q.astype(np.float32), self.probed(q)
-        table = np.einsum("qmd,mcd->mqc", self.parts(q32), self.books.astype(np.float32), optimize=True)
-        score = (q32 @ self.centers.T.astype(np.float32))[:, lists]
-        for m in range(codes.shape[1]):
-            score += table[m][:, codes[:, m]]
-        score[~look[:, lists]] = -np.inf
+        table = np.ascontiguousarray(np.einsum("qmd,mcd->mcq", self.parts(q32), self.books.astype(np.float32), optimize=True))
+        near = np.ascontiguousarray((q32 @ self.centers.T.astype(np.float32)).T)
+        score = np.full((len(lists), len(q)), -np.inf, np.float32)  # entries x queries: a code adds a whole row of its table
+        for c in np.unique(lists):
+            who = np.flatnonzero(look[:, c])
+            if len(who):
+                a, b = np.searchsorted(lists, [c, c + 1])
+                part = np.repeat(near[c][None, who], b - a, axis=0)
+                mine = table[:, :, who] if len(who) < len(q) else table
+                for m in range(codes.shape[1]):
+                    part += mine[m].take(codes[a:b, m], axis=0)
+                score[a:b, who] = part
+        score = score.T
         short = min(max(SHORT, 2 * k), len(lists))
-        at = np.argpartition(-score, short - 1, axis=1)[:, :short]
-        exact = np.einsum("qd,qed->qe", q, x[at])
-        exact[~np.isfinite(np.take_along_axis(score, at, axis=1))] = -np.inf
-        keep = min(k, short)
-        top = np.argpartition(-exact, keep - 1, axis=1)[:, :keep]
-        # Ties at the edge stay: a tie is settled by vec_id, later.
-        row, col = np.nonzero((exact >= np.take_along_axis(exact, top, axis=1).min(axis=1, keepdims=True)) & np.isfinite(exact))
-        return row, at[row, col], exact[row, col]
+        edge = np.partition(score, len(lists) - short, axis=1)[:, len(lists) - short, None]
+        row, at = np.nonzero((score >= edge - 1e-5 * np.abs(np.where(np.isfinite(edge), edge, 0))) & np.isfinite(score))
+        exact = np.concatenate([np.einsum("ed,ed->e", q[row[i : i + 65536]], x[at[i : i + 65536]]) for i in range(0, len(row), 65536)] or [np.zeros(0)])
+        order = np.lexsort((low[at], -exact, row))
+        row, at, exact = row[order], at[order], exact[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[kept], at[kept], exact[kept]
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -110,77 +126,109 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     ``queries(vec_id)`` names rows of ``vectors``.
     """
-    spark = vectors.sparkSession
     rows = cut(usable(vectors).withColumn("node", F.xxhash64("embedding")))
-    asked = cut(rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "node"))
-    members = cut(first_ids(rows, "node", k + 1).select("node", "vec_id", "_n", "embedding"))
+    wanted = queries.select("vec_id").where("vec_id is not null").distinct()
+    lengths = sorted(r[0] for r in rows.select(F.size("embedding")).distinct().collect())
+    found = [_nearest_alike(rows.where(F.size("embedding") == n), wanted, k) for n in lengths]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest_alike(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``nearest`` for rows (vec_id, embedding, node) of vectors of one length."""
+    spark = rows.sparkSession
+    asked = cut(rows.join(queries, "vec_id", "left_semi").select("vec_id", "node"))
+    members = cut(first_ids(rows, ["node"], k + 1).select("node", "vec_id", "_n", "embedding"))
     entries = members.where("_n = 1").select("node", "vec_id", "embedding")
     total = entries.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not total:
-        return spark.createDataFrame([], schema)
     sample = entries.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
     index = spark.sparkContext.broadcast(Index(_matrix(sample["embedding"]), total, k))  # at most LISTS centroids and d x CODES numbers
 
     def encode(batches):
         for b in batches:
             lists, codes = index.value.encode(_matrix(b.column("embedding")))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("embedding"), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["node", "embedding", "list", "code"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], [*b.schema.names, "list", "code"])
 
     vector = rows.schema["embedding"].dataType.simpleString()
-    coded = cut(entries.mapInArrow(encode, f"node long, embedding {vector}, list int, code binary"))
+    coded = cut(entries.mapInArrow(encode, f"node long, vec_id long, embedding {vector}, list int, code binary"))
     sizes = {r[0]: r[1] for r in coded.groupBy("list").count().collect()}  # at most LISTS rows
     lists = len(index.value.centers)
+    most = max(1, min(BLOCK, -(-total // TASKS)))
     first, cuts, at, room = np.zeros(lists, np.int64), np.ones(lists, np.int64), -1, 0
     for c in range(lists):
         n = sizes.get(c, 0)
-        if n > BLOCK:
-            cuts[c] = -(-n // BLOCK)
+        if n > most:
+            cuts[c] = -(-n // most)
             first[c], at, room = at + 1, at + cuts[c], 0
         else:
             if n > room or at < 0:
-                at, room = at + 1, BLOCK
+                at, room = at + 1, most
             first[c], room = at, room - n
+    blocks = at + 1
     layout = spark.createDataFrame([(c, int(first[c]), int(cuts[c])) for c in range(lists)], "list int, first long, cuts long")
-    asked_nodes = asked.select("node").distinct()
-    wanted = cut(coded.join(asked_nodes, "node", "left_semi").select("node", "embedding"))
-    chunks = max(1, -(-wanted.count() // CHUNK))
     block = (F.col("first") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("cuts"))).alias("block")
-    dealt = coded.join(F.broadcast(layout), "list").select(block, "node", "list", "code", "embedding").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    dealt = coded.join(F.broadcast(layout), "list").select(block, "node", "vec_id", "list", "code", "embedding")
+    wanted = coded.join(asked.select("node").distinct(), "node", "left_semi").select("node", "embedding")
 
     def route(batches):
+        """A query once for each block that holds a list it probes."""
+        for whole in batches:
+            for i in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(i, CHUNK)
+                q, c = np.nonzero(index.value.probed(_matrix(b.column("embedding"))))
+                many = cuts[c]
+                q, at = np.repeat(q, many), np.repeat(first[c], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                q, at = np.divmod(np.unique(q * blocks + at), blocks)
+                out = b.take(pa.array(q))
+                yield pa.RecordBatch.from_arrays([pa.array(at), *out.columns], ["block", *out.schema.names])
+
+    sent = wanted.mapInArrow(route, f"block long, node long, embedding {vector}")
+    sent = sent.select("block", "node", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("code"), "embedding")
+    # The entries of a block, in order of their lists, come before its queries.
+    stream = dealt.unionByName(sent).repartition("block").sortWithinPartitions("block", F.col("list").asc_nulls_last())
+
+    def match(batches):
+        names, here, held, entries = ["node", "found", "low", "score"], None, [], None
+
+        def found(part: pa.RecordBatch) -> pa.RecordBatch:
+            out = [[], [], [], []]
+            node, lists, codes, x, low, shown = entries
+            asked = part.column("node").to_numpy()
+            for i in range(0, part.num_rows, CHUNK):
+                row, at, score = index.value.search(_matrix(part.column("embedding").slice(i, CHUNK)), lists, codes, x, low, k + 1)
+                for kept, new in zip(out, (asked[i + row], node[at], np.asarray(shown)[at], score)):
+                    kept.append(new)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t, from_pandas=True) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
+
         for b in batches:
-            look = index.value.probed(_matrix(b.column("embedding")))
-            q, c = np.nonzero(look)
-            many = cuts[c]
-            q, blk = np.repeat(q, many), np.repeat(first[c], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            pair = np.unique(q * (int(first.max() + cuts.max()) + 1) + blk)
-            q, blk = np.divmod(pair, int(first.max() + cuts.max()) + 1)
-            out = b.take(pa.array(q))
-            yield pa.RecordBatch.from_arrays([pa.array(blk), *out.columns], ["block", *out.schema.names])
-
-    sent = wanted.mapInArrow(route, f"block long, node long, embedding {vector}").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(chunks)).cast("int"))
-
-    def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, out = ["node", "found", "score"], ([], [], [])
-        if left.num_rows and right.num_rows:
-            x, lists_ = _matrix(left["embedding"]), left["list"].to_numpy()
-            codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(x), -1)
-            entry, query = left["node"].to_numpy(), right["node"].to_numpy()
-            q = _matrix(right["embedding"])
-            for i in range(0, len(q), 256):
-                row, at, score = index.value.search(q[i : i + 256], lists_, codes, x, k + 1)
-                for held, new in zip(out, (query[i + row], entry[at], score)):
-                    held.append(new)
-        return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names)
-
-    found = dealt.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInArrow(match, "node long, found long, score double")
+            block = b.column("block").to_numpy()
+            turns = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
+            for i, j in zip(turns, turns[1:]):
+                if i == j:
+                    continue
+                if block[i] != here:
+                    here, held, entries = block[i], [], None
+                part = b.slice(i, j - i)
+                many = len(part) - part.column("list").null_count
+                if many:
+                    held.append(part.slice(0, many))
+                if many < len(part) and held:
+                    if entries is None:
+                        t = pa.Table.from_batches(held)
+                        low = t["vec_id"].to_numpy().astype(float)
+                        entries = (
+                            t["node"].to_numpy(), t["list"].to_numpy(), np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(len(t), -1),
+                            _matrix(t["embedding"]), np.where(np.isnan(low), np.inf, low), low,
+                        )
+                    yield found(part.slice(many))
+
+    best = Window.partitionBy("node").orderBy(F.desc("score"), F.col("low").asc_nulls_last(), "found")
+    top = stream.mapInArrow(match, "node long, found long, low double, score double").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
     ids = members.select(F.col("node").alias("found"), "vec_id")
-    best = Window.partitionBy("node").orderBy(F.desc("score"), "found")
-    top = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= 2 * (k + 1)).select("node", "found", "score")
-    by_row = Window.partitionBy("node").orderBy(F.desc("score"), "vec_id")
-    of_class = cut(top.join(ids, "found").withColumn("_r", F.row_number().over(by_row)).where(F.col("_r") <= k + 1).select("node", "vec_id", "score"))
+    by_row = Window.partitionBy("node").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
+    of_class = cut(top.select("node", "found", "score").join(ids, "found").withColumn("_r", F.row_number().over(by_row)).where(F.col("_r") <= k + 1).select("node", "vec_id", "score"))
     # Each query has the list of its class, without its own row.
-    out = asked.select(F.col("vec_id").alias("query_id"), "node").join(of_class, "node").where("vec_id <> query_id")
-    each = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = asked.select(F.col("vec_id").alias("query_id"), "node").join(of_class, "node").where("NOT vec_id <=> query_id")
+    each = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return out.withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -22,18 +22,75 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+BATCH = 2000  # rows of an Arrow batch while a table is written: bounds what a Python worker and its task hold
+PARTS = 4096  # a key with more than 1 / PARTS of all rows is spread; at most PARTS keys are that frequent
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Ends the lineage, so a lost executor costs one read and not a recomputation, and gives the optimizer true sizes
-    for its choice between broadcast and shuffle.
+    for its choice between broadcast and shuffle.  All tables of an application lie in one folder, glossa-<its id>,
+    which whoever owns the shared folder may delete when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{scratch_dir(spark).rstrip('/')}/glossa-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what ``cut`` wrote for ``df``; for tables of a loop that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def frequent(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _parts) of the keys with more than 1 / PARTS of all rows; at most PARTS rows, so fit to be broadcast.
+
+    A part has at least 256 rows.
+    """
+    return frequent_of(rows.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_n")
+
+
+def frequent_of(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``frequent`` from a table that holds each key once with its number of rows."""
+    total = counts.agg(F.sum(n).alias("_all"))
+    hot = counts.where(F.col(n) > 256).join(F.broadcast(total)).where(F.col(n) * PARTS > F.col("_all"))
+    parts = F.least(F.ceil(F.col(n) * PARTS / F.col("_all")), F.ceil(F.col(n) / 256))
+    return cut(hot.select(*keys, parts.cast("int").alias("_parts")).where("_parts > 1"))
+
+
+def salted(rows: DataFrame, hot: DataFrame, keys: list[str], by: str | list[str]) -> DataFrame:
+    """``rows`` with _salt: rows of a frequent key are dealt over its parts by the hash of the columns ``by``."""
+    parts, by = F.coalesce("_parts", F.lit(1)), [by] if isinstance(by, str) else by
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
+
+
+def repeated(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with _salt: once for each part of their key.  An equi-join with ``salted`` rows gathers no frequent key."""
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -66,7 +123,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = mark(now)
     while before[0]:
-        now = cut(small(large(now)))
+        old, now = now, cut(small(large(now)))
+        discard(old)
         after = mark(now)
         if after == before:
             break
@@ -82,7 +140,10 @@ def forest_roots(parents: DataFrame) -> DataFrame:
     now = cut(parents.select(F.col("a").alias("node"), F.col("b").alias("comp"), F.lit(True).alias("moved")))
     while now.where("moved").take(1):
         above = now.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        now = cut(now.join(above, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")))
+        hot = frequent(now, ["comp"])
+        both = salted(now, hot, ["comp"], "node").join(repeated(above, hot, ["comp"]), ["comp", "_salt"], "left")
+        old, now = now, cut(both.select("node", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")))
+        discard(old)
     return now.select("node", "comp")
 
 

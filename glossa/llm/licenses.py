@@ -2,9 +2,12 @@
 
 All rolling word pairs of a text meet the word pairs of the templates in an equi-join; a hit at word p of the text and
 word t of a template votes for the diagonal p - t.  Votes are summed by diagonal, diagonals at most JITTER apart are
-merged (a word put in or left out shifts the rest by one), and a merged span counts if it has COVER of the template's
-pairs.  The short base phrases are templates too and need every pair on one diagonal.  Hash hits are checked against
-the words themselves.
+merged (a word put in or left out shifts the rest by one).  A merged span is verified by aligning its words with the
+template: its score is the part of the template's pairs that it has, words put in counting like missing pairs, and it
+counts from COVER on.  Where spans of several templates overlap, the best one stays (the higher score, then the longer
+template), and so do those that do not touch it: a notice of a license with more conditions is no notice of the license
+without them.  The short base phrases are templates too, need every pair on one diagonal and stay in any case.  Hash hits
+are checked against the words themselves.
 
 Word pairs of function words alone carry no evidence and are no template positions; a text without any of the other
 template words cannot have a hit and is not exploded - that loses nothing.  The templates are fixed, so their table is
@@ -12,11 +15,12 @@ broadcast.  Votes are partitioned by text and template, so neither a frequent li
 one task.
 
 Defined results: null text counts as empty; repeated rows each get the same result; a null doc_id is kept; further
-columns are ignored; an empty table gives an empty result.
+columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import string
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +41,10 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-text",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc-text",
     "this source code form is subject to the terms of the mozilla public license": "mpl-notice",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa",
     "licensed under cc by nc 4 0": "cc-by-nc",
+    "licensed under cc by nd 4 0": "cc-by-nd",
     "licensed under cc by sa 4 0": "cc-by-sa",
     "licensed under cc by 4 0": "cc-by",
     "creative commons attribution license": "cc-by",
@@ -59,8 +66,8 @@ def _templates() -> list[tuple]:
 
 
 def words(text):
-    """The words of a text column, A-Z as a-z.  (``lower`` treats letters beyond ASCII too; they split nothing.)"""
-    return F.array_remove(F.split(F.lower(text), SPLIT), "")
+    """The words of a text column, A-Z as a-z and no other letter changed."""
+    return F.array_remove(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), SPLIT), "")
 
 
 def license_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,8 +97,19 @@ def license_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = merged.groupBy(*by, "_group").agg(
         F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes")
     )
-    spans = spans.withColumn("score", F.col("votes") / F.col("pairs")).where(F.when(F.col("base"), F.col("votes") == F.col("pairs")).otherwise(F.col("score") >= COVER))
-    return rows, spans.select("doc_id", "_text", "template", "label", "base", "first_word", "last_word", F.least("score", F.lit(1.0)).alias("score"))
+    put_in = F.greatest(F.col("last_word") - F.col("first_word") + 1 - F.col("wide"), F.lit(0))
+    spans = spans.withColumn("score", F.when(F.col("base"), F.col("votes") / F.col("pairs")).otherwise(F.col("votes") / (F.col("pairs") + put_in)))
+    spans = spans.where(F.col("score") >= F.when(F.col("base"), 1.0).otherwise(COVER))
+    # Runs of overlapping spans, the best of each run, and what does not touch it.
+    text = Window.partitionBy("doc_id", "_text", "base")
+    reach = F.max("last_word").over(text.orderBy("first_word", "last_word", "template").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("base") | (F.col("first_word") > F.coalesce(reach, F.lit(-1))), 1).otherwise(0)
+    spans = spans.withColumn("_new", new).withColumn("_run", F.sum("_new").over(text.orderBy("first_word", "last_word", "template")))
+    best = F.max(F.struct("score", "wide", F.col("first_word").alias("f"), F.col("last_word").alias("l"), "template")).over(Window.partitionBy("doc_id", "_text", "base", "_run"))
+    spans = spans.withColumn("_best", best)
+    touching = (F.col("first_word") <= F.col("_best.l")) & (F.col("last_word") >= F.col("_best.f")) & (F.col("template") != F.col("_best.template"))
+    spans = spans.where(F.col("base") | ~touching)
+    return rows, spans.select("doc_id", "_text", "template", "label", "base", "first_word", "last_word", "score")
 
 
 def license_labels(docs: DataFrame) -> DataFrame:

@@ -8,13 +8,15 @@ A source's target is met by whole epochs first - every document once each - and
 of their exponential keys, -ln(u) / quality, summed until the budget is reached.  The document at the edge is taken if
 that comes closer to the budget.  Documents are never cut.  Keys are hashes of the doc_id, so reruns agree.
 
-The prefix sums are two-level: keys fall into BUCKETS buckets in the order of the keys, bucket totals are summed up for
-each source, and only the bucket in which the budget ends is sorted.  A source with a third of all rows so sorts a few
-thousandths of it.
+The prefix sums are two-level: keys fall into buckets by their logarithm (STEPS to an octave; whatever the weights are, a
+bucket holds less than 0.07 % of the rows of a source), bucket totals are summed up for each source, and only the bucket
+in which the budget ends is looked into: its different keys are summed up, and of the rows that share the key at the
+edge - repeated rows, in a number without bound - as many are taken as fit, counted in SALTS parts.
 
 Defined results: null text has size 0; documents without words are taken once per epoch and count nothing; a null
-source is a source of its own; equal rows are separate rows (their order among themselves is open, but not what is
-taken of them together); further columns are ignored here and kept by ``mix``; an empty table gives an empty result.
+source is a source of its own; a null doc_id has the key of its text; equal rows are separate rows (their order among
+themselves is open, but not what is taken of them together); different rows may share a doc_id; further columns,
+whatever their names, are ignored here and kept by ``mix``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .base import cut
 
-CEILING, BUCKETS = 3, 1024
+CEILING, STEPS, SALTS = 3, 512, 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,34 +57,54 @@ def source_targets(sizes: DataFrame, ceiling: int = CEILING) -> DataFrame:
     return level.select("source", "source_size", F.when(F.col("_at").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_at") * F.col("_w"))).alias("target"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for all rows of ``docs(doc_id, text, source)``."""
+def _mixed(docs: DataFrame, carried: Column) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, doc) with ``carried`` as doc."""
     text = F.coalesce("text", F.lit(""))
-    key = -F.ln(uniform(F.col("doc_id"))) / quality(text)
-    rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("_key"))
-    rows = cut(rows.withColumn("_bucket", F.least(F.floor(BUCKETS * (1 - F.exp(-F.col("_key")))), F.lit(BUCKETS - 1)).cast("int")))
-    parts = cut(rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum")))
-    targets = source_targets(parts.groupBy("source").agg(F.sum("_sum").alias("source_size")))
+    key = -F.ln(uniform(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(text.cast("binary")))))) / quality(text)
+    rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), carried.alias("doc"))
+    # Written, so the number of a row stays.
+    rows = cut(rows.withColumn("bucket", F.floor(STEPS * F.log2("key")).cast("int")).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")))
+    slim = rows.select("source", "size", "key", "bucket", "part")
+    parts = cut(slim.groupBy("source", "bucket").agg(F.sum("size").alias("total")))
+    plan = source_targets(parts.groupBy("source").agg(F.sum("total").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long")
-    targets = targets.withColumn("_epochs", epochs).withColumn("_budget", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    running = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(running), F.lit(0)))
-    parts = parts.withColumnsRenamed({"source": "_source", "_bucket": "_part"})
-    parts = cut(parts.join(targets, F.col("_source").eqNullSafe(F.col("source"))).drop("source"))
-    joined = rows.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_part"))).drop("_source", "_part")
-    inside = (F.col("_before") < F.col("_budget")) & (F.col("_before") + F.col("_sum") > F.col("_budget"))
-    order = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = joined.where(inside).withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    rest = joined.where(~inside).withColumn("_ahead", F.col("_before"))
-    # Sorted documents go in while half of them or more still fits; in the other buckets all or none do.
-    fits = F.when(inside, (F.col("_ahead") + F.col("size") / 2 <= F.col("_budget")) & (F.col("_ahead") < F.col("_budget"))).otherwise(F.col("_before") + F.col("_sum") <= F.col("_budget")) & (F.col("_budget") > 0)
-    copies = F.col("_epochs") + F.when(fits, 1).otherwise(0)
-    out = edge.unionByName(rest).withColumn("copies", copies.cast("long"))
+    plan = plan.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+
+    def edge(sums: DataFrame, unit: str, plan: DataFrame) -> DataFrame:
+        """``plan`` with the first unit (bucket, key, part) that does not go in whole, and with what goes before it."""
+        ahead = F.coalesce(F.sum("total").over(Window.partitionBy("source").orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        base = F.col("ahead") if "ahead" in plan.columns else F.lit(0)
+        sums = sums.withColumn("before", ahead).withColumnsRenamed({"source": "of"})
+        both = plan.join(sums, plan["source"].eqNullSafe(sums["of"]), "left")
+        over = base + F.col("before") + F.col("total") > F.col("budget")
+        first = both.groupBy(*plan.columns).agg(F.min(F.when(over, F.struct(unit, "before"))).alias("first"))
+        return first.select(*[c for c in plan.columns if c != "ahead"], F.col(f"first.{unit}").alias(f"last_{unit}"), (base + F.coalesce("first.before", F.lit(0))).alias("ahead"))
+
+    plan = cut(edge(parts, "bucket", plan))
+    near = slim.join(plan.select(F.col("source").alias("of"), "last_bucket"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("last_bucket"))).select("source", "size", "key", "part")
+    plan = cut(edge(near.groupBy("source", "key").agg(F.sum("size").alias("total")), "key", plan))
+    near = near.join(plan.select(F.col("source").alias("of"), "last_key"), F.col("source").eqNullSafe(F.col("of")) & (F.col("key") == F.col("last_key"))).select("source", "size", "part")
+    plan = cut(edge(near.groupBy("source", "part").agg(F.sum("size").alias("total")), "part", plan)).withColumnRenamed("source", "of")
+    # One row for each source; the row at the edge is taken if more than half of it fits.
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    place, last = F.struct("bucket", "key", "part"), F.struct(F.col("last_bucket").alias("bucket"), F.col("last_key").alias("key"), F.col("last_part").alias("part"))
+    at = F.coalesce(place == last, F.lit(False))
+    order = Window.partitionBy("source").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    edges = rows.where(at).withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    fits = (F.col("ahead") + F.col("size") / 2 <= F.col("budget")) & (F.col("ahead") < F.col("budget"))
+    whole = (F.col("budget") > 0) & F.when(F.col("last_bucket").isNull(), True).otherwise(place < last)
+    out = edges.withColumn("more", fits).unionByName(rows.where(~at).withColumn("more", whole))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.when(F.col("more"), 1).otherwise(0)).cast("long").alias("copies"), "doc")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for all rows of ``docs(doc_id, text, source)``."""
+    out = _mixed(docs, F.lit(None).cast("boolean"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``."""
-    times = mixed(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    out = _mixed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns])).where("copies > 0")
+    out = out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -10,13 +10,19 @@ by which all registers are filled, which takes about m ln m points a text instea
 Candidates share a band; the multiset overlap of the whole texts decides.  No group is ever expanded into all pairs:
 first every text is compared with the most central text of its buckets (the one that meets most others), which joins
 nearly all of a group; then with the central texts of its other buckets, where components still differ.  Only buckets
-that still hold several components are compared to the end, in blocks of BLOCK x BLOCK texts inside tasks that send out
-nothing but links: pairs of one component, pairs met in an earlier band and pairs whose signatures differ too much are
-skipped.
+that still hold several components go on, in blocks of BLOCK x BLOCK texts.  First the blocks see signatures alone and
+send out a forest: the most alike pairs that would join all components.  What these leave is compared to the end, inside
+tasks that get the texts only of those that still have a likely partner, and send out nothing but links.  A pair is
+unlikely if fewer than AGREEING of its registers agree; a pair at 0.8 is so with probability 7.6e-6, less than the
+chance to share no band (1.5e-5).  Buckets, central texts and copies with more than a small part of all rows are dealt
+over many tasks in every join.
+
+Texts are told apart by a 64-bit hash: 10^10 different texts hold about three pairs that it mistakes for copies.
 
 Defined results: null text counts as empty; a text without words is linked only to equal texts; a text of one to four
 words is one shingle; a null doc_id takes part and is never the class id unless the whole class has none; repeated
-rows give repeated result rows; an empty table gives an empty result; further columns are ignored.
+rows give repeated result rows; an empty table gives an empty result; further columns, whatever their names, are ignored
+by ``near_duplicate_classes`` and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -25,19 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, forest_roots, merged
+from .base import cut, forest_roots, frequent, frequent_of, merged, repeated, salted
 from .shingles import U, counted, mix, slices
 
 WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 28  # a pair at 0.8 shares no band with probability (1 - 0.8**5)**28 = 1.5e-5
 REGISTERS = ROWS * BANDS
-#: Fewest equal registers (of 140) for a pair to be verified inside a block: at 0.8 the expected number is 112, and this
-#: is 4.4 standard deviations below.
-AGREEING = 91
-BLOCK = 256
+AGREEING = 91  # of 140 registers; at 0.8 the expected number is 112, and this is 4.4 standard deviations below
+BLOCK = 1024
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -84,9 +88,8 @@ def bag_minhash(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
         bands, tags = [], []
-        for _, raws in slices(texts):
+        for _, raws in slices(batch.column("text")):
             doc, shingle, count = counted(raws, WIDTH)
             sig = bag_minhash(doc, shingle, count, len(raws))
             bits = mix(sig.view(U))
@@ -121,100 +124,160 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = []
             for node, text in ((a[k], ta), (b[k], tb)):
                 if node not in known:
-                    raw = (text[k].as_py() or "").encode("utf-8", "replace")
                     if held > 1 << 24:
                         known, held = {}, 0
-                    known[node] = counted([raw], WIDTH)[1:]
-                    held += len(raw)
+                    known[node] = counted([(text[k].as_py() or "").encode("utf-8", "replace")], WIDTH)[1:]
+                    held += 300 + 2 * known[node][0].nbytes
                 both.append(known[node])
             keep.append(overlap(*both) >= SIMILARITY)
         yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["ta", "tb"])
 
 
-def _compared(t: pa.Table) -> pa.Table:
-    """The components that links join within one block of a bucket."""
-    first, node = t["comp"].to_numpy(), t["node"].to_numpy()
-    comp = first.copy()
-    mine, key = t["chunk"].to_numpy(), t["key"][0].as_py()
+def _candidates(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, agreeing registers) of the likely pairs of a block that lie in different components.
+
+    Pairs that met in an earlier band are left to that one; 8 bits of a register stand for it.
+    """
+    comp, node, mine = (t[c].to_numpy() for c in ("comp", "node", "chunk"))
     i, j = t["i"][0].as_py(), t["j"][0].as_py()
-    bands = np.array(t["bands"].combine_chunks().flatten().to_numpy()).reshape(-1, BANDS)
     tags = np.frombuffer(b"".join(t["tag"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
-    at = int(np.flatnonzero(bands[0] == key)[0])
-    texts, known, links = t["text"], {}, []
+    banded = tags.reshape(-1, BANDS, ROWS)
+    at = int(np.argmax((banded == banded[0]).all(axis=(0, 2))))  # the first band that the whole block shares
+    xs, ys, ns = [], [], []
+    for x in np.flatnonzero(mine == i):
+        other = np.flatnonzero((mine == j) & (comp != comp[x]) & ((i != j) | (node > node[x])))
+        n = (tags[other] == tags[x]).sum(axis=1)
+        other, n = other[n >= AGREEING], n[n >= AGREEING]
+        new = ~(banded[other, :at] == banded[x, :at]).all(axis=2).any(axis=1)
+        xs.append(np.full(int(new.sum()), x))
+        ys.append(other[new])
+        ns.append(n[new])
+    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in (xs, ys, ns))
+
+
+def _joined(comp: np.ndarray, pairs, same=lambda x, y: True) -> Iterator[tuple[int, int]]:
+    """Those pairs, in order, that join components not joined before; ``same`` has the last word."""
+    comp = comp.copy()
+    for x, y in pairs:
+        if comp[x] != comp[y] and same(x, y):
+            yield x, y
+            comp[comp == comp[y]] = comp[x]
+
+
+def _forest(t: pa.Table) -> pa.Table:
+    """The most alike pairs that would join all components of a block that have likely pairs."""
+    x, y, n = _candidates(t)
+    order = np.argsort(-n, kind="stable")
+    node, comp = t["node"].to_numpy(), t["comp"].to_numpy()
+    kept = list(_joined(comp, zip(x[order], y[order])))
+    a, b = (np.array([p[k] for p in kept], np.int64) for k in (0, 1))
+    return pa.table({"a": node[a], "b": node[b], "ca": comp[a], "cb": comp[b]})
+
+
+def _living(t: pa.Table) -> pa.Table:
+    """The rows of a block that still have a likely partner."""
+    x, y, _ = _candidates(t)
+    return t.take(pa.array(np.unique(np.concatenate([x, y]))))
+
+
+def _compared(t: pa.Table) -> pa.Table:
+    """The components that links join within one block, by the texts."""
+    x, y, n = _candidates(t)
+    order = np.argsort(-n, kind="stable")
+    texts, comp = t["text"], t["comp"].to_numpy()
+    known: dict[int, tuple] = {}
 
     def bag(k: int) -> tuple:
         if k not in known:
-            known[k] = counted([texts[k].as_py().encode("utf-8", "replace")], WIDTH)[1:]
+            known[k] = counted([texts[int(k)].as_py().encode("utf-8", "replace")], WIDTH)[1:]
         return known[k]
 
-    for x in np.flatnonzero(mine == i):
-        other = np.flatnonzero((mine == j) & (comp != comp[x]) & ((i != j) | (node > node[x])))
-        if len(other):
-            other = other[(tags[other] == tags[x]).sum(axis=1) >= AGREEING]
-            other = other[~(bands[other, :at] == bands[x, :at]).any(axis=1)]
-        for y in other:
-            if comp[y] != comp[x] and overlap(bag(x), bag(y)) >= SIMILARITY:
-                links.append((first[x], first[y]))
-                comp[comp == comp[y]] = comp[x]
-    a, b = zip(*links) if links else ((), ())
-    return pa.table({"ca": pa.array(a, pa.int64()), "cb": pa.array(b, pa.int64())})
+    kept = list(_joined(comp, zip(x[order], y[order]), lambda x, y: overlap(bag(x), bag(y)) >= SIMILARITY))
+    return pa.table({"ca": comp[np.array([p[0] for p in kept], np.int64)], "cb": comp[np.array([p[1] for p in kept], np.int64)]})
 
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, class_size) for every row of ``docs(doc_id, text)``; class_id is the class's smallest doc_id."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, node, row) of the rows, (node, comp, ...) of the texts, (comp, class_id, kept, class_size), frequent texts."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    sig = cut(rows.mapInArrow(_signatures, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>, tag binary"))
-    reps = cut(sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    one = _one_of_each(sig, reps)
-    members = one.select("node", F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = cut(members.join(sizes, "key"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sig = cut(rows.mapInArrow(_signatures, f"doc_id {kind}, node long, bands array<long>, tag binary").withColumn("row", F.monotonically_increasing_id()))
+    # Bands and tag follow from the text, so those of any copy will do; copies are collapsed before the shuffle.
+    reps = cut(sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("tag").alias("tag")))
+    often = frequent_of(reps, ["node"], "copies")
+    members = reps.select("node", F.explode("bands").alias("key"))
+    sizes = cut(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    hot = frequent_of(sizes, ["key"], "size")
+    met = cut(salted(members, hot, ["key"], "node").join(repeated(sizes, hot, ["key"]), ["key", "_salt"]).drop("_salt"))
     met = met.join(met.groupBy("node").agg(F.sum("size").alias("score")), "node")
     central = met.groupBy("key").agg(F.max(F.struct("score", "node")).getField("node").alias("low"))
-    shared = cut(met.join(central, "key").select("node", "key", "low", "size"))
-    # The texts that can be linked at all, once; copies were dropped before.
-    linked = shared.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id"))
-    texts = cut(rows.join(linked.withColumnRenamed("doc_id", "rep"), "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").dropDuplicates(["node"]))
+    shared = cut(salted(met, hot, ["key"], "node").join(repeated(central, hot, ["key"]), ["key", "_salt"]).select("node", "key", "low", "size"))
+    # The texts that can be linked at all, once.
+    linked = shared.select("node").distinct().join(reps, "node").select("node", "rep")
+    copies = salted(rows, often, ["node"], "doc_id").join(repeated(linked, often, ["node"]), ["node", "_salt"])
+    texts = cut(copies.where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").dropDuplicates(["node"]))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, hubs: str = "b") -> DataFrame:
+        """The pairs that are alike; ``hubs`` are the ends that one text may have in very many pairs."""
         kept = [c for c in pairs.columns if c not in ("a", "b")]
-        p = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        p = pairs = cut(pairs)
+        for end, other in ("ab", "ba"):
+            said = texts.select(F.col("node").alias(end), F.col("text").alias(f"t{end}"))
+            if end in hubs:
+                many = frequent(pairs, [end])
+                p = salted(p, many, [end], other).join(repeated(said, many, [end]), [end, "_salt"]).drop("_salt")
+            else:
+                p = p.join(said, end)
         return p.select("a", "b", *kept, "ta", "tb").mapInArrow(_verified, ", ".join(f"{c} long" for c in ["a", "b", *kept]))
 
-    star = shared.where("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("times"))
-    star = cut(star)
+    star = cut(shared.where("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("times")))
     best = star.groupBy("a").agg(F.max(F.struct("times", "b")).getField("b").alias("b"))
     # A central text ranks above all others of its bucket, so links to it hold no cycle.
     comps = forest_roots(verify(best))
-    ca, cb = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    rest = star.select("a", "b").join(ca, "a", "left").join(cb, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    of = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
+    many = frequent(star, ["b"])
+    rest = salted(star.select("a", "b").join(of("a"), "a", "left"), many, ["b"], "a").join(repeated(of("b"), many, ["b"]), ["b", "_salt"], "left")
+    rest = rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
     comps = merged(comps, verify(rest.where("ca <> cb").join(best, ["a", "b"], "left_anti")))
-    placed = shared.where("size > 2").join(comps, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = placed.join(mixed, "key", "left_semi").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # A text goes to the blocks of its chunk with every chunk of the bucket, its own included.
-    dealt = open_.select("key", "node", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("key", "node", "comp", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    loaded = dealt.join(one, "node").join(texts, "node")
-    more = loaded.groupBy("key", "i", "j").applyInArrow(_compared, "ca long, cb long")
-    comps = merged(comps, more)
+
+    def blocks(comps: DataFrame) -> DataFrame:
+        """(key, i, j, node, comp, chunk, tag): buckets that hold several components, in blocks."""
+        placed = shared.where("size > 2").join(comps, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+        chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+        open_ = salted(placed, hot, ["key"], "node").join(repeated(mixed, hot, ["key"]), ["key", "_salt"]).withColumn("chunks", chunks)
+        open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        # A text goes to the blocks of its chunk with every chunk of the bucket, its own included; without its text.
+        dealt = open_.select("key", "node", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "comp", "chunk")
+        return dealt.join(reps.select("node", "tag"), "node").select("key", "i", "j", "node", "comp", "chunk", "tag")
+
+    comps = merged(comps, verify(blocks(comps).groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long, ca long, cb long").dropDuplicates(["a", "b"]), "ab"))
+    living = cut(blocks(comps).groupBy("key", "i", "j").applyInArrow(_living, "key long, i int, j int, node long, comp long, chunk int, tag binary"))
+    if living.take(1):
+        comps = merged(comps, living.join(texts, "node").groupBy("key", "i", "j").applyInArrow(_compared, "ca long, cb long"))
     of_text = reps.join(comps, "node", "left").select("node", "rep", "copies", F.coalesce("comp", "node").alias("comp"))
-    classes = of_text.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = of_text.join(classes, "comp").select("node", "class_id", "class_size")
-    return sig.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first")
+    classes = of_text.groupBy("comp").agg(first, F.sum("copies").alias("class_size"))
+    return sig.select("doc_id", "node", "row"), of_text, cut(classes.select("comp", F.col("first.rep").alias("class_id"), F.col("first.node").alias("kept"), "class_size")), often
 
 
-def _one_of_each(sig: DataFrame, reps: DataFrame) -> DataFrame:
-    """The row of the smallest doc_id of every text."""
-    kept = sig.join(reps.select("node", "rep"), "node").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    return cut(kept.select("node", "bands", "tag").dropDuplicates(["node"]))  # whole rows may be repeated
+def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, class_size) for every row of ``docs(doc_id, text)``; class_id is the class's smallest doc_id."""
+    sig, of_text, classes, often = _classes(docs)
+    large = frequent(of_text, ["comp"])
+    named = salted(of_text, large, ["comp"], "node").join(repeated(classes, large, ["comp"]), ["comp", "_salt"]).select("node", "class_id", "class_size")
+    return salted(sig, often, ["node"], "row").join(repeated(named, often, ["node"]), ["node", "_salt"]).select("doc_id", "class_id", "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the one of the smallest doc_id.  Rows without a doc_id stay."""
-    classes = cut(near_duplicate_classes(docs).where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_times")))
-    kept = docs.join(classes.select("doc_id"), "doc_id", "left_semi")
-    if classes.where("_times > 1").take(1):  # whole rows that are repeated
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """``docs`` with one row of each class: one of its smallest doc_id, without a doc_id only if the whole class has none."""
+    # Texts of different classes may have the same doc_id, so a row is told by its text and its doc_id.
+    told = lambda doc_id: F.coalesce(F.col(doc_id).cast("string"), F.lit("\0")).alias("id")
+    _, _, classes, _ = _classes(docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), told("doc_id"))
+    # Of repeated rows one stays; they are cut in each task before the shuffle.
+    order = Window.partitionBy("node", "id").orderBy(F.xxhash64(F.to_json("doc")))
+    one = rows.withColumn("n", F.row_number().over(order)).where("n = 1")
+    kept = one.join(classes.select(F.col("kept").alias("node"), told("class_id")), ["node", "id"], "left_semi")
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -2,23 +2,27 @@
 
 1. Every text becomes token ids; only texts longer than a sequence are cut, into whole sequences and a rest.
 2. Lengths are integers of at most ``capacity``, so their histogram has at most ``capacity`` rows whatever the input is.
-   The plan is made from it alone: lengths above capacity / LARGE_SHARE are sorted, split into GROUPS groups of equal
-   cardinality and rounded up to the largest of their group; the configuration program over these few sizes is solved
-   by column generation over all configurations; its whole part fixes how many sequences of each configuration there
-   are; the actual lengths then take the slots of their groups, which leaves room the rounding had reserved; small and
-   left-over pieces go, longest first, to the fullest sequence that has room.
+   The plan is made from it alone: lengths above a third of the capacity are sorted, split into GROUPS groups of equal
+   cardinality and rounded up to the largest of their group.  At most two such sizes fit a sequence, so the
+   configuration program over them is a matching: the largest size takes the largest partner that fits, which is
+   optimal.  The actual lengths then take the slots of their groups, which gives back the room the rounding had
+   reserved; lengths that the rounding left alone in a sequence go back to the rest.  The rest and all small lengths go,
+   longest first, to the fullest sequence that has room.
    The plan is a list of runs - so many sequences alike - and its size depends on the number of lengths only.
-3. Each piece gets its number among the pieces of its length (prefix sums over hash buckets, so one length with most of
-   the rows is never numbered in one task) and finds its run by binary search in the broadcast plan.
+3. Each piece gets its number among the pieces of its length (prefix sums over salts; a length has the more of them the
+   more pieces it has, so one length with most of the rows is never numbered in one task) and finds its run by binary
+   search in the broadcast plan.
 
 Defined results: null and empty texts are one piece with the single closing id; equal rows are packed as often as they
-occur; a null doc_id is kept; further columns are ignored; an empty table gives an empty result.
+occur; a null doc_id is kept; further columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import bisect
 import itertools
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,19 +34,23 @@ from pyspark.sql import functions as F
 from .base import cut
 
 CAPACITY, CLOSING = 4096, 1
-LARGE_SHARE, GROUPS = 3, 100  # at most 2 large pieces fit a sequence: 100 sizes have at most C(102, 2) = 5,151 configurations
-SALTS = 64
-CACHED = 1_500_000  # words whose ids a Python worker remembers; it starts anew beyond
+GROUPS = 16384
+SALTS = 1024  # salts of a length that has all pieces; all lengths together have at most capacity + SALTS
+CACHED = 200_000  # words of one generation of a Python worker's memory, which holds two: about 60 MB
 
+#: Four separators split words in Python only; the lower case of sigma depends on its place; the others have a lower case
+#: in newer versions of Unicode only.
+_ODD = re.compile("[\x1c-\x1f\u0130\u03a3\u1c89\ua7cb-\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8]")
 _tokenizers: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
     """text -> ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins across white space, so the ids of a text are those of its white-space separated words,
-    and each word is encoded once per worker.  Texts with characters for which word-wise work could differ (control
-    characters, the tokenizer's own marks, capital sigma) are encoded whole.
+    The tokenizer composes characters, lower-cases them and never joins across white space, so the ids of a text are
+    those of the words of its composed lower-case form, and each word is encoded once while it is remembered.  A word
+    goes to the parts behind the normalizer: composing it again would join marks to letters that exist only in lower
+    case.  Texts with characters for which Python's lower case or white space may differ are encoded whole.
     """
     if path not in _tokenizers:
         import os
@@ -51,52 +59,35 @@ def _encoder(path: str):
         from tokenizers import Tokenizer
 
         _tokenizers[path] = (Tokenizer.from_file(path), _Known())
-    tok = _tokenizers[path][0]
-    model = tok.model
-    shown = _byte_letters()
+    tok, known = _tokenizers[path]
+    model, parts = tok.model, tok.pre_tokenizer
 
     def raw(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def whole(text: str) -> bytes:
-        return raw(tok.encode(text, add_special_tokens=False).ids)
-
-    def learn(word: str) -> bytes:
-        core = word.rstrip(".,;:!?")
-        if core.isascii() and core.isalpha() and len(word) - len(core) < 2:
-            parts = [core, word[len(core) :]]
-            return raw([t.id for p in parts if p for t in model.tokenize("".join(map(shown.__getitem__, p.encode())))])
-        return whole(word)
-
-    known = _tokenizers[path][1]
-    known.learn = learn
-
     def encode(text: str) -> bytes:
-        # Four separators split words in Python only; two capitals have lower-case forms that depend on their place.
-        if any(c in text for c in "\x1c\x1d\x1e\x1f") or "<|" in text or not text.isascii() and ("Σ" in text or "İ" in text):
-            return whole(text)
+        if "<|" in text or _ODD.search(text):
+            return raw(tok.encode(text, add_special_tokens=False).ids)
         if len(known) > CACHED:
+            known.older = dict(known)
             known.clear()
-        return b"".join(map(known.__getitem__, text.lower().split()))
+        return b"".join(map(known.__getitem__, unicodedata.normalize("NFC", text).lower().split()))
 
+    known.learn = lambda word: raw([t.id for part, _ in parts.pre_tokenize_str(word) for t in model.tokenize(part)])
     return encode
 
 
 class _Known(dict):
-    """Ids of words; an unknown word is learnt on the way."""
+    """Ids of words; an unknown word is learnt on the way, or taken over from the generation before."""
+
+    older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.learn(word)
+        out = self.older.get(word)
+        out = self[word] = self.learn(word) if out is None else out
         return out
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable stand-ins that byte-level vocabularies use: printable Latin-1 bytes stand for themselves."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing: int = CLOSING) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of ``docs(doc_id, text)``."""
 
@@ -124,44 +115,19 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 # --- the plan, from the histogram ------------------------------------------------------------------------------------
 
 
-def _configurations(sizes: list[int], most: list[int], capacity: int) -> np.ndarray:
-    """All ways to fill one sequence with the sizes (descending), as rows of counts; the empty one is left out."""
-    found: list[tuple[int, ...]] = []
-
-    def fill(k: int, room: int, row: tuple[int, ...]) -> None:
-        if k == len(sizes):
-            found.append(row)
-            return
-        for n in range(min(room // sizes[k], most[k]) + 1):
-            fill(k + 1, room - n * sizes[k], (*row, n))
-
-    fill(0, capacity, ())
-    return np.array(sorted(found)[1:], dtype=float).reshape(-1, len(sizes))
-
-
-def _configuration_program(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The whole part of an optimal basic solution: min sum x with A x >= demand, columns being configurations."""
-    columns = _configurations(sizes, demand, capacity)
-    g = len(sizes)
-    basis = np.diag([float(min(capacity // s, d)) for s, d in zip(sizes, demand)])
-    x = np.array(demand, float) / np.diag(basis)
-    for _ in range(50 * g + 200):
-        price = np.linalg.solve(basis.T, np.ones(g))
-        gain = columns @ price
-        enter = int(np.argmax(gain))
-        if gain[enter] <= 1 + 1e-9:
-            break
-        move = np.linalg.solve(basis, columns[enter])
-        ok = move > 1e-12
-        if not ok.any():
-            break
-        ratio = np.where(ok, x / np.where(ok, move, 1), np.inf)
-        out = int(np.argmin(ratio))
-        x = x - ratio[out] * move
-        x[out] = ratio[out]
-        basis[:, out] = columns[enter]
-        x = np.maximum(x, 0)
-    return [(tuple(int(round(v)) for v in basis[:, k]), int(x[k] + 1e-6)) for k in range(g) if x[k] >= 1 - 1e-6]
+def _configuration_program(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[int, int, int]]:
+    """(k, j, times): sizes k and j share a sequence so often; sizes are descending and above a third of the capacity."""
+    out, left = [], list(demand)
+    for k, size in enumerate(sizes):
+        at = max(k, bisect.bisect_left(sizes, size - capacity, key=lambda s: -s))  # the largest size that fits beside it
+        while left[k] and at < len(sizes):
+            times = left[k] // 2 if at == k else min(left[k], left[at])
+            if times:
+                out.append((k, at, times))
+                left[k] -= times
+                left[at] -= times
+            at += 1
+    return out
 
 
 def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
@@ -170,60 +136,38 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
     Every piece is placed exactly once and no sequence is longer than ``capacity``.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
-    large = sorted((n for n in left if n * LARGE_SHARE > capacity and n < capacity), reverse=True)
+    large = sorted((n for n in left if n * 3 > capacity and n < capacity), reverse=True)
     runs: list[tuple[int, tuple[int, ...]]] = []
     if left.get(capacity):
         runs.append((left.pop(capacity), (capacity,)))
-    if large:
-        total = sum(left[n] for n in large)
-        # Groups of equal cardinality along the sorted lengths; one length may lie in several groups.
-        share = -(-total // min(GROUPS, total))
-        groups: list[list[list[int]]] = [[]]  # per group: [length, count] descending
-        room = share
-        for n in large:
-            c = left[n]
-            while c:
-                if not room:
-                    groups.append([])
-                    room = share
-                take = min(c, room)
-                groups[-1].append([n, take])
-                c, room = c - take, room - take
-        sizes, demand = [g[0][0] for g in groups], [sum(c for _, c in g) for g in groups]
-        merged: dict[int, int] = {}
-        for k, s in enumerate(sizes):
-            merged.setdefault(s, k)
-        for k, s in enumerate(sizes):  # groups of one size are one
-            if merged[s] != k:
-                groups[merged[s]] += groups[k]
-                demand[merged[s]] += demand[k]
-        keep = sorted(merged.values())
-        groups, sizes, demand = [groups[k] for k in keep], [sizes[k] for k in keep], [demand[k] for k in keep]
-        for config, times in _configuration_program(sizes, demand, capacity):
-            slots = [k for k, n in enumerate(config) for _ in range(n)]
-            # Substitution: the longest actual lengths of each group first; a run ends where a slot's length changes.
-            while times:
-                need: dict[int, int] = {}
-                for k in slots:
-                    need[k] = need.get(k, 0) + 1
-                if any(sum(c for _, c in groups[k]) < n for k, n in need.items()):
-                    break
-                heads: list[int] = []
-                taken: dict[tuple[int, int], int] = {}
-                for k in slots:
-                    for i, (n, c) in enumerate(groups[k]):
-                        if c > taken.get((k, i), 0):
-                            taken[k, i] = taken.get((k, i), 0) + 1
-                            heads.append(n)
-                            break
-                many = min([times, *(groups[k][i][1] // n for (k, i), n in taken.items())])
-                for (k, i), n in taken.items():
-                    groups[k][i][1] -= n * many
-                    left[groups[k][i][0]] -= n * many
-                for k in need:
-                    groups[k] = [x for x in groups[k] if x[1]]
-                runs.append((many, tuple(heads)))
-                times -= many
+    # Groups of equal cardinality along the sorted lengths, as lists of [length, count]; a length may lie in several.
+    total = sum(left[n] for n in large)
+    share = -(-total // GROUPS)
+    groups: list[list[list[int]]] = []
+    room = 0
+    for n in large:
+        c = left[n]
+        while c:
+            if not room:
+                groups.append([])
+                room = share
+            take = min(c, room)
+            groups[-1].append([n, take])
+            c, room = c - take, room - take
+    for k, j, times in _configuration_program([g[0][0] for g in groups], [sum(c for _, c in g) for g in groups], capacity):
+        # Substitution: the longest actual lengths of both groups first; a run ends where a length changes.
+        while times:
+            one, two = groups[k][0], groups[j][0]
+            if one is two and one[1] == 1:
+                two = groups[j][1]
+            many = min(times, one[1] // 2 if one is two else min(one[1], two[1]))
+            runs.append((many, (one[0], two[0])))
+            for part in (one, two):
+                part[1] -= many
+                left[part[0]] -= many
+            for g in {k, j}:
+                groups[g] = [x for x in groups[g] if x[1]]
+            times -= many
     # Best fit, longest first: the rest of the large and all small lengths.  Bins are kept as runs by free room.
     rooms: list[int] = []
     by_room: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
@@ -280,28 +224,31 @@ def _slots(plan: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, ...]:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces(doc_id, piece, start, length, ids_crc32)."""
     spark = pieces.sparkSession
-    salted = cut(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    cells = {(r[0], r[1]): r[2] for r in counts.collect()}  # at most capacity x SALTS rows
-    histogram: dict[int, int] = {}
-    first: dict[tuple[int, int], int] = {}
-    for (n, salt), c in sorted(cells.items()):
-        first[n, salt] = histogram.get(n, 0)
-        histogram[n] = histogram.get(n, 0) + c
-    before = np.zeros((capacity + 1, SALTS), np.int64)
-    for (n, salt), c in first.items():
-        before[n, salt] = c
-    # Both are bounded by the capacity: (capacity + 1) x SALTS numbers, and a plan of a few runs for each length.
-    sent = spark.sparkContext.broadcast((_slots(packing_plan(histogram, capacity)), before))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    rows = cut(pieces.withColumn("row", F.monotonically_increasing_id()))
+    histogram = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most capacity rows
+    total = sum(histogram.values())
+    salts = {n: 1 + c * SALTS // total for n, c in histogram.items()}
+    dealt = spark.createDataFrame([*salts.items()], "length long, salts int")
+    salted = rows.join(F.broadcast(dealt), "length").withColumn("salt", F.pmod("row", "salts").cast("int")).drop("salts")
+    begun, left = {}, dict.fromkeys(histogram, 0)
+    for n, salt, c in sorted(tuple(r) for r in salted.groupBy("length", "salt").count().collect()):  # at most capacity + SALTS rows
+        begun[n, salt] = left[n]
+        left[n] += c
+    first = np.cumsum([0, *(salts.get(n, 0) for n in range(capacity + 1))])
+    before = np.zeros(first[-1], np.int64)
+    for (n, salt), c in begun.items():
+        before[first[n] + salt] = c
+    # All are bounded by the capacity: a number for each salt, and a plan of a few runs for each length.
+    sent = spark.sparkContext.broadcast((_slots(packing_plan(histogram, capacity)), first, before))
+    order = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("rank", F.row_number().over(order) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (length, begin, _, sequence, per, offset), before = sent.value
+        (length, begin, _, sequence, per, offset), first, before = sent.value
         key = length << 40 | begin
         for batch in batches:
             n, salt = (batch.column(c).to_numpy() for c in ("length", "salt"))
-            rank = before[n, salt] + batch.column("rank").to_numpy()
+            rank = before[first[n] + salt] + batch.column("rank").to_numpy()
             at = np.searchsorted(key, n << 40 | rank, "right") - 1
             along = rank - begin[at]
             out = batch.select(["doc_id", "piece", "start", "length", "ids_crc32"])

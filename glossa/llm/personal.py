@@ -4,16 +4,19 @@ Base spans come from the four regular expressions of the contract, written so th
 quantifiers; a match may only begin where a run of its characters begins or where the last match ended - beginning
 later inside a run could not succeed where its beginning fails).
 
-The base spans are seeds.  Every token with a digit or @ is an instance, and the two words before it are its pattern;
-words with a digit or @ stand in it as marks.
-Instances and patterns form a bipartite graph, which is scored in turns: a pattern is as good as the mean of its
-different instances, counted with a doubt of DOUBT unknown ones; an instance is as good as its best pattern, and seeds
-stay at 1.  Patterns of GOOD or better with at least SUPPORT different instances mark the tokens after them that look
-like identifiers as spans of kind ``context``.  Frequent patterns are pre-aggregated; no group is gathered.
+Seeds are the base spans and tokens that look like keys (SECRET: at least 20 characters that mix letters and digits).
+Every token with a digit or @ is an instance; its patterns are the two words before it and, where the word before is a
+label (it ends in : = or #), that word alone.  Words with a digit or @ stand in patterns as marks.  Instances, patterns
+and shapes of instances (letters and digits replaced by marks) form a graph, which is scored in turns: a pattern is as
+good as the mean of its different instances, counted with a doubt of DOUBT unknown ones, and a shape likewise; an
+instance is as good as its best pattern, or nearly as good as its shape (LIKENESS); seeds stay at 1.  So confidence goes
+from seeds to patterns, to unseen instances after these, to others of their shape, and on to further patterns.
+Patterns of GOOD or better with at least SUPPORT different instances mark the tokens after them that look like
+identifiers as spans of kind ``context``.  Frequent patterns are pre-aggregated; no group is gathered.
 
 Defined results: null text counts as empty; repeated rows each get their spans; a null doc_id is kept; overlapping
-spans of different kinds all stand (masking merges them); further columns are ignored by ``personal_data`` and kept by
-``mask``; an empty table gives an empty result.
+spans of different kinds all stand (masking merges them); further columns, whatever their names, are ignored by
+``personal_data`` and kept by ``mask``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 KINDS = ["email", "ip", "card", "phone", "context"]
 TOKEN = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-ROUNDS, GOOD, SUPPORT, DOUBT = 3, 0.8, 4, 0.5
+#: What looks like a key; and what looks like an identifier, if a good pattern stands before it.
+SECRET = r"^(?=(?:[^0-9]*[0-9]){4})(?=(?:[^A-Za-z]*[A-Za-z]){4})[A-Za-z0-9_+/=-]{20,}$"
+LIKELY = "length({0}) >= 6 AND length(regexp_replace({0}, '[^0-9]', '')) >= 4"
+ROUNDS, GOOD, SUPPORT, DOUBT, LIKENESS = 4, 0.8, 4, 0.5, 0.9
 CHUNK = 256
 
 
@@ -110,43 +116,62 @@ def base_spans(text: Column) -> Column:
 
 
 def _annotated(docs: DataFrame) -> DataFrame:
-    """Rows with a digit or @, with base spans, and the tokens in question with their patterns."""
+    """(_doc, text, _base, _tokens) of rows with a digit or @: base spans, and the tokens in question with their patterns."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.where(text.rlike("[0-9@]")).withColumn("text", text)
+    rows = docs.where(text.rlike("[0-9@]")).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_doc"), text.alias("text"))
     rows = rows.withColumn("_base", base_spans(F.col("text")))
+    lead = lambda m: F.length(F.regexp_extract(m, "^[^A-Za-z0-9+]*", 0))
     core = lambda m: F.regexp_replace(m, r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
     # The instance of a token that opens a base span is the whole span; tokens inside a span are part of it.
     opened = lambda x: F.get(F.filter("_base", lambda b: (b["s"] >= x["s"]) & (b["s"] < x["e"])), F.lit(0))
     entity = lambda b: F.substring("text", (b["s"] + 1).cast("int"), (b["e"] - b["s"]).cast("int"))
-    tokens = F.filter(
-        F.transform(matches(F.col("text"), TOKEN, True), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["before"].alias("pattern"), F.coalesce(entity(opened(x)), core(x["m"])).alias("instance"))),
-        lambda x: (x["pattern"] != "") & (x["instance"] != "") & ~F.exists("_base", lambda b: (b["s"] < x["s"]) & (x["s"] < b["e"])),
-    )
+    token = lambda x: F.struct(
+        (x["s"] + lead(x["m"])).alias("s"), (x["s"] + lead(x["m"]) + F.length(core(x["m"]))).alias("e"), x["before"].alias("pattern"),
+        F.coalesce(entity(opened(x)), core(x["m"])).alias("instance"), F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])).alias("known"),
+        F.exists("_base", lambda b: (b["s"] < x["s"]) & (x["s"] < b["e"])).alias("inside"),
+    )
+    tokens = F.filter(F.transform(matches(F.col("text"), TOKEN, True), token), lambda x: (x["pattern"] != "") & (x["instance"] != "") & ~x["inside"])
     return rows.withColumn("_tokens", tokens)
 
 
+def _patterns(before: Column) -> Column:
+    """The patterns of a token with these two words before it."""
+    last = F.substring_index(before, " ", -1)
+    return F.array_compact(F.array(before, F.when(last.rlike("[a-z].*[:=#]$"), last)))
+
+
+def _shape(instance: Column) -> Column:
+    return F.when(instance.rlike(SECRET), "key").otherwise(F.regexp_replace(F.regexp_replace(instance, "[^0-9@.:/+() _-]+", "a"), "[0-9]", "0"))
+
+
 def _good_patterns(found: DataFrame) -> DataFrame:
     """(pattern, score) of the patterns that extract personal data."""
-    seeded = F.expr("exists(_base, b -> b.s < t.e AND t.s < b.e)")
-    links = found.select("_base", F.explode("_tokens").alias("t")).select("t.pattern", "t.instance", seeded.cast("int").alias("seed"))
-    links = cut(links.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    scores = links.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
+    tokens = found.select(F.explode("_tokens").alias("t")).select("t.pattern", "t.instance", (F.col("t.known") | F.col("t.instance").rlike(SECRET)).cast("double").alias("seed"))
+    tokens = tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    links = cut(tokens.select(F.explode(_patterns(F.col("pattern"))).alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    own = cut(links.groupBy("instance").agg(F.max("seed").alias("seed")).withColumn("shape", _shape(F.col("instance"))))
+    scores = own.select("instance", "shape", "seed", F.col("seed").alias("score"))
+    mean = (F.sum("score") / (F.count("*") + DOUBT)).alias("good")
     for _ in range(ROUNDS):
-        patterns = links.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + DOUBT)).alias("good"), F.count("*").alias("n"))
-        patterns = cut(patterns)
-        scores = cut(links.join(patterns, "pattern").groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), F.max("good")).alias("score")))
+        patterns = cut(links.join(scores.select("instance", "score"), "instance").groupBy("pattern").agg(mean, F.count("*").alias("n")))
+        shapes = scores.groupBy("shape").agg(mean).select("shape", (LIKENESS * F.col("good")).alias("like"))
+        met = links.join(patterns, "pattern").groupBy("instance").agg(F.max("good").alias("good"))
+        scores = cut(own.join(met, "instance").join(shapes, "shape").select("instance", "shape", "seed", F.greatest("seed", "good", "like").alias("score")))
     return patterns.where((F.col("good") >= GOOD) & (F.col("n") >= SUPPORT)).select("pattern", F.col("good").alias("score"))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a digit or @, with ``_spans``: array<struct<s, k, e>>, all spans by start and kind."""
+    """(_doc, text, _base, _spans) of the rows of ``docs`` with a digit or @.
+
+    _doc is the row without its text, _base and _spans are array<struct<s, k, e>>: the base spans and all spans, by start and kind.
+    """
     found = cut(_annotated(docs).withColumn("_row", F.monotonically_increasing_id()))  # written, so the numbers stay
     good = _good_patterns(found)
-    fresh = found.select("_row", "_base", F.explode("_tokens").alias("t")).where("NOT exists(_base, b -> b.s < t.e AND t.s < b.e)")
-    fresh = fresh.where(r"length(t.instance) >= 6 AND length(regexp_replace(t.instance, '[^0-9]', '')) >= 4").select("_row", "t.pattern", "t.s", "t.e")
-    more = fresh.join(good, "pattern").groupBy("_row").agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e")).alias("_more"))
+    fresh = found.select("_row", F.explode("_tokens").alias("t")).where("NOT t.known").where(LIKELY.format("t.instance"))
+    fresh = fresh.select("_row", F.explode(_patterns(F.col("t.pattern"))).alias("pattern"), "t.s", "t.e")
+    more = fresh.join(good, "pattern").groupBy("_row").agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e")).alias("_more"))
     spans = F.array_sort(F.concat("_base", F.coalesce("_more", F.array().cast("array<struct<s:bigint,k:int,e:bigint>>"))))
-    return found.join(more, "_row", "left").withColumn("_spans", spans).drop("_row", "_tokens", "_more")
+    return found.join(more, "_row", "left").select("_doc", "text", "_base", spans.alias("_spans"))
 
 
 def _shown(spans: Column) -> Column:
@@ -159,7 +184,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     found = found_spans(rows)
     of = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long")
-    some = found.select("doc_id", *[of(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])], F.sha2(_shown(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _shown(F.col("_spans")).alias("spans"))
+    some = found.select("_doc.doc_id", *[of(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])], F.sha2(_shown(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _shown(F.col("_spans")).alias("spans"))
     none = rows.where(~F.coalesce("text", F.lit("")).rlike("[0-9@]"))
     zero = F.lit(0).cast("long")
     return some.unionByName(none.select("doc_id", *[zero.alias(f"n_{name}") for name in KINDS[:4]], F.sha2(F.lit("").cast("binary"), 256).alias("base_sha256"), F.lit("").alias("spans")))
@@ -176,8 +201,7 @@ def mask(docs: DataFrame) -> DataFrame:
         both = F.struct(last["s"].alias("s"), last["k"].alias("k"), F.greatest(last["e"], x["e"]).alias("e"))
         return F.when((F.size(a) > 0) & (x["s"] < last["e"]), F.array_append(F.slice(a, 1, F.size(a) - 1), both)).otherwise(F.array_append(a, x))
 
-    merged = F.aggregate("_spans", none, join)
-    found = found.withColumn("_merged", merged)
+    found = found.withColumn("_merged", F.aggregate("_spans", none, join))
     text = F.col("text")
 
     def cover(spans: Column) -> Column:
@@ -186,5 +210,6 @@ def mask(docs: DataFrame) -> DataFrame:
         rest = F.substring(text, (F.get(spans, F.size(spans) - 1)["e"] + 1).cast("int"), F.length(text))
         return F.concat(F.array_join(parts, ""), rest)
 
-    masked = found.withColumn("text", F.when(F.size("_merged") > 0, cover(F.col("_merged"))).otherwise(text)).select(docs.columns)
-    return masked.unionByName(docs.where(~F.coalesce("text", F.lit("")).rlike("[0-9@]")))
+    masked = F.when(F.size("_merged") > 0, cover(F.col("_merged"))).otherwise(text)
+    kept = found.select(*[masked.alias(c) if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    return kept.unionByName(docs.where(~F.coalesce("text", F.lit("")).rlike("[0-9@]")))

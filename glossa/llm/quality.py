@@ -1,16 +1,15 @@
 """Quality classifier by nearest-neighbour voting among labelled latent-semantic vectors.
 
 A text becomes weighted counts of hashed letter triples and of hashed quadruples of character classes, and a few shape
-measures.  A bounded sample of labelled texts (LABELLED rows of smallest hash) gives inverse document frequencies and,
+measures.  A bounded sample of labelled texts (the LABELLED different ones of smallest hash) gives inverse document frequencies and,
 by a randomized singular value decomposition, the latent space of DIMENSIONS; both and the labelled vectors are
 broadcast - their size depends on these parameters alone.  Every document is projected, its cosines with all labelled
 vectors are computed in blocks of matrix products, and its NEIGHBOURS nearest vote with the weight of their cosine.
 
 Only the text is ever an input of a score.  Learning uses rows whose crc32(doc_id as text) mod 3 is not 1.
 
-Defined results: null and empty texts have a vector of their own shape measures and get a score as any other text;
-without any labelled text every score is 0.5; repeated rows get equal scores; a null doc_id is not held out; further
-columns are ignored by ``score`` and kept by ``keep_good``; an empty table gives an empty result.
+Defined results: null and empty texts score 0, having nothing to keep; without any labelled text every score is 0.5; repeated rows get equal scores and count once in the sample; a null doc_id is not held out; further columns,
+whatever their names, are ignored by ``score`` and kept by ``keep_good``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -101,21 +100,24 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Space, np.ndarray, np.ndarray] | None:
     """Space, labelled vectors and labels from a bounded sample of the rows that are not held out."""
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(LABELLED)  # the documented bound: small enough to broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_label")).distinct()
+    text = F.coalesce("text", F.lit("")).alias("text")
+    texts = docs.select(F.col("doc_id").alias("_id"), text).where("text <> ''").join(known, "_id").withColumn("_hash", F.xxhash64("_id", "_label", "text"))
+    # The documented bound is taken of the rows that have a text, by their hashes, before any text leaves its task.
+    first = texts.select("_hash").distinct().orderBy("_hash").limit(LABELLED)
+    last = first.agg(F.max("_hash")).first()[0]
+    if last is None:
+        return None
+    texts = texts.where(F.col("_hash") <= last).dropDuplicates(["_hash"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, raws in slices(b.column("text").to_pylist()):
+            for first, raws in slices(b.column("text")):
                 x = features(raws)  # float32: counts of long texts pass the range of float16
-                yield pa.RecordBatch.from_arrays([b.column("_id").slice(first, len(raws)), b.column("_label").slice(first, len(raws)).cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "x"])
+                part = slice(first, first + len(raws))
+                yield pa.RecordBatch.from_arrays([b.column("_hash")[part], b.column("_label")[part].cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["hash", "label", "x"])
 
-    kind = labels.schema["doc_id"].dataType.simpleString()
-    rows = texts.select("_id", "_label", "text").mapInArrow(work, f"id {kind}, label int, x binary").toArrow()
-    if not rows.num_rows:
-        return None
-    rows = rows.take(pa.array(np.lexsort(([*rows["x"].to_pylist()], rows["id"].to_numpy()))[: 2 * LABELLED])) if rows.num_rows > 1 else rows
+    rows = texts.select("_hash", "_label", "text").mapInArrow(work, "hash long, label int, x binary").toArrow().sort_by("hash")
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
     space = Space(x)
     return space, space.vectors(x), rows["label"].to_numpy().astype(np.float32)
@@ -135,21 +137,24 @@ def vote(v: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int = NEIGHB
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for all rows of ``docs(doc_id, text)``."""
-    model = fit(docs, labels)
-    rows = docs.select("doc_id", "text")
-    if model is None:
-        out = rows.select("doc_id", F.lit(0.5).alias("score"))
-    else:
-        out = rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), False), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    out = docs.select("doc_id", "text").mapInArrow(_scorer(docs, labels, False), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
-def _scorer(sent, keep: bool):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scorer(docs: DataFrame, labels: DataFrame, keep: bool):
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def scores(raws: list[bytes]) -> np.ndarray:
+        if sent.value is None:
+            return np.full(len(raws), 0.5)
         space, vectors, labels = sent.value
+        out = np.clip(vote(space.vectors(features(raws)), vectors, labels), 0, 1)
+        out[[not x for x in raws]] = 0
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [vote(space.vectors(features(raws)), vectors, labels) for _, raws in slices(b.column("text").to_pylist())]
-            s = np.clip(np.concatenate(scores), 0, 1) if scores else np.zeros(0)
+            s = np.concatenate([scores(raws) for _, raws in slices(b.column("text"))] or [np.zeros(0)])
             if keep:
                 yield b.filter(pa.array(s >= 0.5))
             else:
@@ -160,5 +165,4 @@ def _scorer(sent, keep: bool):
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts to be good."""
-    model = fit(docs, labels)
-    return docs if model is None else docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), True), docs.schema)
+    return docs.mapInArrow(_scorer(docs, labels, True), docs.schema)

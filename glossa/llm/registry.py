@@ -67,9 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP1 = """
-WITH v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64
+WITH v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-d AS (SELECT q.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(q.e, b.e), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+d AS (SELECT q.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(q.e, b.e), lambda p: CASE WHEN coalesce(p[1] > 0, FALSE) <> coalesce(p[2] > 0, FALSE) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
   FROM v q JOIN v b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 20
 """

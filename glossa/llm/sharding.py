@@ -5,12 +5,12 @@ node clockwise takes it.  A shard takes no more than the mean load (plus SLACK);
 clockwise to the next virtual node whose shard has room.
 
 The ring is cut into cells, and a cell that holds more than its part of the bytes (one text copied a million times is
-one point of the ring) is cut further by the hash of the doc_id.  Only the cells' byte and row totals reach the driver -
-at most CELLS + 2 x FINE rows whatever the input is - where the loads are settled; documents find their cell's shard by
-an equi-join.  Larger cells are settled before smaller ones, which leaves the even filling to the small.
+one point of the ring) is cut further by the hash of the doc_id, and what is still too large then - whole rows that are
+repeated - by the number of the row.  Only the cells' byte and row totals reach the driver - at most CELLS + 3 x FINE
+rows whatever the input is - where the loads are settled; documents find their cell's shard by an equi-join.  Larger cells are settled before smaller ones, which leaves the even filling to the small.
 
 Defined results: null text has no bytes and size 1; null doc_ids are sharded by their text; equal rows are separate
-rows; further columns are ignored; an empty table gives an empty result.
+rows; further columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,14 +34,14 @@ def _ring(shards: int, nodes: int) -> list[tuple[int, int]]:
     return sorted((place(s, k), s) for s in range(shards) for k in range(nodes))
 
 
-def settle(cells: list[tuple[int, int, int]], shards: int, nodes: int = NODES) -> list[int]:
-    """The shard of each cell (ring place, sub-cell, load); loads are bounded by the mean and SLACK."""
+def settle(cells: list[tuple[int, int, int, int]], shards: int, nodes: int = NODES) -> list[int]:
+    """The shard of each cell (ring place, part, piece, load); loads are bounded by the mean and SLACK."""
     ring = _ring(shards, nodes)
     places = [p for p, _ in ring]
-    bound = sum(c[2] for c in cells) / shards * (1 + SLACK)
+    bound = sum(c[3] for c in cells) / shards * (1 + SLACK)
     load, out = [0] * shards, [0] * len(cells)
-    for k in sorted(range(len(cells)), key=lambda k: (-cells[k][2], cells[k][:2])):
-        place, _, size = cells[k]
+    for k in sorted(range(len(cells)), key=lambda k: (-cells[k][3], cells[k][:3])):
+        place, _, _, size = cells[k]
         at = bisect.bisect_left(places, place)
         for step in range(len(ring)):
             s = ring[(at + step) % len(ring)][1]
@@ -65,21 +65,25 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.xxhash64(text).alias("_key"),
     )
     placed = rows.select("*", F.pmod("_key", F.lit(CELLS)).cast("int").alias("_cell"), F.pmod(F.xxhash64("doc_id", "_key"), F.lit(1 << 20)).alias("_fine"))
-    kept = cut(placed.drop("_key"))
-    totals = kept.groupBy("_cell").agg(F.sum("size").alias("_load"))
-    # How many parts a cell is cut into: 1 for nearly all; together at most CELLS + FINE.
-    parts = totals.select("_cell", F.ceil(F.col("_load") * FINE / F.sum("_load").over(Window.partitionBy())).cast("int").alias("_parts"))
-    cells = kept.join(F.broadcast(parts), "_cell").withColumn("_part", F.pmod("_fine", "_parts").cast("int"))  # parts: CELLS rows at most
-    stats = cells.groupBy("_cell", "_part").agg(F.sum("size").alias("load"), F.count("*").alias("n"))
-    found = sorted((r[0], r[1], r[2], r[3]) for r in stats.collect())
-    owner = settle([c[:3] for c in found], shards)
+    kept = cut(placed.drop("_key").withColumn("_row", F.monotonically_increasing_id()))  # written, so the numbers stay
+
+    def finer(rows: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
+        """``rows`` with the part of their cell: one for nearly all cells, together at most cells + FINE."""
+        totals = rows.groupBy(*keys).agg(F.sum("size").alias("_load"))
+        parts = totals.select(*keys, F.ceil(F.col("_load") * FINE / F.sum("_load").over(Window.partitionBy())).cast("int").alias("_parts"))
+        return rows.join(F.broadcast(parts), keys).withColumn(name, F.pmod(by, "_parts").cast("int")).drop("_parts")
+
+    cells = finer(finer(kept, ["_cell"], "_fine", "_part"), ["_cell", "_part"], "_row", "_piece")
+    stats = cells.groupBy("_cell", "_part", "_piece").agg(F.sum("size").alias("load"), F.count("*").alias("n"))
+    found = sorted(tuple(r) for r in stats.collect())
+    owner = settle([c[:4] for c in found], shards)
     begun, settled = [0] * shards, []
-    for (cell, part, _, n), s in zip(found, owner):
-        settled.append((cell, part, s, begun[s]))
+    for (cell, part, piece, _, n), s in zip(found, owner):
+        settled.append((cell, part, piece, s, begun[s]))
         begun[s] += n
-    plan = spark.createDataFrame(settled, "_cell int, _part int, shard int, _begin long")
-    order = Window.partitionBy("_cell", "_part").orderBy("doc_id", "text_crc32", "size")
-    out = cells.withColumn("_at", F.row_number().over(order) - 1).join(F.broadcast(plan), ["_cell", "_part"])
+    plan = spark.createDataFrame(settled, "_cell int, _part int, _piece int, shard int, _begin long")
+    order = Window.partitionBy("_cell", "_part", "_piece").orderBy("doc_id", "text_crc32", "size")
+    out = cells.withColumn("_at", F.row_number().over(order) - 1).join(F.broadcast(plan), ["_cell", "_part", "_piece"])
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_begin") + F.col("_at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

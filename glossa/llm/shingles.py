@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
-SLICE = 1 << 20  # bytes of text that are worked on at once: keeps temporaries in cache and bounded
+SLICE = 1 << 19  # bytes of text that are worked on at once: keeps temporaries in cache and bounded
 _PRIME, _STEP = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 _INVERSE = U(pow(int(_PRIME), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -34,11 +35,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def slices(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, texts in UTF-8) for runs of about SLICE bytes; null counts as empty."""
+def slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first text, texts in UTF-8) for runs of about SLICE bytes; null counts as empty.
+
+    A batch is never turned into Python texts as a whole, since a worker keeps the memory of its largest batch.
+    """
     first, held, size = 0, [], 0
     for k, x in enumerate(texts):
-        raw = (x or "").encode("utf-8", "replace")
+        raw = (x.as_py() or "").encode("utf-8", "replace")
         if held and size + len(raw) > SLICE:
             yield first, held
             first, held, size = k, [], 0
@@ -51,18 +55,26 @@ def slices(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each text the place of its first word (one more entry than texts).
 
-    Words are runs of ASCII letters, digits and characters beyond ASCII; A-Z count as a-z.
+    Words are runs of ASCII letters, digits and characters beyond ASCII; A-Z count as a-z.  Very long texts are hashed
+    in parts that end between words, so the temporaries do not grow with the text.
     """
     data = _LOWER[np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)]
-    inside = _WORD[data]
-    turn = np.flatnonzero(np.diff(inside, prepend=False))
-    start, end = turn[::2], turn[1::2]
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        to = min(len(data), at + 4 * SLICE)
+        while _WORD[data[to - 1]]:  # the last byte is no part of a word
+            to += 1
+        part = data[at:to]
+        turn = np.flatnonzero(np.diff(_WORD[part], prepend=False))
+        start, end = turn[::2], turn[1::2]
+        up, down = _power_tables(len(part) + 1)
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum((part.astype(U) + U(1)) * up[: len(part)], out=sums[1:])
+        hashes.append(mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U)))
+        starts.append(start + at)
+        at = to
     texts = np.cumsum([0, *(len(x) + 1 for x in raws)])
-    return hashes, np.searchsorted(start, texts)
+    return np.concatenate(hashes or [np.zeros(0, U)]), np.searchsorted(np.concatenate(starts or [np.zeros(0, np.int64)]), texts)
 
 
 def counted(raws: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

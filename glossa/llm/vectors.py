@@ -7,22 +7,16 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of vectors that are neither null, empty nor zero and hold only finite numbers.
-
-    Vectors of another length than most have no inner product with these and take no part either.
-    """
+    """(vec_id, embedding) of vectors that are neither null, empty nor zero and hold only finite numbers."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
-    good = good.where(finite & F.exists("embedding", lambda x: x != 0))
-    sizes = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return good.where(F.size("embedding") == (sizes[0][0] if sizes else 0))
+    return vectors.select("vec_id", "embedding").where((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0))
 
 
-def first_ids(rows: DataFrame, key: str, keep: int) -> DataFrame:
-    """The ``keep`` rows of smallest vec_id for each key.
+def first_ids(rows: DataFrame, keys: list[str], keep: int) -> DataFrame:
+    """The ``keep`` rows of smallest vec_id (null last) for each key, numbered by _n.
 
     Spark cuts the groups before the shuffle as well (window group limit), so a class with a third of all rows sends
     ``keep`` rows from each task and is never gathered.
     """
-    order = Window.partitionBy(key).orderBy("vec_id")
+    order = Window.partitionBy(*keys).orderBy(F.col("vec_id").asc_nulls_last())
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep)
