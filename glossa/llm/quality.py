@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import cut
 from .shingles import slices
 
 LABELLED, DIMENSIONS, NEIGHBOURS = 5000, 64, 15
@@ -69,9 +70,11 @@ class Space:
     """Weights of the features and the projection on the latent space."""
 
     def __init__(self, x: np.ndarray):
-        seen = (x[:, :-SHAPE] > 0).sum(axis=0)
+        seen = sum((x[i : i + BLOCK, :-SHAPE] > 0).sum(axis=0) for i in range(0, len(x), BLOCK))
         self.idf = np.log((1 + len(x)) / (1 + seen)).astype(np.float32)
-        a = self.weighted(x)
+        a = np.empty_like(x)
+        for i in range(0, len(x), BLOCK):  # in blocks: the driver holds the sample twice, not many times
+            a[i : i + BLOCK] = self.weighted(x[i : i + BLOCK])
         rng = np.random.default_rng(5)
         y = a @ rng.standard_normal((a.shape[1], min(DIMENSIONS + 16, len(x)))).astype(np.float32)
         for _ in range(2):
@@ -101,14 +104,12 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Space, np.ndarray, np.ndarray] | None:
     """Space, labelled vectors and labels from a bounded sample of the rows that are not held out."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_label")).distinct()
-    text = F.coalesce("text", F.lit("")).alias("text")
-    texts = docs.select(F.col("doc_id").alias("_id"), text).where("text <> ''").join(known, "_id").withColumn("_hash", F.xxhash64("_id", "_label", "text"))
     # The documented bound is taken of the rows that have a text, by their hashes, before any text leaves its task.
-    first = texts.select("_hash").distinct().orderBy("_hash").limit(LABELLED)
-    last = first.agg(F.max("_hash")).first()[0]
-    if last is None:
-        return None
-    texts = texts.where(F.col("_hash") <= last).dropDuplicates(["_hash"])
+    text = F.coalesce("text", F.lit("")).alias("text")
+    texts = docs.select(F.col("doc_id").alias("_id"), text).where("text <> ''").withColumn("_text", F.xxhash64("text"))
+    chosen = texts.select("_id", "_text").join(known, "_id").select("_id", "_text", "_label", F.xxhash64("_id", "_label", "_text").alias("_hash")).distinct()
+    chosen = cut(chosen.orderBy("_hash").limit(LABELLED))
+    texts = texts.join(F.broadcast(chosen), ["_id", "_text"]).dropDuplicates(["_hash"])  # LABELLED rows at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,10 +118,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Space, np.ndarray, np.ndarr
                 part = slice(first, first + len(raws))
                 yield pa.RecordBatch.from_arrays([b.column("_hash")[part], b.column("_label")[part].cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["hash", "label", "x"])
 
-    rows = texts.select("_hash", "_label", "text").mapInArrow(work, "hash long, label int, x binary").toArrow().sort_by("hash")
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
+    rows = texts.select("_hash", "_label", "text").mapInArrow(work, "hash long, label int, x binary").toArrow()
+    if not rows.num_rows:
+        return None
+    order = np.argsort(rows["hash"].to_numpy())
+    place, x, at = np.argsort(order), np.empty((rows.num_rows, WIDTH), np.float32), 0
+    for chunk in rows["x"].chunks:
+        for raw in chunk:
+            x[place[at]] = np.frombuffer(raw.as_buffer(), np.float32)
+            at += 1
+    label = rows["label"].to_numpy().astype(np.float32)[order]
+    del rows
     space = Space(x)
-    return space, space.vectors(x), rows["label"].to_numpy().astype(np.float32)
+    return space, np.concatenate([space.vectors(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)]), label
 
 
 def vote(v: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:

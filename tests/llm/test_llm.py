@@ -347,7 +347,7 @@ def test_mixing(spark, docs, empty, sf):
 def test_mixing_by_brute_force(spark, docs):
     """Rows in order of their keys go in up to the budget, whatever the buckets are; rows may share id, key and all."""
     words = lambda n: " ".join(["w"] * n)
-    rows = [(k % 40, words(k % 9), f"s{k % 5}") for k in range(400)] + [(7, words(3), "s9")] * 300 + [(None, words(k % 4), None) for k in range(50)] + [(8, None, "s8"), (8, "", "s8")]
+    rows = [(k % 45, words(k % 9), f"s{k % 5}") for k in range(400)] + [(7, words(3), "s9")] * 300 + [(None, words(k % 4), None) for k in range(50)] + [(8, None, "s8"), (8, "", "s8")]
     table_ = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
     keyed = table_.select("*", mixing.uniform(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.col("text").cast("binary"))))).alias("u"), mixing.quality(F.coalesce("text", F.lit(""))).alias("q")).collect()
     by = collections.defaultdict(list)
