@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Function words that context correction leaves alone.
-PROTECTED = "a i the in on at to me it is be as of or and by for with he she we my so an us if no not do".split()
+PROTECTED = [
+    "a", "i", "the", "in", "on", "at", "to", "me", "it", "is", "be", "as", "of", "or", "and",
+    "by", "for", "with", "he", "she", "we", "my", "so", "an", "us", "if", "no", "not", "do",
+]
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 

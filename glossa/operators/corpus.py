@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the folder that spark.checkpoint.dir names, and read back.
+
+    A local session that names none gets a folder of its own.  Whoever owns the folder may delete glossa-<application id>
+    in it when the application has ended.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = stored.own = getattr(stored, "own", None) or "file://" + tempfile.mkdtemp(prefix="glossa-")
+    path = f"{base.rstrip('/')}/glossa-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """What tells one content of a folder or file from another: its size and its last change."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime()
+
+
+def first_rows(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows in the order of a key; Spark cuts every task's rows before it merges them."""
+    return rows.orderBy(key).limit(n)
+
+
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, line, w): the lower-cased words of every line that has any."""
     lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "said"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,77 +66,91 @@ def rules(trees: DataFrame) -> DataFrame:
     def read(text: pd.Series) -> pd.Series:
         return text.map(lambda t: [dict(zip(("lhs", "rhs", "lexical"), p)) for p in productions(normal_form(read_tree(t)))])
 
-    counts = trees.select(F.inline(read("tree"))).groupBy("lhs", "rhs", "lexical").agg(F.count("*").alias("c"))
+    # Equal trees are read once.
+    different = trees.groupBy("tree").agg(F.count("*").alias("times"))
+    counts = different.select("times", F.inline(read("tree"))).groupBy("lhs", "rhs", "lexical").agg(F.sum("times").alias("c"))
     total = counts.groupBy("lhs").agg(F.sum("c").alias("n"))
     return counts.join(total, "lhs").select("lhs", "rhs", "lexical", "c", (F.col("c") / F.col("n")).alias("p"))
 
 
 class Parser:
-    """CKY for rules (lhs, rhs, lexical, p); one cell is a dict symbol -> (log-probability, back-pointer)."""
+    """CKY for rules (lhs, rhs, lexical, p).  Symbols are numbers, and a span's cell is an array of log-probabilities.
+
+    All splits of a span and all binary rules are tried at once; where a score came from is found again while the one
+    tree is read off, so no back-pointers are kept but for unary rules.
+    """
 
     def __init__(self, rows: list[tuple[str, list[str], bool, float]], start: str = "S"):
+        rows = sorted((lhs, tuple(rhs), lexical and len(rhs) == 1, math.log(p) if p > 0 else NEVER) for lhs, rhs, lexical, p in rows)
         self.start = start
-        self.binary: dict[tuple[str, str], list] = {}
-        self.unary: dict[str, list] = {}
-        self.lexical: dict[str, list] = {}
-        for lhs, rhs, lexical, p in sorted(rows, key=lambda r: (r[0], list(r[1]))):
-            logp = math.log(p) if p > 0 else NEVER
-            if lexical and len(rhs) == 1:
-                self.lexical.setdefault(rhs[0].lower(), []).append((lhs, logp))
-            elif len(rhs) == 2:
-                self.binary.setdefault((rhs[0], rhs[1]), []).append((lhs, logp))
-            elif len(rhs) == 1:
-                self.unary.setdefault(rhs[0], []).append((lhs, logp))
-
-    def close(self, cell: dict) -> None:
+        self.symbols = sorted({s for lhs, rhs, lexical, _ in rows for s in (lhs, *(() if lexical else rhs))} | {start, "NN"})
+        self.number = {s: k for k, s in enumerate(self.symbols)}
+        of = lambda n: [(self.number[lhs], *(self.number[x] for x in rhs), p) for lhs, rhs, lexical, p in rows if not lexical and len(rhs) == n]
+        self.binary, self.unary = (tuple(np.array(c, float if k == n + 1 else np.int64) for k, c in enumerate(zip(*of(n)))) or tuple(np.zeros(0, np.int64) for _ in range(n + 2)) for n in (2, 1))
+        self.words: dict[str, list[tuple[int, float]]] = {}
+        for lhs, rhs, lexical, p in rows:
+            if lexical:
+                self.words.setdefault(rhs[0].lower(), []).append((self.number[lhs], p))
+
+    def close(self, cell: np.ndarray, below: np.ndarray) -> None:
+        """Unary rules, a few times over; ``below`` notes what a symbol was made from."""
+        a, b, p = self.unary
         for _ in range(PASSES):
-            changed = False
-            for sym, (s, _) in list(cell.items()):
-                for lhs, p in self.unary.get(sym, ()):
-                    if lhs not in cell or s + p > cell[lhs][0]:
-                        cell[lhs], changed = (s + p, (sym,)), True
-            if not changed:
+            score = cell[b] + p
+            better = np.flatnonzero(score > cell[a])
+            if not len(better):
                 break
+            for r in better:
+                if score[r] > cell[a[r]]:
+                    cell[a[r]], below[a[r]] = score[r], b[r]
 
     def parse(self, words: list[str], tags: list[str] | None = None) -> dict:
         n = len(words)
         if not n:
             return {"tree": None, "logp": None, "status": "empty"}
-        chart = [[{} for _ in range(n + 1)] for _ in range(n)]
+        # Tags that the grammar does not know have numbers of their own in this sentence.
+        strange = sorted({t for t in tags or () if t} - set(self.symbols))
+        symbols, number = self.symbols + strange, self.number | {s: len(self.symbols) + k for k, s in enumerate(strange)}
+        chart = np.full((n, n + 1, len(symbols)), -np.inf)
+        below = np.full(chart.shape, -1, np.int32)
         for i, w in enumerate(words):
-            cell = chart[i][i + 1]
-            for lhs, p in self.lexical.get(w.lower(), ()):
-                if lhs not in cell or p > cell[lhs][0]:
-                    cell[lhs] = (p, w)
-            if tags and tags[i] and tags[i] not in cell:
-                cell[tags[i]] = (BACKOFF, w)
-            if not cell:
-                cell["NN"] = (UNKNOWN, w)
-            self.close(cell)
+            cell = chart[i, i + 1]
+            for s, p in self.words.get(w.lower(), ()):
+                cell[s] = max(cell[s], p)
+            if tags and tags[i] and cell[number[tags[i]]] == -np.inf:
+                cell[number[tags[i]]] = BACKOFF
+            if not np.isfinite(cell).any():
+                cell[number["NN"]] = UNKNOWN
+            self.close(cell, below[i, i + 1])
+        a, b, c, p = self.binary
         for width in range(2, n + 1):
             for i in range(n - width + 1):
-                cell = chart[i][i + width]
-                for k in range(i + 1, i + width):
-                    for b, (sb, _) in chart[i][k].items():
-                        for c, (sc, _) in chart[k][i + width].items():
-                            for lhs, p in self.binary.get((b, c), ()):
-                                if lhs not in cell or sb + sc + p > cell[lhs][0]:
-                                    cell[lhs] = (sb + sc + p, (b, c, k))
-                self.close(cell)
-        top = chart[0][n]
-        if not top:
+                j, cell = i + width, chart[i, i + width]
+                if len(a):
+                    np.maximum.at(cell, a, (chart[i, i + 1 : j][:, b] + chart[i + 1 : j, j][:, c]).max(axis=0) + p)
+                self.close(cell, below[i, j])
+        top = chart[0, n]
+        if not np.isfinite(top).any():
             return {"tree": None, "logp": None, "status": "unparseable"}
-        status, sym = ("parsed", self.start) if self.start in top else ("partial_parse", min(top, key=lambda s: (-top[s][0], s)))
-        return {"tree": self._tree(chart, 0, n, sym), "logp": top[sym][0], "status": status}
-
-    def _tree(self, chart: list, i: int, j: int, sym: str, depth: int = 0) -> str:
-        back = chart[i][j][sym][1]
-        if isinstance(back, str):
-            return f"({sym} {back})"
-        if len(back) == 1:
-            return f"({sym} {self._tree(chart, i, j, back[0], depth + 1)})" if depth < 200 else f"({sym})"
-        b, c, k = back
-        return f"({sym} {self._tree(chart, i, k, b)} {self._tree(chart, k, j, c)})"
+        whole = np.isfinite(top[number[self.start]])
+        root = number[self.start] if whole else min(range(len(symbols)), key=lambda s: (-top[s], symbols[s]))
+        return {"tree": self._tree(chart, below, symbols, words, 0, n, root), "logp": float(top[root]), "status": "parsed" if whole else "partial_parse"}
+
+    def _tree(self, chart: np.ndarray, below: np.ndarray, symbols: list[str], words: list[str], i: int, j: int, sym: int) -> str:
+        heads = []
+        while below[i, j, sym] >= 0 and sym not in heads:
+            heads.append(sym)
+            sym = below[i, j, sym]
+        if j == i + 1:
+            inner = f"({symbols[sym]} {words[i]})"
+        else:
+            a, b, c, p = self.binary
+            rules = np.flatnonzero(a == sym)
+            score = chart[i, i + 1 : j][:, b[rules]] + chart[i + 1 : j, j][:, c[rules]] + p[rules]
+            split, r = np.unravel_index(int(np.argmax(score)), score.shape)
+            k, r = i + 1 + int(split), rules[r]
+            inner = f"({symbols[sym]} {self._tree(chart, below, symbols, words, i, k, b[r])} {self._tree(chart, below, symbols, words, k, j, c[r])})"
+        return "".join(f"({symbols[s]} " for s in heads) + inner + ")" * len(heads)
 
 
 def parsed(rows: DataFrame, grammar: DataFrame, words: str = "words", tags: str | None = "tags") -> DataFrame:

@@ -151,3 +151,8 @@ def typing_merges(sents: DataFrame, key: list[str], p: float = 0.08, seed: int =
 def acceptable(parts: Column, known: Column) -> Column:
     """Whether a split counts: two parts or more, each known and of two letters or more, or a or i."""
     return (F.size(parts) >= 2) & F.forall(parts, lambda x: F.array_contains(known, F.lower(x)) & ((F.length(x) >= 2) | F.lower(x).isin("a", "i")))
+
+
+def tried(token: Column, known: Column, longest: int = 12) -> Column:
+    """Whether a split is tried: the token is unknown, or long."""
+    return ~F.array_contains(known, F.lower(token)) | (F.length(token) >= longest)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PROTECTED, deletes, edits1, swaps, variants, within_one
+from ..functions.text import PROTECTED, alnum_core, context_clean, deletes, edits1, restore_case, swaps, tail, variants, within_one
 from . import lm
 
 
@@ -47,58 +45,97 @@ def corrupted(vocab: DataFrame) -> DataFrame:
     return both.groupBy("w").agg(F.min_by("wrong", "rank").alias("wrong"))
 
 
-def realword_independent(sents: DataFrame, key: list[str], train: DataFrame, vocab: DataFrame, threshold: float = 0.5) -> DataFrame:
+def candidates_unverified(queries: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(q, word) that share a deletion, or one of them a deletion of the other; neither verified nor complete."""
+    cuts = lambda rows, name: rows.select(name, F.explode(F.array_distinct(deletes(F.col(name)))).alias("variant"))
+    words = vocab.select(F.col("w").alias("word"))
+    asked = queries.select("q", F.explode(F.array_union(F.array("q"), deletes(F.col("q")))).alias("variant"))
+    return asked.join(cuts(words, "word"), "variant").select("q", "word").distinct()
+
+
+def realword_independent(sents: DataFrame, key: list[str], train: DataFrame | lm.Tables, vocab: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(key, pos, w, correction, gain): each word against its original neighbours."""
+    train = lm.tables(train)
     around = F.transform("w", lambda x, i: F.struct((i + 1).cast("long").alias("pos"), F.coalesce(F.get("w", i - 1), F.lit(lm.OPEN)).alias("prev"), x.alias("word"), F.coalesce(F.get("w", i + 1), F.lit(lm.CLOSE)).alias("next")))
     tokens = sents.select(*key, F.inline(around)).withColumnRenamed("word", "w")
     known = tokens.join(vocab.select("w"), "w", "left_semi").where((F.length("w") > 1) & ~F.col("w").isin(PROTECTED))
     pairs = candidates_b(known.select(F.col("w").alias("q")).distinct(), vocab).select(F.col("q").alias("w"), F.col("word").alias("cand"))
     trial = known.join(pairs, "w")
-    left = lm.addk_scores(trial.select(F.col("prev").alias("w1"), F.col("cand").alias("w2")).distinct(), train)
-    right = lm.addk_scores(trial.select(F.col("cand").alias("w1"), F.col("next").alias("w2")).distinct(), train)
-    scored = trial.join(left.select(F.col("w1").alias("prev"), F.col("w2").alias("cand"), F.col("logp").alias("lp")), ["prev", "cand"])
-    scored = scored.join(right.select(F.col("w1").alias("cand"), F.col("w2").alias("next"), F.col("logp").alias("rp")), ["cand", "next"]).withColumn("s", F.round(F.col("lp") + F.col("rp"), 9))
+    # Both neighbours' pairs are scored in one pass over the counts.
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("prev").alias("w1"), F.col("cand").alias("w2")), F.struct(F.lit(1).alias("side"), F.col("cand").alias("w1"), F.col("next").alias("w2")))
+    scored = lm.addk_scores(trial.select(*key, "pos", "w", "cand", F.inline(sides)), train)
+    logp = lambda side: F.sum(F.when(F.col("side") == side, F.col("logp")))
+    scored = scored.groupBy(*key, "pos", "w", "cand").agg(F.round(logp(0) + logp(1), 9).alias("s"))
     own = F.max(F.when(F.col("cand") == F.col("w"), F.col("s")))
     out = scored.groupBy(*key, "pos", "w").agg(F.min_by("cand", F.struct(-F.col("s"), F.col("cand"))).alias("correction"), (F.max("s") - own).alias("gain"))
     return out.where(F.col("gain") >= threshold)
 
 
-def realword_serial(sents: DataFrame, train: DataFrame, vocab: DataFrame, threshold: float = 1.0) -> DataFrame:
+def realword_serial(sents: DataFrame, train: DataFrame | lm.Tables, vocab: DataFrame, threshold: float = 1.0) -> DataFrame:
     """Adds ``corrected`` to rows with tokens ``w``: left to right, the left neighbour being corrected already.
 
-    The candidates of the distinct words come from the similarity join; the serial pass is a vectorised UDF over the
-    sentence with the candidates and bigram scores it can need, joined by sentence before.
+    Equal sentences are corrected once.  The candidates of the distinct words come from the similarity join, and the
+    pairs of neighbours that may be asked for are listed before they are counted: each candidate of a word beside each
+    candidate of the next.  The serial pass is a vectorised UDF over the sentence with the scores it can need.
     """
-    k = 0.05
-    uni = lm.padded_unigrams(train)
-    types = sents.select(F.explode("w").alias("q")).distinct()
-    lists = candidates_b(types, vocab).where("q <> word").groupBy("q").agg(F.sort_array(F.collect_list("word")).alias("cands"))  # bounded by the neighbours of a word
-    keyed = sents.withColumn("_row", F.xxhash64(F.to_json(F.struct(*sents.columns))))
-    own = keyed.select("_row", F.explode("w").alias("q")).distinct().join(lists, "q").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("q", "cands"))).alias("_cands"))
-    usable = keyed.join(own, "_row", "left")
-    size = float(uni.count())
-    counts = usable.select("_row", F.explode(F.array_distinct(F.concat(F.array(F.lit(lm.OPEN), F.lit(lm.CLOSE)), "w", F.coalesce(F.flatten(F.map_values("_cands")), F.array().cast("array<string>"))))).alias("w"))
-    unis = counts.join(uni, "w").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("w", "c"))).alias("_uni"))
-    bi = lm.counts(train, 2, 1)
-    pairs = counts.join(bi.withColumnRenamed("w1", "w"), "w").join(counts.select("_row", F.col("w").alias("w2")), ["_row", "w2"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "w", "w2"), "c"))).alias("_bi"))
-    ready = usable.join(unis, "_row", "left").join(pairs, "_row", "left")
-    protected = set(PROTECTED)
+    k, t = 0.05, lm.tables(train)
+    said = sents.select("w").distinct().withColumn("id", F.xxhash64("w"))
+    types = said.select(F.explode("w").alias("q")).distinct()
+    own = types.join(t.words.select(F.col("w").alias("q")), "q", "left_semi").where((F.length("q") > 1) & ~F.col("q").isin(PROTECTED))
+    lists = candidates_b(own, vocab).where("q <> word").groupBy("q").agg(F.sort_array(F.collect_set("word")).alias("cands"))  # bounded by the neighbours of a word
+    places = said.select("id", F.posexplode("w").alias("pos", "q")).join(lists, "q", "left").select("id", "pos", "q", F.coalesce("cands", F.array().cast("array<string>")).alias("cands"))
+    tried = places.select("id", "pos", "q", F.explode(F.concat(F.array("q"), "cands")).alias("x"))
+    edge = lambda pos, w: said.select("id", pos.alias("pos"), F.lit(w).alias("x"))
+    here = tried.select("id", "pos", "x").unionByName(edge(F.lit(-1), lm.OPEN)).unionByName(edge(F.size("w"), lm.CLOSE))
+    after = here.select("id", (F.col("pos") - 1).alias("pos"), F.col("x").alias("w2"))
+    asked = here.withColumnRenamed("x", "w1").join(after, ["id", "pos"]).select("id", "w1", "w2").distinct()
+    scores = lm.addk_scores(asked, t, k).groupBy("id").agg(F.collect_list(F.struct("w1", "w2", "logp")).alias("_scores"))
+    cands = places.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cands"))), lambda x: x["cands"]).alias("_cands"))
+    ready = said.join(scores, "id", "left").join(cands, "id", "left")
 
     @F.pandas_udf("array<string>")
-    def correct(w: pd.Series, cands: pd.Series, uni_: pd.Series, bi_: pd.Series) -> pd.Series:
-        def one(words, cands, unis, bis) -> list[str]:
-            out, cands, unis, bis = list(words), dict(cands or {}), dict(unis or {}), dict(bis or {})
-            logp = lambda a, b: math.log((bis.get(f"{a} {b}", 0) + k) / (unis.get(a, 0) + k * size))
+    def correct(w: pd.Series, cands: pd.Series, scores: pd.Series) -> pd.Series:
+        def one(words, cands, scores) -> list[str]:
+            out, logp = list(words), {(s["w1"], s["w2"]): s["logp"] for s in scores if s is not None}
             for i, word in enumerate(out):
-                if len(word) < 2 or word in protected or word not in unis:
-                    continue
                 prev, nxt = out[i - 1] if i else lm.OPEN, words[i + 1] if i + 1 < len(words) else lm.CLOSE
-                base, gain = logp(prev, word) + logp(word, nxt), threshold
-                for c in cands.get(word, ()):
-                    if (g := logp(prev, c) + logp(c, nxt) - base) > gain:
+                base, gain = logp[prev, word] + logp[word, nxt], threshold
+                for c in cands[i]:
+                    if (g := logp[prev, c] + logp[c, nxt] - base) > gain:
                         out[i], gain = c, g
             return out
 
-        return pd.Series([one(*x) for x in zip(w, cands, uni_, bi_)])
+        return pd.Series([one(w, c if c is not None else [], s if s is not None else []) for w, c, s in zip(w, cands, scores)])
+
+    done = ready.select(F.col("w").alias("_w"), correct("w", "_cands", "_scores").alias("corrected"))
+    return sents.join(done, F.col("w") == F.col("_w"), "left").select(*sents.columns, F.coalesce("corrected", "w").alias("corrected"))
 
-    return ready.withColumn("corrected", correct("w", "_cands", "_uni", "_bi")).select(*sents.columns, "corrected")
+
+def corrected_sentences(rows: DataFrame, text: str, train: DataFrame | lm.Tables, vocab: DataFrame, threshold: float = 2.5) -> DataFrame:
+    """Adds ``corrected`` and ``changes`` (array of pairs) to rows with a text, in two steps.
+
+    A token's letters and digits, where they hold a letter and are unknown, become the most frequent word within one edit,
+    in the token's case, and its other characters follow; then words are held against their neighbours, serially.
+    """
+    t = lm.tables(train)
+    said = rows.select(text).distinct().withColumn("_tokens", F.filter(F.split(text, r"\s+"), lambda x: x != ""))
+    tokens = said.select(text, F.posexplode("_tokens").alias("pos", "token")).withColumn("core", alnum_core(F.col("token")))
+    asked = tokens.where(F.col("core").rlike(r"\p{L}")).select(F.lower("core").alias("q")).distinct().join(t.words.select(F.col("w").alias("q")), "q", "left_anti")
+    fixed = best(candidates_b(asked, vocab), vocab).select("q", "correction")
+    tokens = tokens.join(fixed, F.lower("core") == F.col("q"), "left")
+    tokens = tokens.withColumn("first", F.when(F.col("correction").isNull(), F.col("token")).otherwise(F.concat(restore_case(F.col("correction"), F.col("core")), tail(F.col("token")))))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "token", "first", context_clean(F.col("first")).alias("w"))))
+    lines = tokens.groupBy(text).agg(ordered.alias("_t")).withColumn("w", F.transform("_t", lambda x: x["w"]))
+    lines = realword_serial(lines, t, vocab, threshold)
+    second = lambda x, i: F.when(F.get("corrected", i) == x["w"], x["first"]).otherwise(F.concat(restore_case(F.get("corrected", i), alnum_core(x["first"])), tail(x["first"])))
+    lines = lines.select(F.col(text).alias("_text"), "_t", F.transform("_t", second).alias("_out"))
+    changed = F.filter(F.transform("_t", lambda x, i: F.struct(x["token"].alias("old"), F.get("_out", i).alias("new"))), lambda c: c["old"] != c["new"])
+    lines = lines.select("_text", F.array_join("_out", " ").alias("corrected"), changed.alias("changes"))
+    none = F.array().cast("array<struct<old:string,new:string>>")
+    return rows.join(lines, F.col(text) == F.col("_text"), "left").select(*rows.columns, F.coalesce("corrected", F.lit("")).alias("corrected"), F.coalesce("changes", none).alias("changes"))
+
+
+def highlighted(corrected: Column, changes: Column) -> Column:
+    """The corrected text with changed words between double asterisks."""
+    new = F.transform(changes, lambda c: c["new"])
+    return F.array_join(F.transform(F.split(corrected, " "), lambda x: F.when(F.array_contains(new, x), F.concat(F.lit("**"), x, F.lit("**"))).otherwise(x)), " ")

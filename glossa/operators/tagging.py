@@ -13,17 +13,22 @@ from ..functions.text import word_features
 
 START = "<s>"
 #: Tags of the Brown corpus and their Penn Treebank counterparts.
-BROWN_TO_PENN = dict(
-    x.split("=", 1)
-    for x in (
-        "AT=DT NN=NN NNS=NNS NP=NNP NP$=NNP NP-TL=NNP NPS=NNPS NPS-TL=NNPS NR=NN JJ=JJ JJ-TL=JJ JJR=JJR JJS=JJS RB=RB RB-TL=RB RBR=RBR RBS=RBS "
-        "VB=VB VBD=VBD VBG=VBG VBN=VBN VBP=VBP VBZ=VBZ IN=IN IN-TL=IN CS=IN CC=CC CC-TL=CC CD=CD CD-TL=CD PP$=PRP$ PPS=PRP PPSS=PRP PPO=PRP PN=NN QL=RB MD=MD "
-        "BE=VB BED=VBD BEDZ=VBD BEG=VBG BEN=VBN BER=VBP BEZ=VBZ DO=VB DOD=VBD DOZ=VBZ HV=VB HVD=VBD HVZ=VBZ WDT=WDT WP=WP WP$=WP$ WRB=WRB "
-        ".=. ,=, :=: (=-LRB- )=-RRB- ``=`` ''=''"
-    ).split()
-)
+BROWN_TO_PENN = {
+    "AT": "DT", "NN": "NN", "NNS": "NNS", "NP": "NNP", "NP$": "NNP", "NP-TL": "NNP", "NPS": "NNPS", "NPS-TL": "NNPS",
+    "NR": "NN", "JJ": "JJ", "JJ-TL": "JJ", "JJR": "JJR", "JJS": "JJS", "RB": "RB", "RB-TL": "RB", "RBR": "RBR",
+    "RBS": "RBS", "VB": "VB", "VBD": "VBD", "VBG": "VBG", "VBN": "VBN", "VBP": "VBP", "VBZ": "VBZ", "IN": "IN",
+    "IN-TL": "IN", "CS": "IN", "CC": "CC", "CC-TL": "CC", "CD": "CD", "CD-TL": "CD", "PP$": "PRP$", "PPS": "PRP",
+    "PPSS": "PRP", "PPO": "PRP", "PN": "NN", "QL": "RB", "MD": "MD", "BE": "VB", "BED": "VBD", "BEDZ": "VBD",
+    "BEG": "VBG", "BEN": "VBN", "BER": "VBP", "BEZ": "VBZ", "DO": "VB", "DOD": "VBD", "DOZ": "VBZ", "HV": "VB",
+    "HVD": "VBD", "HVZ": "VBZ", "WDT": "WDT", "WP": "WP", "WP$": "WP$", "WRB": "WRB", ".": ".", ",": ",",
+    ":": ":", "(": "-LRB-", ")": "-RRB-", "``": "``", "''": "''",
+}
 #: Valid Penn tags.
-PENN = "CC CD DT EX FW IN JJ JJR JJS LS MD NN NNS NNP NNPS PDT POS PRP PRP$ RB RBR RBS RP SYM TO UH VB VBD VBG VBN VBP VBZ WDT WP WP$ WRB . , :".split()
+PENN = [
+    "CC", "CD", "DT", "EX", "FW", "IN", "JJ", "JJR", "JJS", "LS", "MD", "NN", "NNS", "NNP",
+    "NNPS", "PDT", "POS", "PRP", "PRP$", "RB", "RBR", "RBS", "RP", "SYM", "TO", "UH", "VB", "VBD",
+    "VBG", "VBN", "VBP", "VBZ", "WDT", "WP", "WP$", "WRB", ".", ",", ":",
+]
 
 
 def reconcile(tag: Column) -> Column:
@@ -110,24 +115,55 @@ def morph_scores(forms: DataFrame, tagged: DataFrame, beta: float = 0.1) -> Data
     return out.groupBy("form", "tag").agg((F.sum(term) / F.sqrt(F.count("*"))).alias("logp"))
 
 
+def baseline_tags(forms: DataFrame, tagged: DataFrame) -> DataFrame:
+    """Adds ``tag`` to rows with ``form``: the word's most frequent one, else that of the corpus, else NOUN."""
+    common = F.broadcast(tag_counts(tagged).agg(F.min_by("tag", F.struct(-F.col("n"), F.col("tag"))).alias("_common")))
+    best = most_frequent_tags(tagged).withColumnRenamed("w", "_w")
+    return forms.join(best, F.lower("form") == F.col("_w"), "left").join(common).select(*forms.columns, F.coalesce("best", "_common", F.lit("NOUN")).alias("tag"))
+
+
 def most_frequent_tags(tagged: DataFrame) -> DataFrame:
     """(w, best): ties to the smaller tag."""
     c = tokens(tagged).groupBy("w", "tag").agg(F.count("*").alias("c"))
     return c.groupBy("w").agg(F.min_by("tag", F.struct(-F.col("c"), F.col("tag"))).alias("best"))
 
 
-class Decoder:
-    """Beam search over tag pairs; models are dicts made from the tables, whose size depends on tags and vocabulary."""
+class Chain:
+    """Transitions, starts and ends; their size depends on the tag set alone."""
 
     def __init__(self, tagged: DataFrame, beam: int = 40):
         rows = lambda df: [tuple(r) for r in df.collect()]
         self.trans = {r[:3]: r[3] for r in rows(transitions(tagged))}
         ends = rows(start_end(tagged))
         self.start, self.end = {r[0]: r[1] for r in ends}, {r[0]: r[2] for r in ends}
+        self.tags, self.beam = sorted(self.start), beam
+
+    def best(self, emitted: list[dict[str, float]]) -> list[str]:
+        """The best tags for the emission scores of a sentence's words."""
+        if not emitted or not self.tags:
+            return []
+        unseen = math.log(1 / len(self.tags))
+        states = {(START, t): (self.start[t] + emitted[0][t], (t,)) for t in self.tags}
+        for e in emitted[1:]:
+            new: dict = {}
+            for (a, b), (s, path) in states.items():
+                for t in self.tags:
+                    v = s + self.trans.get((a, b, t), unseen) + e[t]
+                    if (b, t) not in new or v > new[b, t][0]:
+                        new[b, t] = (v, (*path, t))
+            states = dict(sorted(new.items(), key=lambda x: -x[1][0])[: self.beam])
+        return list(max(states.values(), key=lambda x: x[0] + self.end[x[1][-1]])[1])
+
+
+class Decoder(Chain):
+    """A tagger in memory: the chain and the emissions of all training words, for single sentences and small models."""
+
+    def __init__(self, tagged: DataFrame, beam: int = 40):
+        super().__init__(tagged, beam)
+        rows = lambda df: [tuple(r) for r in df.collect()]
         self.emit: dict[str, dict[str, float]] = {}
         for w, tag, p in rows(emissions(tagged)):
             self.emit.setdefault(w, {})[tag] = p
-        self.tags, self.beam = sorted(self.start), beam
         weights = rows(feature_weights(tagged))
         self.weight = {(f, t): w for f, t, w in weights}
         self.total: dict[str, int] = {}
@@ -161,28 +197,35 @@ class Decoder:
         return list(max(product(self.tags, repeat=len(words)), key=lambda t: self.score(words, t))) if words else []
 
     def decode(self, words: list[str]) -> list[str]:
-        if not len(words):
-            return []
-        unseen = math.log(1 / len(self.tags))
-        e = self.emission(words[0])
-        states = {(START, t): (self.start[t] + e[t], (t,)) for t in self.tags}
-        for i in range(1, len(words)):
-            e, new = self.emission(words[i]), {}
-            for (a, b), (s, path) in states.items():
-                for t in self.tags:
-                    v = s + self.trans.get((a, b, t), unseen) + e[t]
-                    if (b, t) not in new or v > new[b, t][0]:
-                        new[b, t] = (v, (*path, t))
-            states = dict(sorted(new.items(), key=lambda x: -x[1][0])[: self.beam])
-        return list(max(states.values(), key=lambda x: x[0] + self.end[x[1][-1]])[1])
+        return self.best([self.emission(w) for w in words])
+
+
+def emission_scores(forms: DataFrame, tagged: DataFrame) -> DataFrame:
+    """(form, scores map<tag, logp>) of forms(form): known words by the table or -25, others by their features or -10."""
+    asked = forms.select("form").distinct()
+    tags = tag_counts(tagged).select("tag")
+    known = emissions(tagged)
+    seen = asked.join(known.select(F.col("w").alias("_w")).distinct(), F.lower("form") == F.col("_w"), "left_semi")
+    of_known = seen.join(F.broadcast(tags)).withColumn("w", F.lower("form")).join(known, ["w", "tag"], "left").select("form", "tag", F.coalesce("logp", F.lit(-25.0)).alias("logp"))
+    new = asked.join(seen, "form", "left_anti")
+    bare = new.where(F.size(word_features(F.col("form"))) == 0).join(F.broadcast(tags)).select("form", "tag", F.lit(-10.0).alias("logp"))
+    every = of_known.unionByName(morph_scores(new, tagged)).unionByName(bare)
+    return every.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("tag", "logp"))).alias("scores"))
 
 
 def viterbi(sents: DataFrame, tagged: DataFrame, beam: int = 40) -> DataFrame:
-    """Adds ``tags`` to rows with ``w``, an array of words."""
-    sent = sents.sparkSession.sparkContext.broadcast(Decoder(tagged, beam))
+    """Adds ``tags`` to rows with ``w``, an array of words; equal sentences are decoded once.
+
+    Emission scores are joined to the words, so only the chain is broadcast, which the tag set bounds.
+    """
+    sent = sents.sparkSession.sparkContext.broadcast(Chain(tagged, beam))
+    said = sents.select("w").where("size(w) > 0").distinct()
+    placed = said.select(F.col("w").alias("_w"), F.posexplode("w").alias("pos", "form")).join(emission_scores(said.select(F.explode("w").alias("form")), tagged), "form")
+    lines = placed.groupBy("_w").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.map_entries("scores").alias("e")))), lambda x: x["e"]).alias("_e"))
 
     @F.pandas_udf("array<string>")
-    def decode(w: pd.Series) -> pd.Series:
-        return w.map(lambda x: sent.value.decode(list(x)))
+    def decode(emitted: pd.Series) -> pd.Series:
+        return emitted.map(lambda e: sent.value.best([{x["key"]: x["value"] for x in word} for word in e]))
 
-    return sents.withColumn("tags", decode("w"))
+    done = lines.select("_w", decode("_e").alias("tags"))
+    return sents.join(done, F.col("w") == F.col("_w"), "left").select(*sents.columns, F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))

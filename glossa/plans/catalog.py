@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import depparse, evaluation, lm, pcfg, segmentation, spelling, tagging
-from ..operators.corpus import ordered_prefix, sentences, table, vocabulary
+from ..operators import analysis, depparse, evaluation, lm, pcfg, segmentation, spelling, tagging
+from ..operators.corpus import first_rows, ordered_prefix, sentences, state_of, stored, table, vocabulary
 
 FLAGSHIP = "nonword_correct_b"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_MODELS: dict[tuple, lm.Tables] = {}
 
 
 def query(sql: str | None = None):
@@ -45,17 +46,26 @@ def _english(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(table(spark, sf, "documents").where("lang = 'en'"))
 
 
+def _model(spark: SparkSession, sf: str) -> lm.Tables:
+    """The counts of the English documents, written once in an application and made anew when the documents change."""
+    key = spark.sparkContext.applicationId, *state_of(spark, f"{sf}/documents.parquet")
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = lm.Tables(_english(spark, sf), stored)
+    return _MODELS[key]
+
+
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(table(spark, sf, "benchmark"), "item_id")
 
 
 def _plain_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary(_english(spark, sf)).where(r"w rlike '^[a-z]{3,}$'")
+    return _model(spark, sf).words.where(r"w rlike '^[a-z]{3,}$'")
 
 
 def _unknown(spark: SparkSession, sf: str) -> DataFrame:
     seen = vocabulary(_asked(spark, sf)).where(r"w rlike '^[a-z]{4,}$'")
-    return seen.join(vocabulary(_english(spark, sf)), "w", "left_anti").select(F.col("w").alias("q"))
+    return seen.join(_model(spark, sf).words, "w", "left_anti").select(F.col("w").alias("q"))
 
 
 def _tagged(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,7 +80,7 @@ def _lines(name: str, key: str, where: str = "TRUE") -> str:
     (SELECT {key}, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT {key}, string_split(text, chr(10)) AS parts FROM {name} WHERE {where}))) WHERE len(w) > 0)"""
 
 
-_EN = f"en AS {_lines('documents', 'doc_id', chr(108) + 'ang = ' + chr(39) + 'en' + chr(39))}"
+_EN = "en AS " + _lines("documents", "doc_id", "lang = 'en'")
 _ASK = f"ask AS {_lines('benchmark', 'item_id')}"
 _VOC = "voc AS (SELECT w, count(*) AS c FROM (SELECT unnest(w) AS w FROM en) GROUP BY w)"
 _UNI = "uni AS (SELECT w, count(*) AS c FROM (SELECT unnest(['<s>'] || w || ['</s>']) AS w FROM en) GROUP BY w)"
@@ -104,7 +114,7 @@ def _with(*parts: str) -> str:
 
 @query(_with(_EN, _VOC, "SELECT w, c FROM voc"))
 def token_counts(spark, sf):
-    return vocabulary(_english(spark, sf))
+    return _model(spark, sf).words
 
 
 @query(r"""SELECT item_id, t, regexp_replace(t, '[^\p{L}\p{N}]', '', 'g') AS core, regexp_replace(t, '[\p{L}\p{N}]', '', 'g') AS tail, lower(regexp_replace(t, '[^\p{L}\p{N}_]', '', 'g')) AS clean
@@ -124,13 +134,21 @@ def train_test_split(spark, sf):
 @query(_with(_EN, _VOC, _ASK, "SELECT w, count(*) AS n, w NOT IN (SELECT w FROM voc) AS oov FROM (SELECT unnest(w) AS w FROM ask) GROUP BY w"))
 def vocab_oov_flags(spark, sf):
     asked = vocabulary(_asked(spark, sf)).withColumnRenamed("c", "n")
-    return asked.join(vocabulary(_english(spark, sf)).select("w", F.lit(1).alias("k")), "w", "left").select("w", "n", F.col("k").isNull().alias("oov"))
+    return asked.join(_model(spark, sf).words.select("w", F.lit(1).alias("k")), "w", "left").select("w", "n", F.col("k").isNull().alias("oov"))
+
+
+_SPLIT = r"""(SELECT item_id, i AS place, parts[i] AS s FROM (SELECT item_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT item_id, list_filter(list_transform(
+  string_split(regexp_replace(text, '([.?!])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g')), lambda x: x <> '') AS parts FROM benchmark)))"""
 
 
-@query(r"SELECT item_id, s FROM (SELECT item_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.?!]+[.?!]*'), lambda x: trim(x, E' \n\t')), lambda x: x <> '')) AS s FROM benchmark WHERE NOT regexp_matches(text, '[.?!][^ \n\t.?!]'))")
+@query(f"SELECT item_id, s FROM {_SPLIT}")
 def sentence_split(spark, sf):
-    b = table(spark, sf, "benchmark").where(r"NOT text rlike '[.?!][^ \n\t.?!]'".replace("\\n", "\n").replace("\\t", "\t"))
-    return b.select("item_id", F.explode(pcfg.split_sentences(F.col("text"))).alias("s"))
+    return table(spark, sf, "benchmark").select("item_id", F.explode(pcfg.split_sentences(F.col("text"))).alias("s"))
+
+
+@query("SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 25")
+def prefix_limit(spark, sf):
+    return first_rows(table(spark, sf, "benchmark").select("item_id", "text"), "item_id", 25)
 
 
 # --- language models -----------------------------------------------------------------------------------------------------
@@ -138,22 +156,22 @@ def sentence_split(spark, sf):
 
 @query(_with(_EN, _VOC, "SELECT w, c, round((c + 1) / (n + v), 12) AS p FROM voc, (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM voc)"))
 def unigram_probs(spark, sf):
-    return lm.unigram_probabilities(_english(spark, sf)).withColumn("p", F.round("p", 12))
+    return lm.unigram_probabilities(_model(spark, sf)).withColumn("p", F.round("p", 12))
 
 
 @query(_with(_EN, _BI, "SELECT * FROM bi"))
 def bigram_counts(spark, sf):
-    return lm.counts(_english(spark, sf), 2, 1)
+    return _model(spark, sf).pairs
 
 
 @query(_with(_EN, _TRI, "SELECT * FROM tri"))
 def trigram_counts(spark, sf):
-    return lm.counts(_english(spark, sf), 3, 2)
+    return _model(spark, sf).triples
 
 
 @query(_with(_EN, _BI, "SELECT w1, CAST(sum(c) AS BIGINT) AS total FROM bi GROUP BY w1"))
 def bigram_context_totals(spark, sf):
-    return lm.counts(_english(spark, sf), 2, 1).groupBy("w1").agg(F.sum("c").alias("total"))
+    return _model(spark, sf).pairs.groupBy("w1").agg(F.sum("c").alias("total"))
 
 
 _ADDK = "SELECT {cols}, ln((coalesce(bi.c, 0) + 0.05) / (coalesce(uni.c, 0) + 0.05 * (SELECT count(*) FROM uni))) AS logp FROM {src} x LEFT JOIN bi ON bi.w1 = x.w1 AND bi.w2 = x.w2 LEFT JOIN uni ON uni.w = x.w1"
@@ -162,7 +180,7 @@ _ADDK = "SELECT {cols}, ln((coalesce(bi.c, 0) + 0.05) / (coalesce(uni.c, 0) + 0.
 @query(_with(_EN, _ASK, _UNI, _BI, f"x0 AS (SELECT DISTINCT w1, w2 FROM {_ngrams('ask', 2, 1)})", f"SELECT w1, w2, round(logp, 6) AS logp FROM ({_ADDK.format(cols='x.w1, x.w2', src='x0')})"))
 def bigram_addk_score(spark, sf):
     pairs = _asked(spark, sf).select(F.inline(lm.grams(2, 1))).distinct()
-    return lm.addk_scores(pairs, _english(spark, sf)).select("w1", "w2", F.round("logp", 6).alias("logp"))
+    return lm.addk_scores(pairs, _model(spark, sf)).select("w1", "w2", F.round("logp", 6).alias("logp"))
 
 
 @query(
@@ -176,12 +194,12 @@ def bigram_addk_score(spark, sf):
 )
 def trigram_interp_score(spark, sf):
     triples = _asked(spark, sf).select(F.inline(lm.grams(3, 2))).distinct()
-    return lm.interpolated_scores(triples, _english(spark, sf)).withColumn("logp", F.round("logp", 6))
+    return lm.interpolated_scores(triples, _model(spark, sf)).withColumn("logp", F.round("logp", 6))
 
 
 @query(_with(_EN, _UNI, _TRI, "SELECT tri.w1, tri.w2, tri.w3, round(ln((c + 1) / (n + (SELECT count(*) FROM uni))), 6) AS logp FROM tri JOIN (SELECT w1, w2, CAST(sum(c) AS BIGINT) AS n FROM tri GROUP BY ALL) k ON k.w1 = tri.w1 AND k.w2 = tri.w2"))
 def trigram_laplace_score(spark, sf):
-    return lm.laplace_scores(_english(spark, sf)).withColumn("logp", F.round("logp", 6))
+    return lm.laplace_scores(_model(spark, sf)).withColumn("logp", F.round("logp", 6))
 
 
 _SENT = f"SELECT item_id, line, n, sum(logp) AS logp FROM ({_ADDK.format(cols='x.item_id, x.line, x.n', src=_ngrams('(SELECT *, len(w) AS n FROM ask)', 2, 1, 'item_id, line, n'))}) GROUP BY ALL"
@@ -189,20 +207,45 @@ _SENT = f"SELECT item_id, line, n, sum(logp) AS logp FROM ({_ADDK.format(cols='x
 
 @query(_with(_EN, _ASK, _UNI, _BI, f"SELECT item_id, line, n, round(logp, 5) AS logp FROM ({_SENT})"))
 def sentence_logprob(spark, sf):
-    return lm.sentence_scores(_asked(spark, sf), ["item_id", "line"], _english(spark, sf)).select("item_id", "line", F.col("n").cast("long"), F.round("logp", 5).alias("logp"))
+    return lm.sentence_scores(_asked(spark, sf), ["item_id", "line"], _model(spark, sf)).select("item_id", "line", F.col("n").cast("long"), F.round("logp", 5).alias("logp"))
 
 
 @query(_with(_EN, _ASK, _UNI, _BI, f"SELECT item_id, line, round(CASE WHEN logp / n > -20 THEN exp(-logp / n) ELSE 9999.0 END, 3) AS perplexity FROM ({_SENT})"))
 def sentence_perplexity(spark, sf):
-    return lm.sentence_scores(_asked(spark, sf), ["item_id", "line"], _english(spark, sf)).select("item_id", "line", F.round("perplexity", 3).alias("perplexity"))
+    return lm.sentence_scores(_asked(spark, sf), ["item_id", "line"], _model(spark, sf)).select("item_id", "line", F.round("perplexity", 3).alias("perplexity"))
 
 
 @query(_with(_EN, _ASK, _UNI, _BI, f"SELECT item_id, line, round(logp / n, 5) AS average FROM ({_SENT}) WHERE n >= 2 AND logp / n < -7.5"))
 def perplexity_alerts(spark, sf):
-    s = lm.sentence_scores(_asked(spark, sf), ["item_id", "line"], _english(spark, sf)).withColumn("average", F.col("logp") / F.col("n"))
+    s = lm.sentence_scores(_asked(spark, sf), ["item_id", "line"], _model(spark, sf)).withColumn("average", F.col("logp") / F.col("n"))
     return s.where("n >= 2 AND average < -7.5").select("item_id", "line", F.round("average", 5).alias("average"))
 
 
+@query(_with(_EN, _VOC, "SELECT w, c, round(c / n, 12) AS p FROM voc, (SELECT CAST(sum(c) AS BIGINT) AS n FROM voc)"))
+def unigram_frequencies(spark, sf):
+    return lm.relative_frequencies(_model(spark, sf)).withColumn("p", F.round("p", 12))
+
+
+@query(_with(_EN, _ASK, _VOC, _BI, f"x0 AS (SELECT DISTINCT w1, w2 FROM {_ngrams('ask', 2, 1)})", """SELECT x.w1, x.w2, round(ln((coalesce(bi.c, 0) + 0.01) / (coalesce(r.n, 0) + 0.01 * ((SELECT count(*) FROM voc) + 2))), 6) AS logp FROM x0 x
+  LEFT JOIN bi ON bi.w1 = x.w1 AND bi.w2 = x.w2 LEFT JOIN (SELECT w1, sum(c) AS n FROM bi GROUP BY w1) r ON r.w1 = x.w1"""))
+def bigram_addk_row_score(spark, sf):
+    pairs = _asked(spark, sf).select(F.inline(lm.grams(2, 1))).distinct()
+    return lm.addk_row_scores(pairs, _model(spark, sf)).select("w1", "w2", F.round("logp", 6).alias("logp"))
+
+
+_TRISCORE = """ln(0.60 * CASE WHEN b1.c > 0 THEN coalesce(tri.c, 0) / b1.c ELSE 0 END + 0.25 * CASE WHEN x2.n > 0 THEN coalesce(b2.c, 0) / x2.n ELSE 0 END + 0.14 * coalesce(unit.c, 0) / (SELECT sum(c) FROM unit)
+  + 0.01 / (SELECT count(*) FROM unit WHERE w <> '</s>')) - CASE WHEN unit.c IS NULL AND x.w3 <> '</s>' THEN 3.0 + 1.2 * length(x.w3) ELSE 0 END"""
+
+
+@query(
+    _with(_EN, _ASK, _UNIT, _BI, _TRI, f"""SELECT item_id, line, n, round(sum(logp), 5) AS logp FROM (SELECT x.item_id, x.line, x.n, {_TRISCORE} AS logp FROM {_ngrams('(SELECT *, len(w) AS n FROM ask)', 3, 2, 'item_id, line, n')} x
+      LEFT JOIN tri ON tri.w1 = x.w1 AND tri.w2 = x.w2 AND tri.w3 = x.w3 LEFT JOIN bi b1 ON b1.w1 = x.w1 AND b1.w2 = x.w2 LEFT JOIN bi b2 ON b2.w1 = x.w2 AND b2.w2 = x.w3
+      LEFT JOIN (SELECT w1, sum(c) AS n FROM bi GROUP BY w1) x2 ON x2.w1 = x.w2 LEFT JOIN unit ON unit.w = x.w3) GROUP BY ALL""")
+)
+def trigram_sentence_score(spark, sf):
+    return lm.trigram_sentence_scores(_asked(spark, sf), ["item_id", "line"], _model(spark, sf)).select("item_id", "line", F.col("n").cast("long"), F.round("logp", 5).alias("logp"))
+
+
 # --- spelling ------------------------------------------------------------------------------------------------------------
 
 
@@ -259,46 +302,45 @@ def nonword_corruption(spark, sf):
     return spelling.corrupted(_plain_vocab(spark, sf))
 
 
-def _frequent(v: DataFrame) -> DataFrame:
-    """Words seen 20 times or more: the cut that the SQL of its queries makes."""
-    return v.where("c >= 20")
+#: Words within one edit share a deletion (of none or one letter), which makes an equi-join of the search for them.
+_PDEL = f"pdel AS (SELECT w, c, unnest(list_distinct([w] || {_DEL.format(w='w')})) AS v FROM pv)"
 
 
-@query(_with(_EN, _VOC, "pv AS (SELECT w, c FROM voc WHERE regexp_full_match(w, '[a-z]{3,}') AND c >= 20)", _WRONG, """SELECT count(*) AS n, round(avg(CASE WHEN got = w THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM (
-  SELECT wrong.w, arg_min(pv.w, (-pv.c, pv.w)) AS got FROM wrong LEFT JOIN pv ON damerau_levenshtein(wrong, pv.w) <= 1 GROUP BY wrong.w)"""))
+@query(_with(_EN, _VOC, _PVOC, _WRONG, _PDEL, f"wdel AS (SELECT w, wrong, unnest(list_distinct([wrong] || {_DEL.format(w='wrong')})) AS v FROM wrong)", """SELECT count(*) AS n, round(avg(CASE WHEN got = w THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM wrong LEFT JOIN (
+  SELECT wdel.w, arg_min(pdel.w, (-pdel.c, pdel.w)) AS got FROM wdel JOIN pdel USING (v) WHERE damerau_levenshtein(wrong, pdel.w) <= 1 GROUP BY wdel.w) USING (w)"""))
 def spelling_accuracy(spark, sf):
-    v = _frequent(_plain_vocab(spark, sf))
+    v = _plain_vocab(spark, sf)
     wrong = spelling.corrupted(v)
     found = spelling.best(spelling.candidates_b(wrong.select(F.col("wrong").alias("q")).distinct(), v), v)
     both = wrong.join(found, wrong["wrong"] == found["q"], "left")
     return both.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce((F.col("correction") == F.col("w")).cast("double"), F.lit(0.0))), 9).alias("accuracy"))
 
 
-@query(_with(_EN, _VOC, "pv AS (SELECT w, c FROM voc WHERE regexp_full_match(w, '[a-z]{3,}') AND c >= 20)", """SELECT w, arg_min(other, (substr(md5('7:' || w || ':' || other), 1, 8), other)) AS wrong FROM (SELECT a.w, b.w AS other FROM pv a JOIN pv b ON a.w <> b.w AND damerau_levenshtein(a.w, b.w) <= 1) GROUP BY w"""))
+@query(_with(_EN, _VOC, _PVOC, _PDEL, """SELECT w, arg_min(other, (substr(md5('7:' || w || ':' || other), 1, 8), other)) AS wrong FROM (SELECT a.w, b.w AS other FROM pdel a JOIN pdel b USING (v) WHERE a.w <> b.w AND damerau_levenshtein(a.w, b.w) <= 1) GROUP BY w"""))
 def realword_corruption(spark, sf):
-    v = _frequent(_plain_vocab(spark, sf))
+    v = _plain_vocab(spark, sf)
     pairs = spelling.candidates_b(v.select(F.col("w").alias("q")), v).where("q <> word")
     order = F.struct(F.substring(F.md5(F.concat_ws(":", F.lit("7"), "q", "word").cast("binary")), 1, 8), "word")
     return pairs.groupBy(F.col("q").alias("w")).agg(F.min_by("word", order).alias("wrong"))
 
 
 _REAL = """pos AS (SELECT item_id, line, i AS pos, w[i] AS w, coalesce(w[i - 1], '<s>') AS prev, coalesce(w[i + 1], '</s>') AS next FROM (SELECT item_id, line, w, unnest(range(1, len(w) + 1)) AS i FROM ask)),
-pv AS (SELECT w, c FROM voc WHERE regexp_full_match(w, '[a-z]{3,}') AND c >= 20),
-trial AS (SELECT pos.*, pv.w AS cand FROM pos JOIN pv ON damerau_levenshtein(pos.w, pv.w) <= 1 WHERE pos.w IN (SELECT w FROM pv) AND pos.w NOT IN (%s)),
+near AS (SELECT DISTINCT a.w, b.w AS cand FROM (SELECT * FROM pdel WHERE w IN (SELECT w FROM pos)) a JOIN pdel b USING (v) WHERE damerau_levenshtein(a.w, b.w) <= 1),
+trial AS (SELECT pos.*, near.cand FROM pos JOIN near ON near.w = pos.w WHERE pos.w NOT IN (%s)),
 sized AS (SELECT count(*) AS v FROM uni),
 scored AS (SELECT t.*, round(ln((coalesce(l.c, 0) + 0.05) / (coalesce(ul.c, 0) + 0.05 * v)) + ln((coalesce(r.c, 0) + 0.05) / (coalesce(ur.c, 0) + 0.05 * v)), 9) AS s FROM trial t, sized
   LEFT JOIN bi l ON l.w1 = t.prev AND l.w2 = t.cand LEFT JOIN bi r ON r.w1 = t.cand AND r.w2 = t.next LEFT JOIN uni ul ON ul.w = t.prev LEFT JOIN uni ur ON ur.w = t.cand)""" % ", ".join(f"'{w}'" for w in T.PROTECTED)
 
 
-@query(_with(_EN, _VOC, _ASK, _UNI, _BI, _REAL, "SELECT item_id, line, pos, w, correction, round(gain, 5) AS gain FROM (SELECT item_id, line, pos, w, arg_min(cand, (-s, cand)) AS correction, max(s) - max(CASE WHEN cand = w THEN s END) AS gain FROM scored GROUP BY ALL) WHERE gain >= 0.5"))
+@query(_with(_EN, _VOC, _PVOC, _PDEL, _ASK, _UNI, _BI, _REAL, "SELECT item_id, line, pos, w, correction, round(gain, 5) AS gain FROM (SELECT item_id, line, pos, w, arg_min(cand, (-s, cand)) AS correction, max(s) - max(CASE WHEN cand = w THEN s END) AS gain FROM scored GROUP BY ALL) WHERE gain >= 0.5"))
 def realword_correct_independent(spark, sf):
-    out = spelling.realword_independent(_asked(spark, sf), ["item_id", "line"], _english(spark, sf), _frequent(_plain_vocab(spark, sf)))
+    out = spelling.realword_independent(_asked(spark, sf), ["item_id", "line"], _model(spark, sf), _plain_vocab(spark, sf))
     return out.withColumn("gain", F.round("gain", 5))
 
 
 @query()
 def realword_correct(spark, sf):
-    return spelling.realword_serial(_asked(spark, sf), _english(spark, sf), _plain_vocab(spark, sf))
+    return spelling.realword_serial(_asked(spark, sf), _model(spark, sf), _plain_vocab(spark, sf))
 
 
 @query("""SELECT item_id, t, CASE WHEN upper(t) = t AND lower(t) <> t THEN upper('straw') WHEN upper(f) = f AND lower(f) <> f THEN 'Straw' ELSE 'straw' END AS restored
@@ -317,6 +359,20 @@ def sentence_pipeline(spark, sf):
     return rows.groupBy("item_id", "line").agg(F.array_join(F.transform(said, lambda s: s["y"]), " ").alias("corrected"))
 
 
+@query(_with(_EN, _VOC, _PVOC, _ASK, _UNK, f"""a AS (SELECT DISTINCT q, unnest([q] || {_DEL.format(w='q')}) AS v FROM unk), b AS (SELECT DISTINCT w, unnest({_DEL.format(w='w')}) AS v FROM pv)""", "SELECT DISTINCT q, w AS word FROM a JOIN b USING (v)"))
+def symdel_unverified(spark, sf):
+    return spelling.candidates_unverified(_unknown(spark, sf), _plain_vocab(spark, sf))
+
+
+@query()
+def sentence_correction(spark, sf):
+    """Both steps over whole lines as they are typed: (item_id, line, corrected, changes, shown)."""
+    lines = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("line", "said")).where(r"said rlike '\\S'")
+    out = spelling.corrected_sentences(lines, "said", _model(spark, sf), _plain_vocab(spark, sf))
+    out = out.withColumn("shown", spelling.highlighted(F.col("corrected"), F.col("changes")))
+    return out.select("item_id", F.col("line").cast("long"), "corrected", "shown", F.array_join(F.transform("changes", lambda c: F.concat_ws(">", c["old"], c["new"])), " ").alias("changed"))
+
+
 # --- tagging -------------------------------------------------------------------------------------------------------------
 
 
@@ -350,6 +406,14 @@ def mft_accuracy_known_oov(spark, sf):
     return both.agg(F.count("*").alias("n"), F.round(F.avg("ok"), 9).alias("accuracy"), F.count("best").alias("known"), F.round(F.avg(F.when(F.col("best").isNotNull(), F.col("ok"))), 9).alias("accuracy_known"))
 
 
+@query(_with(_TAG, "best AS (SELECT w, arg_min(tag, (-c, tag)) AS best FROM (SELECT lower(form) AS w, tag, count(*) AS c FROM tok WHERE sent % 5 <> 0 AND form NOT LIKE 'p%' GROUP BY 1, 2) GROUP BY w)",
+  "SELECT event_type AS form, coalesce(best, (SELECT arg_min(tag, (-c, tag)) FROM (SELECT tag, count(*) AS c FROM tok WHERE sent % 5 <> 0 AND form NOT LIKE 'p%' GROUP BY tag)), 'NOUN') AS tag FROM (SELECT DISTINCT event_type FROM events) LEFT JOIN best ON w = lower(event_type)"))
+def mft_unseen(spark, sf):
+    """The baseline where some words are unseen: training without forms that begin with p."""
+    t = _tagged(spark, sf).where("sent % 5 <> 0").withColumn("tokens", F.filter("tokens", lambda x: ~x["form"].startswith("p")))
+    return tagging.baseline_tags(table(spark, sf, "events").select(F.col("event_type").alias("form")).distinct(), t)
+
+
 _FEAT = """list_filter(list_transform([1, 2, 3, 4], lambda k: CASE WHEN length({w}) > k THEN 'suf_' || right({w}, k) END) || list_transform([2, 3], lambda k: CASE WHEN length({w}) > k + 1 THEN 'pref_' || left({w}, k) END) || ['shape_all_lower'], lambda x: x IS NOT NULL)"""
 
 
@@ -433,14 +497,13 @@ def _spaceless(spark, sf) -> DataFrame:
     return _asked(spark, sf).select("item_id", "line", "w", F.array_join("w", "").alias("text"))
 
 
-@query("WITH RECURSIVE" + _with(_EN, _VOC, _ASK, "q AS (SELECT item_id, line, array_to_string(w, '') AS text FROM ask WHERE len(w) <= 12)",
-  "pre AS (SELECT text, i, max(n) AS n FROM (SELECT DISTINCT text FROM q), range(1, 200) r(i), range(2, 40) s(n) WHERE i + n - 1 <= length(text) AND substr(text, i, n) IN (SELECT w FROM voc) GROUP BY ALL)",
+@query("WITH RECURSIVE" + _with(_EN, _VOC, _ASK, "q AS (SELECT item_id, line, array_to_string(w, '') AS text FROM ask)",
+  "pre AS (SELECT text, i, max(n) AS n FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM (SELECT DISTINCT text FROM q)), (SELECT DISTINCT length(w) AS n FROM voc WHERE length(w) > 1) WHERE i + n - 1 <= length(text) AND substr(text, i, n) IN (SELECT w FROM voc) GROUP BY ALL)",
   """g AS (SELECT item_id, line, text, CAST(1 AS BIGINT) AS i, '' AS words FROM q
   UNION ALL SELECT g.item_id, g.line, g.text, g.i + coalesce(pre.n, 1), g.words || ' ' || substr(g.text, g.i, coalesce(pre.n, 1)) FROM g LEFT JOIN pre ON pre.text = g.text AND pre.i = g.i WHERE g.i <= length(g.text))""",
   "SELECT item_id, line, trim(words) AS words FROM g WHERE i > length(text)").removeprefix("WITH"))
 def greedy_segment(spark, sf):
-    # The SQL takes only lines of at most 12 words.
-    out = segmentation.greedy_segmented(_spaceless(spark, sf).where(F.size("w") <= 12), "text", vocabulary(_english(spark, sf)))
+    out = segmentation.greedy_segmented(_spaceless(spark, sf), "text", _model(spark, sf).words)
     return out.select("item_id", "line", F.array_join("words", " ").alias("words"))
 
 
@@ -451,6 +514,20 @@ def viterbi_segment(spark, sf):
 
 
 
+@query(_with(_EN, _VOC, _ASK, f"""tk AS (SELECT item_id, line, i, w[i] || coalesce(w[i + 1], '') AS t, length(w[i]) AS n FROM (SELECT item_id, line, w, unnest(range(1, len(w) + 1)) AS i FROM ask))""", """SELECT item_id, line, i AS pos, t, t NOT IN (SELECT w FROM voc) OR length(t) >= 12 AS tried,
+  length(t) > n AND substr(t, 1, n) IN (SELECT w FROM voc) AND substr(t, n + 1) IN (SELECT w FROM voc) AND (n > 1 OR substr(t, 1, n) IN ('a', 'i')) AND (length(t) - n > 1 OR substr(t, n + 1) IN ('a', 'i')) AS accepted FROM tk"""))
+def segment_gate(spark, sf):
+    """Each word fused with the next: whether a split is tried, and whether the split into the two is accepted."""
+    w = F.col("w")
+    fused = F.transform(w, lambda x, i: F.struct((i + 1).cast("long").alias("pos"), F.concat(x, F.coalesce(F.get(w, i + 1), F.lit(""))).alias("t"), F.filter(F.array(x, F.get(w, i + 1)), lambda y: y.isNotNull()).alias("parts")))
+    known = _model(spark, sf).words.select(F.col("w").alias("x"), F.lit(True).alias("seen"))
+    rows = _asked(spark, sf).select("item_id", "line", F.inline(fused))
+    seen = rows.select("item_id", "line", "pos", F.explode(F.array_distinct(F.concat("parts", F.array("t")))).alias("x")).join(known, "x").groupBy("item_id", "line", "pos").agg(F.collect_set("x").alias("known"))
+    out = rows.join(seen, ["item_id", "line", "pos"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    tried, accepted = segmentation.tried(F.col("t"), F.col("known")), segmentation.acceptable(F.col("parts"), F.col("known"))
+    return out.select("item_id", "line", "pos", "t", tried.alias("tried"), accepted.alias("accepted"))
+
+
 def _merged(spark, sf) -> DataFrame:
     """Sentences with every third word joined with the next: reference and prediction for the measures."""
     w = F.col("w")
@@ -488,14 +565,24 @@ def _pairs(spark, sf) -> DataFrame:
     return tagging.tokens(t).join(tagging.most_frequent_tags(t), "w").select(F.col("tag").alias("gold"), F.col("best").alias("pred"))
 
 
+_TOP = "(SELECT tag FROM (SELECT gold AS tag, n FROM cf UNION ALL SELECT pred, n FROM cf) GROUP BY tag ORDER BY sum(n) DESC, tag LIMIT 10)"
+
+
+@query(_with(_ASK, _MERGED, f"e AS (SELECT item_id, line, w = p AS same, {_ENDS.format(x='w')} AS r, {_ENDS.format(x='p')} AS g FROM mg)",
+  "SELECT count(*) AS n, round(100 * avg(b / len(g)), 6) AS prec, round(100 * avg(b / len(r)), 6) AS rec, round(100 * avg(2 * b / (len(r) + len(g))), 6) AS f1, round(100 * avg(CAST(same AS INTEGER)), 6) AS exact FROM (SELECT *, len(list_intersect(r, g)) AS b FROM e)"))
+def segmentation_benchmark(spark, sf):
+    out = evaluation.segmentation_summary(_merged(spark, sf), F.col("w"), F.col("p"))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("prec", "rec", "f1", "exact")])
+
+
 @query(_PAIRS + "SELECT * FROM cf ORDER BY n DESC, gold, pred LIMIT 12")
 def confusion_topk(spark, sf):
     return evaluation.confusion(_pairs(spark, sf)).orderBy(F.desc("n"), "gold", "pred").limit(12)
 
 
-@query()
+@query(_PAIRS + """SELECT a.tag AS gold, b.tag AS pred, coalesce(cf.n, 0) AS n FROM top a JOIN top b ON TRUE LEFT JOIN cf ON cf.gold = a.tag AND cf.pred = b.tag""".replace("top a", _TOP + " a").replace("top b", _TOP + " b"))
 def confusion_pivot(spark, sf):
-    return evaluation.confusion_grid(evaluation.confusion(_pairs(spark, sf)))
+    return evaluation.confusion_cells(evaluation.confusion(_pairs(spark, sf)))
 
 
 @query(_with(_ASK, _MERGED, """sp AS (SELECT item_id, line, 'w' AS k, list_sum(list_transform(w[1:i], lambda y: length(y))) AS e, length(w[i]) AS n, length(w[i]) % 3 AS tag FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM mg)
@@ -507,6 +594,22 @@ def error_breakdown(spark, sf):
     return evaluation.pipeline_errors(of("w", 3), of("p", 2), "key")
 
 
+@query()
+def tagging_benchmark(spark, sf):
+    """Accuracy of the beam decoder on every fifth user, with the beam that is best on the next fifth (first best wins)."""
+    t = _tagged(spark, sf)
+    train = t.where("sent % 5 > 1")
+    seen = tagging.tokens(train).select("w").distinct().withColumn("known", F.lit(True))
+
+    def accuracy(gold: DataFrame, beam: int) -> DataFrame:
+        words = gold.select("sent", F.transform("tokens", lambda x: x["form"]).alias("w"), "tokens")
+        rows = tagging.viterbi(words, train, beam).select(F.inline(F.arrays_zip(F.transform("tokens", lambda x: x["tag"]).alias("gold"), F.col("tags").alias("pred"), F.transform("w", lambda x: F.lower(x)).alias("w"))))
+        return evaluation.tagging_accuracy(rows.join(seen, "w", "left").withColumn("known", F.coalesce("known", F.lit(False))))
+
+    beam = max((20, 40, 60), key=lambda b: (accuracy(t.where("sent % 5 = 1"), b).first()["accuracy"] or 0.0, -b))
+    return accuracy(t.where("sent % 5 = 0"), beam).withColumn("beam", F.lit(beam))
+
+
 # --- parsing and verdict ---------------------------------------------------------------------------------------------------
 
 
@@ -517,26 +620,60 @@ def _trees(spark, sf) -> DataFrame:
     return _asked(spark, sf).select(F.concat_ws(":", "item_id", "line").alias("key"), F.transform(w, token).alias("tokens"))
 
 
-@query()
+#: The static oracle as a recursion over (stack, next word, attached words); tokens are numbered from 1, the root is 0.
+_ORACLE = "RECURSIVE " + _ASK + """,
+tree AS (SELECT item_id || ':' || line AS key, len(w) AS n, ['<ROOT>'] || w AS form, ['<ROOT>'] || list_transform(w, lambda x: 'P' || length(x) % 4) AS pos, [''] || list_transform(w, lambda x: 'r' || length(x) % 3) AS rel,
+  list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = 1 THEN 0 WHEN i % 2 = 0 THEN i - 1 ELSE 1 END) AS head FROM ask),
+st AS (SELECT key, CAST(0 AS BIGINT) AS step, [CAST(0 AS BIGINT)] AS stack, CAST(1 AS BIGINT) AS nxt, CAST([] AS BIGINT[]) AS done FROM tree UNION ALL
+  SELECT key, step + 1, CASE move WHEN 'S' THEN stack || [nxt] WHEN 'L' THEN stack[1:len(stack) - 2] || [s0] ELSE stack[1:len(stack) - 1] END, CASE move WHEN 'S' THEN nxt + 1 ELSE nxt END,
+    CASE move WHEN 'S' THEN done WHEN 'L' THEN done || [s1] ELSE done || [s0] END FROM (SELECT *, {move} AS move FROM (SELECT st.*, n, head, stack[len(stack)] AS s0, stack[len(stack) - 1] AS s1 FROM st JOIN tree USING (key) WHERE nxt <= n OR len(stack) > 1))),
+mv AS (SELECT *, {move} AS move FROM (SELECT st.*, n, head, form, pos, rel, stack[len(stack)] AS s0, stack[len(stack) - 1] AS s1 FROM st JOIN tree USING (key) WHERE nxt <= n OR len(stack) > 1))
+""".format(move="""CASE WHEN len(stack) > 1 AND s1 > 0 AND head[greatest(s1, 1)] = s0 THEN 'L'
+    WHEN len(stack) > 1 AND head[greatest(s0, 1)] = s1 AND len(list_filter(range(1, n + 1), lambda i: head[i] = s0 AND NOT list_contains(done, i))) = 0 THEN 'R' WHEN len(stack) > 1 AND nxt > n THEN 'R' ELSE 'S' END""")
+_AT = "CASE WHEN {p} IS NULL THEN '<PAD>' ELSE {x}[{p} + 1] END"
+_FOUR = ["s0", "s1", "b0", "b1"]
+_NAMED = " || ' ' || ".join(
+    [f"'{p}_pos=' || " + _AT.format(p=p, x="pos") for p in _FOUR] + [f"'{p}_form=' || lower(" + _AT.format(p=p, x="form") + ")" for p in _FOUR]
+    + ["'" + "_".join(ps) + "=' || " + " || '|' || ".join(_AT.format(p=p, x="pos") for p in ps) for ps in (("s0", "s1"), ("s0", "b0"), ("s1", "s0", "b0"))]
+)
+
+
+@query(f"WITH {_ORACLE} SELECT key, CAST(step AS INTEGER) AS step, CASE move WHEN 'S' THEN 'SHIFT' WHEN 'L' THEN 'LEFT-ARC:' || rel[s1 + 1] ELSE 'RIGHT-ARC:' || rel[s0 + 1] END AS transition FROM mv")
 def oracle_transitions(spark, sf):
     return depparse.transitions(_trees(spark, sf), "key").select("key", "step", "transition")
 
 
-@query()
+@query(f"WITH {_ORACLE} SELECT key, CAST(step AS INTEGER) AS step, {_NAMED} AS names, CAST(least(len(stack), 10) AS INTEGER) AS stack, CAST(least(n - nxt + 1, 10) AS INTEGER) AS buffer FROM (SELECT *, CASE WHEN nxt <= n THEN nxt END AS b0, CASE WHEN nxt < n THEN nxt + 1 END AS b1 FROM mv)")
 def dep_features(spark, sf):
     return depparse.transitions(_trees(spark, sf), "key").select("key", "step", F.array_join("names", " ").alias("names"), "stack", "buffer")
 
 
-@query("""WITH t AS (SELECT item_id, line, i, w[i] AS f FROM (SELECT item_id, line, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT * FROM """ + _lines("benchmark", "item_id") + """ WHERE len(w) <= 40)))
-SELECT count(*) AS n, round(avg(CASE WHEN i = 1 OR i % 2 = 0 AND i = 2 OR i > 1 AND i % 2 = 1 THEN 0.0 ELSE 0.0 END) + avg(CASE WHEN CASE WHEN i = 1 THEN 0 WHEN i % 2 = 0 THEN i - 1 ELSE 1 END = i - 1 THEN 1.0 ELSE 0.0 END), 9) AS uas,
+@query("""WITH t AS (SELECT item_id, line, i, w[i] AS f FROM (SELECT item_id, line, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT * FROM """ + _lines("benchmark", "item_id") + """)))
+SELECT count(*) AS n, round(avg(CASE WHEN CASE WHEN i = 1 THEN 0 WHEN i % 2 = 0 THEN i - 1 ELSE 1 END = i - 1 THEN 1.0 ELSE 0.0 END), 9) AS uas,
   round(avg(CASE WHEN CASE WHEN i = 1 THEN 0 WHEN i % 2 = 0 THEN i - 1 ELSE 1 END = i - 1 AND length(f) % 3 = 1 THEN 1.0 ELSE 0.0 END), 9) AS las FROM t""")
 def attachment_scores(spark, sf):
-    # The SQL takes only lines of at most 40 words.
-    gold = _trees(spark, sf).where(F.size("tokens") <= 40).select("key", F.inline("tokens")).select("key", F.col("id").alias("dep"), "head", F.col("deprel").alias("label"))
+    gold = _trees(spark, sf).select("key", F.inline("tokens")).select("key", F.col("id").alias("dep"), "head", F.col("deprel").alias("label"))
     chain = gold.select("key", "dep", (F.col("dep") - 1).alias("head"), F.lit("r1").alias("label"))
     return evaluation.attachment(gold, chain, "key").select("n", F.round("uas", 9).alias("uas"), F.round("las", 9).alias("las"))
 
 
+@query()
+def dep_parse(spark, sf):
+    """Trees of every third line's parser, trained on the others: (key, dep, head, label)."""
+    trees = _trees(spark, sf).withColumn("held", F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(3)) == 0)
+    model = depparse.Classifier(depparse.transitions(trees.where("NOT held"), "key"), max_iter=50)
+    return depparse.parsed(trees.where("held"), model).select("key", F.inline("arcs")).select("key", "dep", "head", "label")
+
+
+@query("""WITH t AS (SELECT item_id, line, i, len(w) AS n FROM (SELECT item_id, line, w, unnest(range(1, len(w) + 1)) AS i FROM """ + _lines("benchmark", "item_id") + """))
+SELECT count(*) AS n, round(avg(CASE WHEN i % 4 <> 0 AND CASE WHEN i = 1 THEN 0 WHEN i % 2 = 0 THEN i - 1 ELSE 1 END = i - 1 THEN 1.0 ELSE 0.0 END), 9) AS uas FROM t""")
+def attachment_strict(spark, sf):
+    """Attachment of a chain that leaves out every fourth word; what is missing is wrong."""
+    gold = _trees(spark, sf).select("key", F.inline("tokens")).select("key", F.col("id").alias("dep"), "head", F.col("deprel").alias("label"))
+    chain = gold.where("dep % 4 <> 0").select("key", "dep", (F.col("dep") - 1).alias("head"), F.lit("r1").alias("label"))
+    return evaluation.attachment(gold, chain, "key", True).select("n", F.round("uas", 9).alias("uas"))
+
+
 #: A small grammar for the parsing queries: sentences of the benchmark are its inputs, word classes its tags.
 GRAMMAR = [("S", ["P0", "VP"], False, 0.5), ("S", ["P1", "VP"], False, 0.5), ("VP", ["P2", "VP"], False, 0.3), ("VP", ["P3", "VP"], False, 0.3), ("VP", ["P2", "P3"], False, 0.2), ("VP", ["P3"], False, 0.2)]
 
@@ -566,13 +703,27 @@ _AVG = "SELECT event_id, event_id % 5 + 1 AS n, " + _STATUS + " AS status, -9.0
 @query(f"""SELECT event_id, CASE WHEN status = 'parsed' AND a >= -11 THEN 'PCFG (Constituency)' WHEN t >= -6.8 THEN 'Trigram LM' WHEN status = 'partial_parse' THEN 'PCFG (Partial)' WHEN b >= -7.8 THEN 'Bigram LM' ELSE 'Fallback N-Gram' END AS method,
   CASE WHEN status = 'parsed' AND a >= -11 THEN 'Grammatical (Valid Structure)' WHEN t >= -6.8 THEN 'Grammatical (Fluent Local Sequence)' WHEN status = 'partial_parse' OR b >= -7.8 THEN 'Marginally Grammatical' ELSE 'Likely Ungrammatical / Outlier' END AS verdict FROM ({_AVG})""")
 def decision_rule(spark, sf):
-    table(spark, sf, "events").createOrReplaceTempView("glossa_events")
-    rows = spark.sql(_AVG.replace("FROM events", "FROM glossa_events"))
+    rows = table(spark, sf, "events").selectExpr("event_id", "event_id % 5 + 1 AS n", f"{_STATUS} AS status", "-9.0 - event_id % 7 AS a", "-5.0 - event_id % 4 AS t", "-6.0 - event_id % 6 AS b")
     n = F.col("n")
     method, said = pcfg.verdict(F.col("status"), n, F.col("a").cast("double") * n, F.col("t").cast("double") * n, F.col("b").cast("double") * n)
     return rows.select("event_id", method.alias("method"), said.alias("verdict"))
 
 
+#: A grammar over Penn tags, and the tags of English words by their ends, for passages.
+PASSAGES = [("S", ["NN", "VP"], False, 0.6), ("S", ["RB", "S"], False, 0.2), ("S", ["VP", "NN"], False, 0.2), ("VP", ["VBD", "NN"], False, 0.3), ("VP", ["VBG", "NN"], False, 0.3), ("VP", ["NN", "VP"], False, 0.2), ("VP", ["VBG"], False, 0.1), ("VP", ["VBD"], False, 0.1)]
+
+
+@query()
+def passage_analysis(spark, sf):
+    """Every sentence of the benchmark's texts: tags, parse, both language models, verdict, and the spelling alerts in it."""
+    penn = lambda t: F.when(t == "V", "VBG").when(t == "D", "VBD").when(t == "R", "RB").otherwise("NN")
+    tagged = _suffix_tagged(spark, sf).withColumn("tokens", F.transform("tokens", lambda x: F.struct(x["form"].alias("form"), penn(x["tag"]).alias("tag"))))
+    alerts = spell_alerts(spark, sf).select("item_id", F.lit("SPELL").alias("badge"), F.array("replacement").alias("replacement"))
+    grammar = spark.createDataFrame(PASSAGES, "lhs string, rhs array<string>, lexical boolean, p double")
+    out = analysis.analysed(table(spark, sf, "benchmark"), "item_id", tagged, grammar, _model(spark, sf), alerts)
+    return out.select(*[F.round(c, 6).alias(c) if c.endswith("logp") else c for c in out.columns])
+
+
 # --- editor ----------------------------------------------------------------------------------------------------------------
 
 
@@ -598,3 +749,14 @@ def live_editor(spark, sf):
     tokens = segmentation.typing_merges(_asked(spark, sf), ["item_id", "line"], 0.08)
     keyed = tokens.select(F.concat_ws(":", "item_id", "line").alias("key"), F.col("pos").alias("seq"), "token")
     return editor.replayed_alerts(keyed, editor.Language(_english(spark, sf)))
+
+
+_WORDED = r"(^|[^\p{L}\p{N}_])[A-Za-z0-9]+($|[^\p{L}\p{N}_])|[\p{L}\p{N}_][''-]+[\p{L}\p{N}_]"
+
+
+@query(_with(_EN, _VOC, _PVOC, _ASK, _UNK, _CAND, f"best AS ({_BEST})", "al AS (SELECT item_id, correction AS r FROM (SELECT item_id, unnest(w) AS x FROM ask) JOIN best ON q = x)",
+  f"sn AS (SELECT item_id, place AS sentence_idx, s FROM {_SPLIT} WHERE regexp_matches(s, '{_WORDED}'))",
+  "SELECT sn.item_id, sentence_idx, CAST(0 AS BIGINT) AS merges_resolved, count(al.r) FILTER (contains(lower(s), al.r)) AS spelling_corrections FROM sn LEFT JOIN al ON al.item_id = sn.item_id GROUP BY ALL"))
+def alert_attribution(spark, sf):
+    alerts = spell_alerts(spark, sf).select("item_id", F.lit("SPELL").alias("badge"), F.array("replacement").alias("replacement"))
+    return analysis.attributed(analysis.numbered_sentences(table(spark, sf, "benchmark"), "item_id"), alerts, "item_id")
