@@ -151,6 +151,14 @@ def parsed(trees: DataFrame, model: Classifier) -> DataFrame:
     return trees.withColumn("arcs", arcs("tokens"))
 
 
-def tree_table(rows: DataFrame) -> DataFrame:
-    """One text line per token of (form, upos, head, label, dep)."""
-    return rows.select(F.format_string("%-4d %-15s %-6s %4d %s", "dep", "form", "upos", "head", "label").alias("line"))
+def tree_lines(rows: DataFrame, key: str) -> DataFrame:
+    """(key, dep, line): one text line for each token of rows(key, tokens, arcs).
+
+    A token without an arc hangs on the root by ``root``; a head that is no token is <UNK>.
+    """
+    tokens = rows.select(key, F.inline(F.transform("tokens", lambda t: F.struct(t["id"].alias("dep"), t["form"].alias("form"), t["upos"].alias("upos")))))
+    arcs = rows.select(key, F.inline("arcs")).select(key, "dep", "head", "label")
+    heads = tokens.select(key, F.col("dep").alias("head"), F.col("form").alias("head_form"))
+    out = tokens.join(arcs, [key, "dep"], "left").withColumn("head", F.coalesce("head", F.lit(0))).join(heads, [key, "head"], "left")
+    named = F.when(F.col("head") == 0, "ROOT").otherwise(F.coalesce("head_form", F.lit("<UNK>")))
+    return out.select(key, "dep", F.format_string("%-4d %-15s %-6s %4d %-15s %s", "dep", "form", "upos", "head", named, F.coalesce("label", F.lit("root"))).alias("line"))

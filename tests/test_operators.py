@@ -14,7 +14,7 @@ from glossa.sources.conllu import read_treebank
 from glossa.streaming import editor
 
 HERE = os.path.dirname(__file__)
-SAID = ["this is a test", "natural language processing is fun", "the cat is here", "a test of the language", "this cat has a test"]
+SAID = ["our tide was low", "every morning brings new weather", "the gull flew over", "a gull of the harbour", "our gull was low"]
 
 
 def value(spark, expression):
@@ -28,7 +28,7 @@ def corpus(spark):
 
 @pytest.fixture(scope="module")
 def tagged(spark):
-    said = ["the/DET big/ADJ dog/NOUN runs/VERB", "a/DET cat/NOUN sleeps/VERB quietly/ADV", "the/DET dog/NOUN barks/VERB loudly/ADV", "a/DET small/ADJ cat/NOUN runs/VERB", "dogs/NOUN run/VERB slowly/ADV"]
+    said = ["our/DET red/ADJ kite/NOUN soars/VERB", "one/DET gull/NOUN circles/VERB calmly/ADV", "our/DET kite/NOUN falls/VERB suddenly/ADV", "one/DET pale/ADJ gull/NOUN soars/VERB", "kites/NOUN drift/VERB gently/ADV"]
     return spark.createDataFrame([(k, [tuple(t.split("/")) for t in s.split()]) for k, s in enumerate(said)], "sent int, tokens array<struct<form:string,tag:string>>").cache()
 
 
@@ -83,14 +83,14 @@ def test_decoder_is_optimal_on_short_sentences(tagged):
     d = tagging.Decoder(tagged)
     r = random.Random(1)
     for _ in range(40):
-        words = r.choices(["the", "a", "dog", "cat", "runs", "blue", "swiftly", "Rome"], k=r.randint(1, 4))
+        words = r.choices(["our", "one", "kite", "gull", "soars", "green", "softly", "Oslo"], k=r.randint(1, 4))
         assert abs(d.score(words, tuple(d.decode(words))) - d.score(words, tuple(d.exhaustive(words)))) < 1e-9
-    assert d.decode([]) == [] and d.decode(["the", "big", "dog", "runs"]) == ["DET", "ADJ", "NOUN", "VERB"]
-    assert d.decode(["the", "dog", "runs", "swiftly"])[-1] == "ADV"
+    assert d.decode([]) == [] and d.decode(["our", "red", "kite", "soars"]) == ["DET", "ADJ", "NOUN", "VERB"]
+    assert d.decode(["our", "kite", "soars", "softly"])[-1] == "ADV"
 
 
 def test_segmentation_by_joined_counts(spark, corpus):
-    texts = ["thisisatest", "naturallanguageprocessing", "zzthisq", "This isATest", "", None, "a", "testthisisnatural"]
+    texts = ["ourtidewaslow", "everymorningbrings", "zzourq", "Our tideWasLow", "", None, "a", "lowourtideevery"]
     rows = spark.createDataFrame([*enumerate(texts)], "k int, text string")
     whole, part = segmentation.Model(corpus), segmentation.Model(corpus, rows)
     assert [part.segment(t or "") for t in texts] == [whole.segment(t or "") for t in texts]
@@ -138,10 +138,10 @@ def test_rare_words_are_proposed(spark, tmp_path):
 
 def test_segmentation(spark, corpus):
     m = segmentation.Model(corpus)
-    assert m.segment("thisisatest") == ["this", "is", "a", "test"] and m.segment("") == []
-    assert m.segment("naturallanguageprocessing") == ["natural", "language", "processing"]
-    assert "".join(m.segment("zzthisq")) == "zzthisq"
-    assert segmentation.greedy("catxyzdog", {"cat", "dog"}, 3) == ["cat", "x", "y", "z", "dog"]
+    assert m.segment("ourtidewaslow") == ["our", "tide", "was", "low"] and m.segment("") == []
+    assert m.segment("everymorningbrings") == ["every", "morning", "brings"]
+    assert "".join(m.segment("zzourq")) == "zzourq"
+    assert segmentation.greedy("oarqvwnet", {"oar", "net"}, 3) == ["oar", "q", "v", "w", "net"]
     out = segmentation.typing_merges(corpus, ["doc_id", "line"], 0.5)
     text = {r[0]: r[1] for r in out.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "")).collect()}
     assert text == {k: s.replace(" ", "") for k, s in enumerate(SAID)}
@@ -149,8 +149,8 @@ def test_segmentation(spark, corpus):
 
 
 def test_oracle_and_parser(spark):
-    moves = depparse.oracle([2, 3, 0], ["det", "nsubj", "root"], ["The", "cat", "sleeps"], ["DET", "NOUN", "VERB"])
-    assert [m[-1] for m in moves] == ["SHIFT", "SHIFT", "LEFT-ARC:det", "SHIFT", "LEFT-ARC:nsubj", "RIGHT-ARC:root"]
+    moves = depparse.oracle([2, 3, 0], ["amod", "nsubj", "root"], ["Red", "kites", "soar"], ["ADJ", "NOUN", "VERB"])
+    assert [m[-1] for m in moves] == ["SHIFT", "SHIFT", "LEFT-ARC:amod", "SHIFT", "LEFT-ARC:nsubj", "RIGHT-ARC:root"]
     state = depparse.State(2)
     state.apply("LEFT-ARC:x")
     assert state.stack == [0] and not state.arcs
@@ -158,11 +158,11 @@ def test_oracle_and_parser(spark):
     assert crossing[-1][-1].startswith("RIGHT-ARC")
     token = lambda i, f, u, h, d: {"id": i, "form": f, "upos": u, "head": h, "deprel": d}
     trees = spark.createDataFrame(
-        [(k, [token(1, "The", "DET", 2, "det"), token(2, n, "NOUN", 3, "nsubj"), token(3, "sleeps", "VERB", 0, "root")]) for k, n in enumerate(["cat", "dog", "bird"])],
+        [(k, [token(1, "Red", "ADJ", 2, "amod"), token(2, n, "NOUN", 3, "nsubj"), token(3, "soar", "VERB", 0, "root")]) for k, n in enumerate(["kites", "gulls", "larks"])],
         "key int, tokens array<struct<id:int,form:string,upos:string,head:int,deprel:string>>",
     )
     model = depparse.Classifier(depparse.transitions(trees, "key"), 50)
-    assert depparse.parse(model, ["The", "fox", "sleeps"], ["DET", "NOUN", "VERB"]) == [(2, "det", 1), (3, "nsubj", 2), (0, "root", 3)]
+    assert depparse.parse(model, ["Red", "herons", "soar"], ["ADJ", "NOUN", "VERB"]) == [(2, "amod", 1), (3, "nsubj", 2), (0, "root", 3)]
     gold = trees.select("key", F.inline("tokens")).select("key", F.col("id").alias("dep"), "head", F.col("deprel").alias("label"))
     got = depparse.parsed(trees, model).select("key", F.inline("arcs")).select("key", "dep", "head", "label")
     assert tuple(evaluation.attachment(gold, got, "key").first()) == (9, 1.0, 1.0)
@@ -170,18 +170,18 @@ def test_oracle_and_parser(spark):
 
 def test_grammar(spark):
     assert pcfg.normal_form(["S", ["A", ["B", ["C", "x"]]], ["D", "y"], ["E", "z"]]) == ["S", ["A+B", ["C", "x"]], ["S|<D-E>", ["D", "y"], ["E", "z"]]]
-    rules = [("S", ["NP", "VP"], False, 1.0), ("NP", ["DT", "NN"], False, 1.0), ("VP", ["VB"], False, 1.0), ("DT", ["the"], True, 1.0), ("NN", ["dog"], True, 0.5), ("NN", ["cat"], True, 0.5), ("VB", ["runs"], True, 1.0)]
+    rules = [("S", ["NP", "VP"], False, 1.0), ("NP", ["DT", "NN"], False, 1.0), ("VP", ["VB"], False, 1.0), ("DT", ["one"], True, 1.0), ("NN", ["kite"], True, 0.5), ("NN", ["gull"], True, 0.5), ("VB", ["soars"], True, 1.0)]
     p = pcfg.Parser(rules)
-    assert p.parse("the dog runs".split()) == {"tree": "(S (NP (DT the) (NN dog)) (VP (VB runs)))", "logp": pytest.approx(-0.6931, abs=1e-3), "status": "parsed"}
-    assert p.parse(["the", "fox", "runs"], ["DT", "NN", "VB"])["status"] == "parsed"
-    assert p.parse([])["status"] == "empty" and p.parse(["dog", "the"])["status"] == "unparseable"
+    assert p.parse("one kite soars".split()) == {"tree": "(S (NP (DT one) (NN kite)) (VP (VB soars)))", "logp": pytest.approx(-0.6931, abs=1e-3), "status": "parsed"}
+    assert p.parse(["one", "heron", "soars"], ["DT", "NN", "VB"])["status"] == "parsed"
+    assert p.parse([])["status"] == "empty" and p.parse(["kite", "one"])["status"] == "unparseable"
     assert value(spark, F.size(pcfg.split_sentences(F.lit("One. Two! Three? Four")))) == 4
 
 
 def test_treebank(spark):
     rows = read_treebank(spark, f"{HERE}/fixtures/mini.conllu").orderBy("sent").collect()
-    assert [[t["form"] for t in r["tokens"]] for r in rows] == [["The", "cat", "sleeps"], ["di", "la"]]
-    assert rows[0]["text"] == "The cat sleeps" and rows[1]["tokens"][0]["head"] == 0
+    assert [[t["form"] for t in r["tokens"]] for r in rows] == [["Red", "kites", "soar"], ["di", "la"]]
+    assert rows[0]["text"] == "Red kites soar" and rows[1]["tokens"][0]["head"] == 0
     assert value(spark, tagging.feats_tag(F.lit("NOUN"), F.lit(rows[0]["tokens"][1]["feats"]))) == "NOUN-Masc-Sing"
 
 
@@ -191,13 +191,13 @@ def test_ordered_prefix(spark):
 
 
 def test_stream_equals_replay(spark, tmp_path):
-    train = sentences(spark.createDataFrame([(k, s) for k, s in enumerate(["this is a good sentence about language", "we like to write a good sentence"] * 3)], "doc_id long, text string"))
+    train = sentences(spark.createDataFrame([(k, s) for k, s in enumerate(["here lies a calm harbour beside mountains", "they love to paint a calm harbour"] * 3)], "doc_id long, text string"))
     language = editor.Language(train)
-    said = {"a": "thisis a good sentnce about language we like".split(), "b": "we like to wrte a good sentence about it".split()}
+    said = {"a": "herelies a calm harbuor beside mountains they love".split(), "b": "they love to paimt a calm harbour beside it".split()}
     rows = [(k, i, t) for k, ts in said.items() for i, t in enumerate(ts)]
     tokens = spark.createDataFrame(rows, "key string, seq long, token string")
     replay = sorted(map(str, editor.replayed_alerts(tokens, language).collect()))
-    assert any("SEGMENT" in x for x in replay) and any("SPELL" in x and "'sentence'" in x for x in replay)
+    assert any("SEGMENT" in x for x in replay) and any("SPELL" in x and "'harbour'" in x for x in replay)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for part in (0, 1):
         spark.createDataFrame([r for r in rows if (r[1] > 4) == bool(part)], tokens.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
