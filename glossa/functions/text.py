@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +80,28 @@ def within_one(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | ((F.length(a) == F.length(b)) & F.array_contains(swaps(a), b))
 
 
+def osa_distance(a: Column, b: Column) -> Column:
+    """Edits between two words: insertions, deletions, replacements and swaps of neighbours; no letter is edited twice."""
+
+    @F.pandas_udf("int")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(s: str, t: str) -> int:
+            older, old = [], [*range(len(t) + 1)]
+            for i, c in enumerate(s, 1):
+                new = [i]
+                for j, d in enumerate(t, 1):
+                    best = min(old[j] + 1, new[-1] + 1, old[j - 1] + (c != d))
+                    if i > 1 and j > 1 and c == t[j - 2] and s[i - 2] == d:
+                        best = min(best, older[j - 2] + 1)
+                    new.append(best)
+                older, old = old, new
+            return old[-1]
+
+        return pd.Series([None if s is None or t is None else one(s, t) for s, t in zip(x, y)])
+
+    return distance(a, b)
+
+
 def draw(seed: int, *key: Column) -> Column:
     """A number in [0, 1) for a key; the same on every engine."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key]).cast("binary"))

@@ -127,17 +127,22 @@ class Classifier:
         return [self.classes[k] for k in np.argsort(-s, kind="stable")]
 
 
-def parse(model: Classifier, forms: list[str], tags: list[str]) -> list[tuple[int, str, int]]:
-    """Arcs (head, label, dependent); a token left over hangs on the root."""
+def parse(model: Classifier, forms: list[str], tags: list[str], repair: bool = True) -> list[tuple[int, str, int]]:
+    """Arcs (head, label, dependent); a token left over hangs on the root.
+
+    Without ``repair`` the first illegal move that the model prefers ends the parse, and tokens left over have no arc.
+    """
     n = len(forms)
     state, forms, tags = State(n), [ROOT, *forms], [ROOT, *tags]
     for _ in range(4 * n + 10):
         if state.done:
             break
         ranked = model.ranked(*state.features(forms, tags))
+        if not repair and not (ranked and state.legal(ranked[0])):
+            break
         state.apply(next((m for m in ranked if state.legal(m)), "SHIFT" if state.buffered else "RIGHT-ARC:dep"))
     found = {d: (h, x, d) for h, x, d in state.arcs}
-    return [found.get(k, (0, "root", k)) for k in range(1, n + 1)]
+    return [found.get(k, (0, "root", k)) for k in range(1, n + 1) if repair or k in found]
 
 
 def parsed(trees: DataFrame, model: Classifier) -> DataFrame:

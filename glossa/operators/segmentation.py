@@ -14,10 +14,12 @@ from . import lm
 LONGEST, MISSING, PER_LETTER = 25, 3.0, 1.2
 
 
-def greedy(text: str, vocab: set[str], longest: int) -> list[str]:
+def greedy(text: str, vocab: set[str], longest: int, exact: bool = False) -> list[str]:
+    """The longest vocabulary word at each place, else one character; ``exact`` looks words up in their own case."""
+    fold = str if exact else str.lower
     out, i = [], 0
     while i < len(text):
-        n = next((n for n in range(min(longest, len(text) - i), 1, -1) if text[i : i + n].lower() in vocab), 1)
+        n = next((n for n in range(min(longest, len(text) - i), 1, -1) if fold(text[i : i + n]) in vocab), 1)
         out.append(text[i : i + n])
         i += n
     return out
@@ -81,7 +83,8 @@ class Model:
         unknown = 0.0 if c in self.vocab or c == lm.CLOSE else MISSING + PER_LETTER * len(c)
         return (math.log(p) if p > 0 else -50.0) - unknown
 
-    def segment(self, text: str, beam: int = 40) -> list[str]:
+    def segment(self, text: str, beam: int | None = 40, covered: bool = False) -> list[str]:
+        """The best segmentation; ``beam`` None keeps all states, and ``covered`` takes vocabulary words only, or nothing."""
         text = "".join(text.split())
         chart: list[dict] = [{} for _ in range(len(text) + 1)]
         chart[0][lm.OPEN, lm.OPEN] = (0.0, ())
@@ -89,12 +92,12 @@ class Model:
             for (a, b), (s, path) in sorted(chart[i].items(), key=lambda x: -x[1][0])[:beam]:
                 for n in range(1, min(self.longest, len(text) - i) + 1):
                     word = text[i : i + n]
-                    if n == 1 or word.lower() in self.vocab:
+                    if n == 1 and not covered or word.lower() in self.vocab:
                         v, cell = s + self.logp(a, b, word), chart[i + n]
                         if (b, word) not in cell or v > cell[b, word][0]:
                             cell[b, word] = (v, (*path, word))
         ends = [(s + self.logp(a, b, lm.CLOSE), path) for (a, b), (s, path) in chart[-1].items()]
-        return list(max(ends, key=lambda x: x[0])[1]) if text else []
+        return list(max(ends, key=lambda x: x[0])[1]) if text and ends else []
 
 
 def _pieces(texts: DataFrame, words: DataFrame, longest: int) -> DataFrame:

@@ -53,6 +53,14 @@ def candidates_unverified(queries: DataFrame, vocab: DataFrame) -> DataFrame:
     return asked.join(cuts(words, "word"), "variant").select("q", "word").distinct()
 
 
+def misspelt(words: DataFrame, vocab: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """(w, wrong): ``most`` words in the order of their hashes, each with the edit outside the vocabulary of smallest hash."""
+    mark = lambda *key: F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *key).cast("binary")), 1, 12)
+    drawn = words.select("w").orderBy(mark("w"), "w").limit(most)
+    edits = drawn.select("w", F.explode(edits1(F.col("w"))).alias("wrong")).join(vocab.select(F.col("w").alias("wrong")), "wrong", "left_anti")
+    return edits.groupBy("w").agg(F.min_by("wrong", F.struct(mark("w", "wrong"), F.col("wrong"))).alias("wrong"))
+
+
 def realword_independent(sents: DataFrame, key: list[str], train: DataFrame | lm.Tables, vocab: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(key, pos, w, correction, gain): each word against its original neighbours."""
     train = lm.tables(train)

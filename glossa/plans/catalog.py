@@ -364,6 +364,27 @@ def symdel_unverified(spark, sf):
     return spelling.candidates_unverified(_unknown(spark, sf), _plain_vocab(spark, sf))
 
 
+_EDITED = """ed AS (SELECT w, substr(w, 1, i - 1) || substr(w, i + 1) AS e FROM pv, range(1, 60) r(i) WHERE i <= length(w)
+  UNION SELECT w, substr(w, 1, i - 1) || substr(w, i + 1, 1) || substr(w, i, 1) || substr(w, i + 2) FROM pv, range(1, 60) r(i) WHERE i < length(w)
+  UNION SELECT w, substr(w, 1, i - 1) || chr(CAST(c AS INTEGER)) || substr(w, i + 1) FROM pv, range(1, 60) r(i), range(97, 123) l(c) WHERE i <= length(w)
+  UNION SELECT w, substr(w, 1, i - 1) || chr(CAST(c AS INTEGER)) || substr(w, i) FROM pv, range(1, 60) r(i), range(97, 123) l(c) WHERE i <= length(w) + 1)"""
+
+
+@query(_with(_EN, _VOC, "pv AS (SELECT w FROM (SELECT w, substr(md5('42:' || w), 1, 12) AS h FROM voc WHERE regexp_full_match(w, '[a-z]{3,59}')) ORDER BY h, w LIMIT 1000)", _EDITED,
+  "SELECT w, arg_min(e, (substr(md5('42:' || w || ':' || e), 1, 12), e)) AS wrong FROM ed WHERE e NOT IN (SELECT w FROM voc) GROUP BY w"))
+def random_misspellings(spark, sf):
+    """1,000 words drawn by their hashes, each with one of its edits outside the vocabulary, drawn likewise."""
+    v = _model(spark, sf).words
+    return spelling.misspelt(v.where(r"w rlike '^[a-z]{3,59}$'"), v, 1000)
+
+
+@query(_with(_EN, _VOC, _PVOC, _WRONG, "SELECT count(*) AS n, count(wrong.w) AS covered, round(count(wrong.w) / count(*), 9) AS coverage FROM (SELECT w FROM pv) pv LEFT JOIN wrong ON wrong.w = pv.w"))
+def corruption_coverage(spark, sf):
+    v = _plain_vocab(spark, sf)
+    both = v.select("w").join(spelling.corrupted(v), "w", "left")
+    return both.agg(F.count("*").alias("n"), F.count("wrong").alias("covered"), F.round(F.count("wrong") / F.count("*"), 9).alias("coverage"))
+
+
 @query()
 def sentence_correction(spark, sf):
     """Both steps over whole lines as they are typed: (item_id, line, corrected, changes, shown)."""
@@ -474,10 +495,26 @@ def reconcile_tags(spark, sf):
     return e.withColumn("penn", tagging.reconcile(F.col("tag")))
 
 
-@query()
+#: The decoder as a recursion over places: of the states that end in the same two tags the best goes on.  There are fewer
+#: pairs of tags than the beam is wide.
+_HMM = "WITH RECURSIVE" + _with(_TAG, """tt AS (SELECT *, lower(form) AS w, coalesce(lag(tag, 2) OVER o, '<s>') AS p1, coalesce(lag(tag, 1) OVER o, '<s>') AS p2 FROM tok WHERE sent % 5 <> 0 WINDOW o AS (PARTITION BY sent ORDER BY pos))""",
+  "k AS (SELECT count(DISTINCT tag) AS k, count(DISTINCT sent) AS sents FROM tt)",
+  "tg AS (SELECT tag, ln((s + 0.1) / (sents + 0.1 * k)) AS opened, ln((e + 0.1) / (m + 0.2)) AS closed FROM (SELECT tag, count(*) AS m, count(*) FILTER (pos = 1) AS s, count(*) FILTER (pos = n) AS e FROM tt GROUP BY tag), k)",
+  "tl AS (SELECT p1, p2, tag, ln((c + 0.1) / (sum(c) OVER (PARTITION BY p1, p2) + 0.1 * (SELECT k FROM k))) AS logp FROM (SELECT p1, p2, tag, count(*) AS c FROM tt GROUP BY ALL))",
+  "em AS (SELECT w, tag, ln(count(*) / any_value(m)) AS logp FROM (SELECT w, tag, count(*) OVER (PARTITION BY tag) AS m FROM tt) GROUP BY w, tag)",
+  "ask AS (SELECT a.sent, a.pos, tg.tag, lower(a.form) AS w, coalesce(em.logp, -25.0) AS e FROM tok a JOIN tg ON a.sent % 5 = 0 LEFT JOIN em ON em.w = lower(a.form) AND em.tag = tg.tag)",
+  """vi AS (SELECT sent, pos, '<s>' AS t1, ask.tag AS t2, opened + e AS score, ask.tag AS path FROM ask JOIN tg USING (tag) WHERE pos = 1 UNION ALL SELECT sent, pos, t1, t2, score, path FROM (
+    SELECT vi.sent, ask.pos, vi.t2 AS t1, ask.tag AS t2, vi.score + coalesce(tl.logp, ln(1 / k)) + e AS score, path || ' ' || ask.tag AS path, row_number() OVER (PARTITION BY vi.sent, vi.t2, ask.tag ORDER BY vi.score + coalesce(tl.logp, ln(1 / k)) DESC, vi.t1) AS rn
+    FROM vi JOIN ask ON ask.sent = vi.sent AND ask.pos = vi.pos + 1 CROSS JOIN k LEFT JOIN tl ON tl.p1 = vi.t1 AND tl.p2 = vi.t2 AND tl.tag = ask.tag) WHERE rn = 1)""",
+  """SELECT sent, (SELECT string_agg(form, ' ' ORDER BY t.pos) FROM tok t WHERE t.sent = f.sent) AS words, tags FROM (SELECT vi.sent, arg_max(path, score + closed) AS tags FROM vi JOIN tg ON tg.tag = vi.t2
+    JOIN (SELECT sent, any_value(n) AS n FROM tok GROUP BY sent) z ON z.sent = vi.sent AND z.n = vi.pos GROUP BY vi.sent) f""").removeprefix("WITH")
+
+
+@query(_HMM)
 def hmm_viterbi(spark, sf):
     t = _tagged(spark, sf)
-    return tagging.viterbi(t.where("sent % 5 = 0").select("sent", F.transform("tokens", lambda x: x["form"]).alias("w")), t.where("sent % 5 <> 0"))
+    out = tagging.viterbi(t.where("sent % 5 = 0").select("sent", F.transform("tokens", lambda x: x["form"]).alias("w")), t.where("sent % 5 <> 0"))
+    return out.select("sent", F.array_join("w", " ").alias("words"), F.array_join("tags", " ").alias("tags"))
 
 
 # --- segmentation and evaluation -------------------------------------------------------------------------------------------

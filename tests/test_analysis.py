@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.operators import analysis, depparse, evaluation, lm, pcfg, spelling, tagging
+from glossa.functions import text as T
+from glossa.operators import analysis, depparse, evaluation, lm, pcfg, segmentation, spelling, tagging
 from glossa.operators.corpus import sentences
 from glossa.sources import corpora
 from glossa.sources.conllu import read_treebank, tagged_sentences
@@ -144,3 +145,29 @@ def test_baseline_tags_of_unseen_words(spark, tagged):
     forms = spark.createDataFrame([("Kite",), ("zebra",)], "form string")
     assert {r["form"]: r["tag"] for r in tagging.baseline_tags(forms, tagged).collect()} == {"Kite": "NN", "zebra": "DT"}
     assert {r["tag"] for r in tagging.baseline_tags(forms, tagged.limit(0)).collect()} == {"NOUN"}
+
+
+def test_distance_of_any_size(spark):
+    pairs = [("harbour", "harbuor", 1), ("kitten", "sitting", 3), ("", "abc", 3), ("ca", "abc", 3), ("abcdef", "abcdef", 0), ("ab", "ba", 1), (None, "a", None)]
+    rows = spark.createDataFrame(pairs, "a string, b string, n int")
+    assert rows.select((T.osa_distance(F.col("a"), F.col("b")).eqNullSafe(F.col("n"))).alias("ok")).where("NOT ok").count() == 0
+
+
+def test_variants_of_the_decoders(spark, train):
+    m = segmentation.Model(train)
+    assert m.segment("theharbourlies", None, True) == ["the", "harbour", "lies"] and m.segment("theqharbour", None, True) == [] and m.segment("theqharbour")[1] == "q"
+    assert segmentation.greedy("NetOar", {"net", "oar"}, 20) == ["Net", "Oar"] and segmentation.greedy("NetOar", {"net", "Oar"}, 20, True) == ["N", "e", "t", "Oar"]
+
+    class Stubborn:
+        def ranked(self, names, stack, buffer):
+            return ["LEFT-ARC:x", "SHIFT", "RIGHT-ARC:y"]
+
+    assert depparse.parse(Stubborn(), ["a", "b"], ["A", "B"], repair=False) == []
+    assert depparse.parse(Stubborn(), ["a", "b"], ["A", "B"]) == [(2, "x", 1), (0, "y", 2)]
+
+
+def test_misspelt_words(spark, train):
+    v = lm.Tables(train).words
+    got = {r["w"]: r["wrong"] for r in spelling.misspelt(v, v, 5).collect()}
+    known = {r["w"] for r in v.collect()}
+    assert len(got) == 5 and not set(got.values()) & known and got == {r["w"]: r["wrong"] for r in spelling.misspelt(v, v, 5).collect()}
