@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from .base import cut
 CAPACITY, CLOSING = 4096, 1
 GROUPS = 16384
 SALTS = 1024  # salts of a length that has all pieces; all lengths together have at most capacity + SALTS
-CACHED = 200_000  # words of one generation of a Python worker's memory, which holds two: about 60 MB
+CACHED = 300_000  # words of one generation of a Python worker's memory, which holds two: about 100 MB
 
 #: Four separators split words in Python only; the lower case of sigma depends on its place; the others have a lower case
 #: in newer versions of Unicode only.
@@ -63,20 +64,46 @@ def _encoder(path: str):
     model, parts = tok.model, tok.pre_tokenizer
 
     def raw(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    marks = {c: raw([t.id for t in model.tokenize(c)]) for c in ".,;:!?"}
+    shown = _byte_letters()
+
+    def learn(word: str) -> bytes:
+        if word.isalpha():  # one part; what byte-level models see of it is known
+            return raw([t.id for t in model.tokenize(word if word.isascii() else "".join(map(shown.__getitem__, word.encode())))])
+        if word[-1] in marks and word[:-1].isalpha():
+            return known[word[:-1]] + marks[word[-1]]
+        return raw([t.id for part, _ in parts.pre_tokenize_str(word) for t in model.tokenize(part)])
 
     def encode(text: str) -> bytes:
-        if "<|" in text or _ODD.search(text):
+        if "<|" in text or _odd(text):
             return raw(tok.encode(text, add_special_tokens=False).ids)
         if len(known) > CACHED:
             known.older = dict(known)
             known.clear()
         return b"".join(map(known.__getitem__, unicodedata.normalize("NFC", text).lower().split()))
 
-    known.learn = lambda word: raw([t.id for part, _ in parts.pre_tokenize_str(word) for t in model.tokenize(part)])
+    known.learn = learn
     return encode
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-ins that byte-level vocabularies use: printable Latin-1 bytes stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _odd(text: str) -> bool:
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _ODD.search(text) is not None
+    return any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+
 class _Known(dict):
     """Ids of words; an unknown word is learnt on the way, or taken over from the generation before."""
 
