@@ -2,7 +2,9 @@
 
 Centroids and codebooks are fitted on a bounded sample (SAMPLE vectors of smallest hash); every vector is indexed.
 A query's inner product with a vector is that with its centroid plus, for each subspace, an entry of the query's table
-of products with the codebook (asymmetric distances: the query itself is not quantised).  How many lists a query probes
+of products with the codebook (asymmetric distances: the query itself is not quantised).  For many queries and the codes
+of a block, making the tables, looking the codes up in them and summing is one matrix product of the queries with the
+codes' entries of the codebooks.  How many lists a query probes
 is measured on the sample, for a recall of AIM, since it depends on the data: clustered vectors need few lists, vectors
 without structure about half of them.
 
@@ -34,8 +36,8 @@ from .vectors import first_ids, usable
 SAMPLE, PROBED_BY = 20_000, 400  # vectors that train the index; queries among them that set the number of probes
 AIM = 0.975  # part of true neighbours in the probed lists, on the sample
 LISTS = 1024  # at most: the sample has about 20 vectors for each; below, half the root of the number of vectors
-SUBSPACE, CODES = 4, 256  # dimensions of a subspace; entries of its codebook
-BLOCK, CHUNK, SHORT = 16_384, 256, 400  # entries of a block at most; queries compared at once; entries ranked exactly
+SUBSPACE, CODES = 2, 256  # dimensions of a subspace; entries of its codebook
+BLOCK, CHUNK, SHORT = 16_384, 256, 250  # entries of a block at most; queries compared at once; entries ranked exactly
 TASKS = 32  # blocks at least, if there are entries enough
 
 
@@ -87,25 +89,18 @@ class Index:
         edge = -np.partition(-products, self.probes - 1, axis=1)[:, self.probes - 1, None]
         return products >= edge - 1e-9 * np.abs(edge)  # lists that tie with the last one are probed too
 
-    def search(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray, x: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What centroid and codes stand for, entries x d."""
+        rest = self.books[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)[:, : self.d]
+        return (self.centers[lists] + rest).astype(np.float32)
+
+    def search(self, q: np.ndarray, lists: np.ndarray, near: np.ndarray, x: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, entry row, exact score) of the best k entries a query finds in its probed lists; ties by ``low``.
 
-        ``lists`` must be sorted.
+        ``near`` is what the entries' codes stand for, ``x`` the entries themselves.
         """
-        q32, look = q.astype(np.float32), self.probed(q)
-        table = np.ascontiguousarray(np.einsum("qmd,mcd->mcq", self.parts(q32), self.books.astype(np.float32), optimize=True))
-        near = np.ascontiguousarray((q32 @ self.centers.T.astype(np.float32)).T)
-        score = np.full((len(lists), len(q)), -np.inf, np.float32)  # entries x queries: a code adds a whole row of its table
-        for c in np.unique(lists):
-            who = np.flatnonzero(look[:, c])
-            if len(who):
-                a, b = np.searchsorted(lists, [c, c + 1])
-                part = np.repeat(near[c][None, who], b - a, axis=0)
-                mine = table[:, :, who] if len(who) < len(q) else table
-                for m in range(codes.shape[1]):
-                    part += mine[m].take(codes[a:b, m], axis=0)
-                score[a:b, who] = part
-        score = score.T
+        score = q.astype(np.float32) @ near.T
+        score[~self.probed(q)[:, lists]] = -np.inf
         short = min(max(SHORT, 2 * k), len(lists))
         edge = np.partition(score, len(lists) - short, axis=1)[:, len(lists) - short, None]
         row, at = np.nonzero((score >= edge - 1e-5 * np.abs(np.where(np.isfinite(edge), edge, 0))) & np.isfinite(score))
@@ -185,7 +180,7 @@ def _nearest_alike(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     sent = wanted.mapInArrow(route, f"block long, node long, embedding {vector}")
     sent = sent.select("block", "node", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("code"), "embedding")
-    # The entries of a block, in order of their lists, come before its queries.
+    # The entries of a block come before its queries.
     stream = dealt.unionByName(sent).repartition("block").sortWithinPartitions("block", F.col("list").asc_nulls_last())
 
     def match(batches):
@@ -193,10 +188,10 @@ def _nearest_alike(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def found(part: pa.RecordBatch) -> pa.RecordBatch:
             out = [[], [], [], []]
-            node, lists, codes, x, low, shown = entries
+            node, lists, near, x, low, shown = entries
             asked = part.column("node").to_numpy()
             for i in range(0, part.num_rows, CHUNK):
-                row, at, score = index.value.search(_matrix(part.column("embedding").slice(i, CHUNK)), lists, codes, x, low, k + 1)
+                row, at, score = index.value.search(_matrix(part.column("embedding").slice(i, CHUNK)), lists, near, x, low, k + 1)
                 for kept, new in zip(out, (asked[i + row], node[at], np.asarray(shown)[at], score)):
                     kept.append(new)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t, from_pandas=True) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
@@ -217,10 +212,8 @@ def _nearest_alike(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     if entries is None:
                         t = pa.Table.from_batches(held)
                         low = t["vec_id"].to_numpy().astype(float)
-                        entries = (
-                            t["node"].to_numpy(), t["list"].to_numpy(), np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(len(t), -1),
-                            _matrix(t["embedding"]), np.where(np.isnan(low), np.inf, low), low,
-                        )
+                        lists, codes = t["list"].to_numpy(), np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(len(t), -1)
+                        entries = t["node"].to_numpy(), lists, index.value.decoded(lists, codes), _matrix(t["embedding"]), np.where(np.isnan(low), np.inf, low), low
                     yield found(part.slice(many))
 
     best = Window.partitionBy("node").orderBy(F.desc("score"), F.col("low").asc_nulls_last(), "found")
