@@ -9,8 +9,8 @@ template), and so do those that do not touch it: a notice of a license with more
 without them.  The short base phrases are templates too, need every pair on one diagonal and stay in any case.  Hash hits
 are checked against the words themselves.
 
-Word pairs of function words alone carry no evidence and are no template positions; a text without any of the other
-template words cannot have a hit and is not exploded - that loses nothing.  The templates are fixed, so their table is
+Word pairs of function words alone carry no evidence and are no template positions.  Every template has words that too
+few of its pairs do without; a text with none of these cannot have a hit and is not exploded - that loses nothing.  The templates are fixed, so their table is
 broadcast.  Votes are partitioned by text and template, so neither a frequent license line nor a long text gathers in
 one task.
 
@@ -65,6 +65,22 @@ def _templates() -> list[tuple]:
     return rows
 
 
+def _telling() -> list[str]:
+    """Words of which every text with a hit has one.
+
+    For each template its long words, then shorter ones, until the pairs without any of them are too few for a hit.
+    """
+    out: set[str] = set()
+    for k in {r[2] for r in _templates()}:
+        rows = [r for r in _templates() if r[2] == k]
+        share = 1.0 if rows[0][7] else COVER
+        for w in sorted({w for r in rows for w in r[:2]} - FUNCTION_WORDS, key=lambda w: (-len(w), w)):
+            if len(w) < 5 and sum(not {r[0], r[1]} & out for r in rows) < share * len(rows):
+                break
+            out.add(w)
+    return sorted(out)
+
+
 def words(text):
     """The words of a text column, A-Z as a-z and no other letter changed."""
     return F.array_remove(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), SPLIT), "")
@@ -79,9 +95,8 @@ def license_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     template = spark.createDataFrame(_templates(), "w1 string, w2 string, template int, place int, pairs int, wide int, label string, base boolean")
     template = F.broadcast(template.withColumn("gram", F.xxhash64("w1", "w2")))  # fixed size
-    telling = sorted({w for r in _templates() for w in r[:2]} - FUNCTION_WORDS)
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), words(F.coalesce("text", F.lit(""))).alias("_words"))
-    telling_words = F.array(*[F.lit(w) for w in telling])
+    telling_words = F.array(*[F.lit(w) for w in _telling()])
     rows = cut(rows.select("doc_id", "_text", F.size("_words").cast("long").alias("n_words"), F.when(F.arrays_overlap("_words", telling_words), F.col("_words")).alias("_words")))
     grams = F.expr("transform(sequence(1, size(_words) - 1), i -> struct(i - 1 AS p, _words[i - 1] AS a, _words[i] AS b, xxhash64(_words[i - 1], _words[i]) AS gram))")
     rolled = rows.where("size(_words) > 1").select("doc_id", "_text", F.inline(grams))
