@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+MOST = 5_000_000  # rows of a model that may be collected and broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collected(df: DataFrame, most: int = MOST) -> list:
+    """The rows of a table that is to be broadcast; an error, before anything is collected, if it has more than ``most``."""
+    rows = stored(df)  # counted and then read, not made twice
+    n = rows.count()
+    if n > most:
+        raise ValueError(f"{n} rows are too many to collect and broadcast (at most {most}): train on fewer sentences")
+    return rows.collect()
+
+
 def state_of(spark: SparkSession, path: str) -> tuple:
     """What tells one content of a folder or file from another: its size and its last change."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

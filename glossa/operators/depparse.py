@@ -42,6 +42,12 @@ class State:
     def done(self) -> bool:
         return not self.buffered and len(self.stack) < 2
 
+    def tags(self, tags: list[str]) -> list[str]:
+        """The tags of the two upper words of the stack and the two next ones; NULL where there is none."""
+        s = [self.stack[-1 - k] if len(self.stack) > k else None for k in (0, 1)]
+        b = [self.next + k if self.buffered > k else None for k in (0, 1)]
+        return [f"{p}={'NULL' if k is None else tags[k]}" for p, k in zip(("s0", "s1", "b0", "b1"), s + b)]
+
     def features(self, forms: list[str], tags: list[str]) -> tuple[list[str], int, int]:
         """One-hot names of 4 tags, 4 forms and 3 tag pairs, and the lengths of stack and buffer (at most LONG)."""
         at = lambda x, k: x[k] if k is not None else PAD
@@ -53,10 +59,11 @@ class State:
         return names, min(len(self.stack), LONG), min(self.buffered, LONG)
 
 
-def oracle(heads: list[int], labels: list[str], forms: list[str], tags: list[str], strict: bool = False) -> list[tuple]:
+def oracle(heads: list[int], labels: list[str], forms: list[str], tags: list[str], strict: bool = False, tags_only: bool = False) -> list[tuple]:
     """(step, names, stack, buffer, transition) that build the tree; stuck trees are forced to the right.
 
     ``strict``: a left arc waits for all children too, and a tree that cannot be built ends the list.
+    ``tags_only``: the names are four tags.
     """
     n = len(heads)
     head = [-1, *heads]
@@ -78,7 +85,8 @@ def oracle(heads: list[int], labels: list[str], forms: list[str], tags: list[str
                 if strict:
                     break
                 move = f"RIGHT-ARC:{label[top]}"
-        out.append((step, *state.features(forms, tags), move))
+        names, stack, buffer = state.features(forms, tags)
+        out.append((step, state.tags(tags) if tags_only else names, stack, buffer, move))
         before = len(state.arcs)
         state.apply(move)
         if len(state.arcs) > before and 0 <= head[state.arcs[-1][2]] <= n:
@@ -86,13 +94,13 @@ def oracle(heads: list[int], labels: list[str], forms: list[str], tags: list[str
     return out
 
 
-def transitions(trees: DataFrame, key: str, strict: bool = False) -> DataFrame:
+def transitions(trees: DataFrame, key: str, strict: bool = False, tags_only: bool = False) -> DataFrame:
     """(key, step, names, stack, buffer, transition) of trees(key, tokens)."""
 
     @F.pandas_udf(f"array<{STEP}>")
     def steps(tokens: pd.Series) -> pd.Series:
         def one(ts) -> list[dict]:
-            rows = oracle([t["head"] for t in ts], [t["deprel"] for t in ts], [t["form"] for t in ts], [t["upos"] for t in ts], strict)
+            rows = oracle([t["head"] for t in ts], [t["deprel"] for t in ts], [t["form"] for t in ts], [t["upos"] for t in ts], strict, tags_only)
             return [dict(zip(("step", "names", "stack", "buffer", "transition"), r)) for r in rows]
 
         return tokens.map(one)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import draw
 from . import lm
+from .corpus import collected
 
 LONGEST, MISSING, PER_LETTER = 25, 3.0, 1.2
 
@@ -36,12 +37,12 @@ class Model:
         if texts is not None:
             self._joined(sents, texts)
             return
-        self.tri = {(r[0], r[1], r[2]): r[3] for r in lm.counts(sents, 3, 2).collect()}
-        self.bi = {(r[0], r[1]): r[2] for r in lm.counts(sents, 2, 1).collect()}
+        self.tri = {(r[0], r[1], r[2]): r[3] for r in collected(lm.counts(sents, 3, 2))}
+        self.bi = {(r[0], r[1]): r[2] for r in collected(lm.counts(sents, 2, 1))}
         self.context: dict[str, int] = {}
         for (a, _), c in self.bi.items():
             self.context[a] = self.context.get(a, 0) + c
-        uni = {r[0]: r[1] for r in sents.select(F.explode(F.concat("w", F.array(F.lit(lm.CLOSE)))).alias("w")).groupBy("w").count().collect()}
+        uni = {r[0]: r[1] for r in collected(sents.select(F.explode(F.concat("w", F.array(F.lit(lm.CLOSE)))).alias("w")).groupBy("w").count())}
         self.uni, self.total = uni, sum(uni.values())
         self.vocab = set(uni) - {lm.CLOSE}
         self.types = len(self.vocab)
@@ -53,7 +54,7 @@ class Model:
         self.total, self.types, self.longest = (total or 0) + sents.count(), types, min(LONGEST, longest or 1)
         pieces = _pieces(texts, words, self.longest).persist()
         asked = pieces.select("w").distinct().persist()
-        self.uni = {r[0]: r[1] for r in words.join(asked, "w").collect()}
+        self.uni = {r[0]: r[1] for r in collected(words.join(asked, "w"))}
         self.vocab = set(self.uni)
         self.uni[lm.CLOSE] = self.total - (total or 0)
         # Every word and every opening mark begins one bigram.
@@ -63,14 +64,14 @@ class Model:
         of = lambda w: F.broadcast(asked.withColumnRenamed("w", w))
         bi = sents.select(F.inline(lm.grams(2, 1))).join(of("w1"), "w1", "left_semi").join(of("w2"), "w2", "left_semi").groupBy("w1", "w2").agg(F.count("*").alias("c"))
         held = bi.join(pairs.select("w1", "w2").distinct(), ["w1", "w2"]).persist()
-        self.bi = {(r[0], r[1]): r[2] for r in held.select("w1", "w2", "c").collect()}
+        self.bi = {(r[0], r[1]): r[2] for r in collected(held.select("w1", "w2", "c"))}
         # A trigram in the sentences has both its bigrams there, but for the double boundary.
         opened = sents.sparkSession.createDataFrame([(lm.OPEN, lm.OPEN)], "w1 string, w2 string")
         pairs = pairs.join(held.select("w1", "w2").unionByName(opened), ["w1", "w2"])
         more = pairs.select("id", F.col("s").alias("e"), F.col("e").alias("end"), F.col("w1").alias("w2"), F.col("w2").alias("w3"))
         triples = pairs.join(more, ["id", "e", "end", "w2"]).select("w1", "w2", "w3").distinct()
         tri = sents.select(F.inline(lm.grams(3, 2))).join(F.broadcast(triples), ["w1", "w2", "w3"], "left_semi")
-        self.tri = {(r[0], r[1], r[2]): r[3] for r in tri.groupBy("w1", "w2", "w3").agg(F.count("*").alias("c")).collect()}
+        self.tri = {(r[0], r[1], r[2]): r[3] for r in collected(tri.groupBy("w1", "w2", "w3").agg(F.count("*").alias("c")))}
         for df in (words, pieces, asked, held):
             df.unpersist()
 
@@ -125,7 +126,7 @@ def segmented(rows: DataFrame, text: str, sents: DataFrame, beam: int = 40) -> D
 
 def greedy_segmented(rows: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
     """Adds ``words``: the longest vocabulary word at each place, else one character."""
-    words = {r[0] for r in vocab.select(F.lower("w")).distinct().collect()}
+    words = {r[0] for r in collected(vocab.select(F.lower("w")).distinct())}
     sent = rows.sparkSession.sparkContext.broadcast((words, max(map(len, words), default=1)))
 
     @F.pandas_udf("array<string>")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_features
 
-START = "<s>"
+START, END = "<s>", "</s>"
 #: Tags of the Brown corpus and their Penn Treebank counterparts.
 BROWN_TO_PENN = {
     "AT": "DT", "NN": "NN", "NNS": "NNS", "NP": "NNP", "NP$": "NNP", "NP-TL": "NNP", "NPS": "NNPS", "NPS-TL": "NNPS",
@@ -59,10 +59,10 @@ def tokens(tagged: DataFrame) -> DataFrame:
     return tagged.select(F.explode("tokens").alias("t")).select(F.lower("t.form").alias("w"), "t.tag", "t.form")
 
 
-def transition_counts(tagged: DataFrame) -> DataFrame:
-    """(t1, t2, t3, c) with two opening marks."""
-    padded = F.concat(F.array(F.lit(START), F.lit(START)), F.transform("tokens", lambda t: t["tag"]))
-    grams = F.transform(F.array(padded), lambda p: F.transform(F.sequence(F.lit(2), F.size("tokens") + 1), lambda i: F.struct(F.get(p, i - 2).alias("t1"), F.get(p, i - 1).alias("t2"), F.get(p, i).alias("t3"))))
+def transition_counts(tagged: DataFrame, closed: bool = False) -> DataFrame:
+    """(t1, t2, t3, c) with two opening marks, and with a closing one if ``closed``."""
+    padded = F.concat(F.array(F.lit(START), F.lit(START)), F.transform("tokens", lambda t: t["tag"]), F.array(*[F.lit(END)] * closed))
+    grams = F.transform(F.array(padded), lambda p: F.transform(F.sequence(F.lit(2), F.size("tokens") + 1 + int(closed)), lambda i: F.struct(F.get(p, i - 2).alias("t1"), F.get(p, i - 1).alias("t2"), F.get(p, i).alias("t3"))))
     return tagged.where(F.size("tokens") > 0).select(F.inline(F.flatten(grams))).groupBy("t1", "t2", "t3").agg(F.count("*").alias("c"))
 
 
@@ -70,9 +70,9 @@ def tag_counts(tagged: DataFrame) -> DataFrame:
     return tokens(tagged).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-def transitions(tagged: DataFrame, alpha: float = 0.1) -> DataFrame:
+def transitions(tagged: DataFrame, alpha: float = 0.1, closed: bool = False) -> DataFrame:
     """(t1, t2, t3, logp) of what was observed; anything else is ln(1 / number of tags)."""
-    c = transition_counts(tagged)
+    c = transition_counts(tagged, closed)
     context = c.groupBy("t1", "t2").agg(F.sum("c").alias("n"))
     k = F.broadcast(tag_counts(tagged).agg(F.count("*").alias("k")))
     return c.join(context, ["t1", "t2"]).join(k).select("t1", "t2", "t3", F.ln((F.col("c") + alpha) / (F.col("n") + alpha * F.col("k"))).alias("logp"))
@@ -95,6 +95,13 @@ def emissions(tagged: DataFrame) -> DataFrame:
     return c.join(F.broadcast(tag_counts(tagged)), "tag").select("w", "tag", F.ln(F.col("c") / F.col("n")).alias("logp"))
 
 
+def laplace_emissions(tagged: DataFrame) -> DataFrame:
+    """(w, tag, logp) with (c + 1) / (n + different pairs of word and tag)."""
+    c = tokens(tagged).groupBy("w", "tag").agg(F.count("*").alias("c"))
+    size = F.broadcast(c.agg(F.count("*").alias("v")))
+    return c.join(F.broadcast(tag_counts(tagged)), "tag").join(size).select("w", "tag", F.ln((F.col("c") + 1) / (F.col("n") + F.col("v"))).alias("logp"))
+
+
 def feature_weights(tagged: DataFrame, rare: int = 5) -> DataFrame:
     """(feature, tag, weight): each occurrence of a rare word counts three times."""
     t = tokens(tagged)

@@ -385,6 +385,20 @@ def corruption_coverage(spark, sf):
     return both.agg(F.count("*").alias("n"), F.count("wrong").alias("covered"), F.round(F.count("wrong") / F.count("*"), 9).alias("coverage"))
 
 
+@query()
+def realword_accuracy(spark, sf):
+    """One word of each line becomes another known word (both drawn by hash); how many the serial corrector restores."""
+    model, v = _model(spark, sf), _plain_vocab(spark, sf)
+    lines = _asked(spark, sf).withColumn("key", F.concat_ws(":", "item_id", "line"))
+    types = lines.select(F.explode("w").alias("q")).distinct().join(v.select(F.col("w").alias("q")), "q", "left_semi")
+    pairs = spelling.candidates_b(types, v).where("q <> word")
+    mark = F.md5(F.concat_ws(":", F.lit("123"), "key", "pos", "word").cast("binary"))
+    drawn = lines.select("key", F.posexplode("w").alias("pos", "q")).join(pairs, "q").groupBy("key").agg(F.min_by(F.struct("pos", "q", "word"), mark).alias("d"))
+    wrong = lines.join(drawn, "key").withColumn("w", F.transform("w", lambda x, i: F.when(i == F.col("d.pos"), F.col("d.word")).otherwise(x))).select("key", "w", "d")
+    fixed = spelling.realword_serial(wrong, model, v)
+    return fixed.agg(F.count("*").alias("n"), F.count(F.when(F.get("corrected", F.col("d.pos")) == F.col("d.q"), 1)).alias("right"))
+
+
 @query()
 def sentence_correction(spark, sf):
     """Both steps over whole lines as they are typed: (item_id, line, corrected, changes, shown)."""
@@ -413,6 +427,17 @@ def emissions(spark, sf):
     return tagging.emissions(_tagged(spark, sf)).withColumn("logp", F.round("logp", 6))
 
 
+@query(_with(_TAG, "SELECT w, tag, round(ln((c + 1) / (n + (SELECT count(*) FROM (SELECT DISTINCT lower(form), tag FROM tok)))), 6) AS logp FROM (SELECT lower(form) AS w, tag, count(*) AS c, any_value(m) AS n FROM (SELECT form, tag, count(*) OVER (PARTITION BY tag) AS m FROM tok) GROUP BY 1, 2)"))
+def laplace_emissions(spark, sf):
+    return tagging.laplace_emissions(_tagged(spark, sf)).withColumn("logp", F.round("logp", 6))
+
+
+@query(_with(_TAG, "pad AS (SELECT sent, pos, tag FROM tok UNION ALL SELECT sent, n + 1, '</s>' FROM tok WHERE pos = n)", """lg AS (SELECT coalesce(lag(tag, 2) OVER o, '<s>') AS t1, coalesce(lag(tag, 1) OVER o, '<s>') AS t2, tag AS t3 FROM pad WINDOW o AS (PARTITION BY sent ORDER BY pos))""",
+  "SELECT t1, t2, t3, round(ln((c + 1) / (sum(c) OVER (PARTITION BY t1, t2) + (SELECT count(DISTINCT tag) FROM tok))), 6) AS logp FROM (SELECT t1, t2, t3, count(*) AS c FROM lg GROUP BY ALL)"))
+def laplace_transitions(spark, sf):
+    return tagging.transitions(_tagged(spark, sf), 1.0, True).withColumn("logp", F.round("logp", 6))
+
+
 @query(_with(_TAG, "SELECT w, arg_min(tag, (-c, tag)) AS best FROM (SELECT lower(form) AS w, tag, count(*) AS c FROM tok GROUP BY 1, 2) GROUP BY w"))
 def mft_baseline(spark, sf):
     return tagging.most_frequent_tags(_tagged(spark, sf))
@@ -694,6 +719,14 @@ def attachment_scores(spark, sf):
     return evaluation.attachment(gold, chain, "key").select("n", F.round("uas", 9).alias("uas"), F.round("las", 9).alias("las"))
 
 
+_TAGS4 = " || ' ' || ".join(f"'{p}=' || CASE WHEN {p} IS NULL THEN 'NULL' ELSE pos[{p} + 1] END" for p in _FOUR)
+
+
+@query(f"WITH {_ORACLE} SELECT key, CAST(step AS INTEGER) AS step, {_TAGS4} AS names FROM (SELECT *, CASE WHEN nxt <= n THEN nxt END AS b0, CASE WHEN nxt < n THEN nxt + 1 END AS b1 FROM mv)")
+def dep_features_tags(spark, sf):
+    return depparse.transitions(_trees(spark, sf), "key", tags_only=True).select("key", "step", F.array_join("names", " ").alias("names"))
+
+
 @query()
 def dep_parse(spark, sf):
     """Trees of every third line's parser, trained on the others: (key, dep, head, label)."""
