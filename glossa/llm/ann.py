@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, frugal
 from .vectors import first_ids, usable
 
 SAMPLE, PROBED_BY = 20_000, 400  # vectors that train the index; queries among them that set the number of probes
@@ -146,7 +146,7 @@ def _nearest_alike(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], [*b.schema.names, "list", "code"])
 
     vector = rows.schema["embedding"].dataType.simpleString()
-    coded = cut(entries.mapInArrow(encode, f"node long, vec_id long, embedding {vector}, list int, code binary"))
+    coded = cut(entries.mapInArrow(frugal(encode), f"node long, vec_id long, embedding {vector}, list int, code binary"))
     sizes = {r[0]: r[1] for r in coded.groupBy("list").count().collect()}  # at most LISTS rows
     lists = len(index.value.centers)
     most = max(1, min(BLOCK, -(-total // TASKS)))
@@ -178,7 +178,7 @@ def _nearest_alike(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 out = b.take(pa.array(q))
                 yield pa.RecordBatch.from_arrays([pa.array(at), *out.columns], ["block", *out.schema.names])
 
-    sent = wanted.mapInArrow(route, f"block long, node long, embedding {vector}")
+    sent = wanted.mapInArrow(frugal(route), f"block long, node long, embedding {vector}")
     sent = sent.select("block", "node", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("code"), "embedding")
     # The entries of a block come before its queries.
     stream = dealt.unionByName(sent).repartition("block").sortWithinPartitions("block", F.col("list").asc_nulls_last())
@@ -217,7 +217,7 @@ def _nearest_alike(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     yield found(part.slice(many))
 
     best = Window.partitionBy("node").orderBy(F.desc("score"), F.col("low").asc_nulls_last(), "found")
-    top = stream.mapInArrow(match, "node long, found long, low double, score double").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
+    top = stream.mapInArrow(frugal(match), "node long, found long, low double, score double").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
     ids = members.select(F.col("node").alias("found"), "vec_id")
     by_row = Window.partitionBy("node").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     of_class = cut(top.select("node", "found", "score").join(ids, "found").withColumn("_r", F.row_number().over(by_row)).where(F.col("_r") <= k + 1).select("node", "vec_id", "score"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +94,30 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def frugal(work):
+    """``work`` of ``mapInArrow``, giving memory back to the system now and then and when its task ends.
+
+    Python workers are used again by later tasks, of other operators too, and would keep what their largest batch took.
+    """
+
+    def run(batches):
+        try:
+            for k, out in enumerate(work(batches), 1):
+                yield out
+                if not k % 16:
+                    _release()
+        finally:
+            _release()
+
+    return run
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, forest_roots, frequent, frequent_of, merged, repeated, salted
+from .base import cut, forest_roots, frugal, frequent, frequent_of, merged, repeated, salted
 from .shingles import U, counted, mix, slices
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -200,7 +200,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     """(doc_id, node, row) of the rows, (node, comp, ...) of the texts, (comp, class_id, kept, class_size), frequent texts."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sig = cut(rows.mapInArrow(_signatures, f"doc_id {kind}, node long, bands array<long>, tag binary").withColumn("row", F.monotonically_increasing_id()))
+    sig = cut(rows.mapInArrow(frugal(_signatures), f"doc_id {kind}, node long, bands array<long>, tag binary").withColumn("row", F.monotonically_increasing_id()))
     # Bands and tag follow from the text, so those of any copy will do; copies are collapsed before the shuffle.
     reps = cut(sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("tag").alias("tag")))
     often = frequent_of(reps, ["node"], "copies")
@@ -227,7 +227,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
                 p = salted(p, many, [end], other).join(repeated(said, many, [end]), [end, "_salt"]).drop("_salt")
             else:
                 p = p.join(said, end)
-        return p.select("a", "b", *kept, "ta", "tb").mapInArrow(_verified, ", ".join(f"{c} long" for c in ["a", "b", *kept]))
+        return p.select("a", "b", *kept, "ta", "tb").mapInArrow(frugal(_verified), ", ".join(f"{c} long" for c in ["a", "b", *kept]))
 
     star = cut(shared.where("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("times")))
     best = star.groupBy("a").agg(F.max(F.struct("times", "b")).getField("b").alias("b"))

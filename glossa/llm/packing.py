@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, frugal
 
 CAPACITY, CLOSING = 4096, 1
 GROUPS = 16384
 SALTS = 1024  # salts of a length that has all pieces; all lengths together have at most capacity + SALTS
-CACHED = 300_000  # words of one generation of a Python worker's memory, which holds two: about 100 MB
+CACHED = 150_000  # words of one generation of a Python worker's memory, which holds two: about 50 MB while a task runs
 
 #: Four separators split words in Python only; the lower case of sigma depends on its place; the others have a lower case
 #: in newer versions of Unicode only.
@@ -104,6 +104,13 @@ def _odd(text: str) -> bool:
     return any(c in text for c in "\x1c\x1d\x1e\x1f")
 
 
+def _forget(path: str) -> None:
+    """Empties the memory of words, which other tasks of this worker do not need."""
+    known = _tokenizers[path][1]
+    known.older = {}
+    known.clear()
+
+
 class _Known(dict):
     """Ids of words; an unknown word is learnt on the way, or taken over from the generation before."""
 
@@ -120,6 +127,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _encoder(tokenizer_path), np.array([closing], "<u4").tobytes()
+        try:
+            yield from encoded(batches, encode, end)
+        finally:
+            _forget(tokenizer_path)
+
+    def encoded(batches: Iterator[pa.RecordBatch], encode, end: bytes) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             texts = batch.column("text")
@@ -136,7 +149,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(work), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # --- the plan, from the histogram ------------------------------------------------------------------------------------
@@ -283,7 +296,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*out.columns, seq, pa.array(offset[at] + along % per[at] * n)], [*out.schema.names, "sequence_id", "offset"])
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(frugal(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing: int = CLOSING) -> DataFrame:

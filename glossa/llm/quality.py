@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, frugal
 from .shingles import slices
 
 LABELLED, DIMENSIONS, NEIGHBOURS = 5000, 64, 15
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Space, np.ndarray, np.ndarr
                 part = slice(first, first + len(raws))
                 yield pa.RecordBatch.from_arrays([b.column("_hash")[part], b.column("_label")[part].cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["hash", "label", "x"])
 
-    rows = texts.select("_hash", "_label", "text").mapInArrow(work, "hash long, label int, x binary").toArrow()
+    rows = texts.select("_hash", "_label", "text").mapInArrow(frugal(work), "hash long, label int, x binary").toArrow()
     if not rows.num_rows:
         return None
     order = np.argsort(rows["hash"].to_numpy())
@@ -147,7 +147,7 @@ def vote(v: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int = NEIGHB
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for all rows of ``docs(doc_id, text)``."""
-    out = docs.select("doc_id", "text").mapInArrow(_scorer(docs, labels, False), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    out = docs.select("doc_id", "text").mapInArrow(frugal(_scorer(docs, labels, False)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
@@ -175,4 +175,4 @@ def _scorer(docs: DataFrame, labels: DataFrame, keep: bool):
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts to be good."""
-    return docs.mapInArrow(_scorer(docs, labels, True), docs.schema)
+    return docs.mapInArrow(frugal(_scorer(docs, labels, True)), docs.schema)
