@@ -70,29 +70,44 @@ def tag_counts(tagged: DataFrame) -> DataFrame:
     return tokens(tagged).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-def transitions(tagged: DataFrame, alpha: float = 0.1, closed: bool = False) -> DataFrame:
-    """(t1, t2, t3, logp) of what was observed; anything else is ln(1 / number of tags)."""
+def transition_probs(tagged: DataFrame, alpha: float = 0.1, closed: bool = False) -> DataFrame:
+    """(t1, t2, t3, p) of what was observed; anything else is 1 / number of tags."""
     c = transition_counts(tagged, closed)
     context = c.groupBy("t1", "t2").agg(F.sum("c").alias("n"))
     k = F.broadcast(tag_counts(tagged).agg(F.count("*").alias("k")))
-    return c.join(context, ["t1", "t2"]).join(k).select("t1", "t2", "t3", F.ln((F.col("c") + alpha) / (F.col("n") + alpha * F.col("k"))).alias("logp"))
+    return c.join(context, ["t1", "t2"]).join(k).select("t1", "t2", "t3", ((F.col("c") + alpha) / (F.col("n") + alpha * F.col("k"))).alias("p"))
 
 
-def start_end(tagged: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """(tag, start_logp, end_logp)."""
+def transitions(tagged: DataFrame, alpha: float = 0.1, closed: bool = False) -> DataFrame:
+    """(t1, t2, t3, logp) of what was observed; anything else is ln(1 / number of tags)."""
+    return transition_probs(tagged, alpha, closed).select("t1", "t2", "t3", F.ln("p").alias("logp"))
+
+
+def start_end_probs(tagged: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """(tag, start_p, end_p)."""
     some = tagged.where(F.size("tokens") > 0)
     n = tag_counts(tagged)
     all_ = F.broadcast(some.agg(F.count("*").alias("sents")).join(n.agg(F.count("*").alias("k"))))
     first = some.groupBy(F.get("tokens", F.lit(0))["tag"].alias("tag")).agg(F.count("*").alias("s"))
     last = some.groupBy(F.element_at("tokens", -1)["tag"].alias("tag")).agg(F.count("*").alias("e"))
     out = n.join(first, "tag", "left").join(last, "tag", "left").join(all_).na.fill(0, ["s", "e"])
-    return out.select("tag", F.ln((F.col("s") + alpha) / (F.col("sents") + alpha * F.col("k"))).alias("start_logp"), F.ln((F.col("e") + alpha) / (F.col("n") + 2 * alpha)).alias("end_logp"))
+    return out.select("tag", ((F.col("s") + alpha) / (F.col("sents") + alpha * F.col("k"))).alias("start_p"), ((F.col("e") + alpha) / (F.col("n") + 2 * alpha)).alias("end_p"))
+
+
+def start_end(tagged: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """(tag, start_logp, end_logp)."""
+    return start_end_probs(tagged, alpha).select("tag", F.ln("start_p").alias("start_logp"), F.ln("end_p").alias("end_logp"))
+
+
+def emission_probs(tagged: DataFrame) -> DataFrame:
+    """(w, tag, p)."""
+    c = tokens(tagged).groupBy("w", "tag").agg(F.count("*").alias("c"))
+    return c.join(F.broadcast(tag_counts(tagged)), "tag").select("w", "tag", (F.col("c") / F.col("n")).alias("p"))
 
 
 def emissions(tagged: DataFrame) -> DataFrame:
     """(w, tag, logp)."""
-    c = tokens(tagged).groupBy("w", "tag").agg(F.count("*").alias("c"))
-    return c.join(F.broadcast(tag_counts(tagged)), "tag").select("w", "tag", F.ln(F.col("c") / F.col("n")).alias("logp"))
+    return emission_probs(tagged).select("w", "tag", F.ln("p").alias("logp"))
 
 
 def laplace_emissions(tagged: DataFrame) -> DataFrame:
@@ -136,17 +151,21 @@ def most_frequent_tags(tagged: DataFrame) -> DataFrame:
 
 
 class Chain:
-    """Transitions, starts and ends; their size depends on the tag set alone."""
+    """Transitions, starts and ends; their size depends on the tag set alone.
+
+    The decoder takes logarithms by ``math.log``: Spark's ``ln`` may differ in the last bit, and that decides between paths
+    of the same factors in another order.
+    """
 
     def __init__(self, tagged: DataFrame, beam: int = 40):
         rows = lambda df: [tuple(r) for r in df.collect()]
-        self.trans = {r[:3]: r[3] for r in rows(transitions(tagged))}
-        ends = rows(start_end(tagged))
-        self.start, self.end = {r[0]: r[1] for r in ends}, {r[0]: r[2] for r in ends}
+        self.trans = {r[:3]: math.log(r[3]) for r in rows(transition_probs(tagged))}
+        ends = rows(start_end_probs(tagged))
+        self.start, self.end = {r[0]: math.log(r[1]) for r in ends}, {r[0]: math.log(r[2]) for r in ends}
         self.tags, self.beam = sorted(self.start), beam
 
     def best(self, emitted: list[dict[str, float]]) -> list[str]:
-        """The best tags for the emission scores of a sentence's words."""
+        """The best tags for the emission scores of a sentence's words; of equal states the smaller tags go on."""
         if not emitted or not self.tags:
             return []
         unseen = math.log(1 / len(self.tags))
@@ -158,7 +177,7 @@ class Chain:
                     v = s + self.trans.get((a, b, t), unseen) + e[t]
                     if (b, t) not in new or v > new[b, t][0]:
                         new[b, t] = (v, (*path, t))
-            states = dict(sorted(new.items(), key=lambda x: -x[1][0])[: self.beam])
+            states = dict(sorted(sorted(new.items(), key=lambda x: (-x[1][0], x[0]))[: self.beam]))
         return list(max(states.values(), key=lambda x: x[0] + self.end[x[1][-1]])[1])
 
 
@@ -169,8 +188,8 @@ class Decoder(Chain):
         super().__init__(tagged, beam)
         rows = lambda df: [tuple(r) for r in df.collect()]
         self.emit: dict[str, dict[str, float]] = {}
-        for w, tag, p in rows(emissions(tagged)):
-            self.emit.setdefault(w, {})[tag] = p
+        for w, tag, p in rows(emission_probs(tagged)):
+            self.emit.setdefault(w, {})[tag] = math.log(p)
         weights = rows(feature_weights(tagged))
         self.weight = {(f, t): w for f, t, w in weights}
         self.total: dict[str, int] = {}
@@ -209,9 +228,14 @@ class Decoder(Chain):
 
 def emission_scores(forms: DataFrame, tagged: DataFrame) -> DataFrame:
     """(form, scores map<tag, logp>) of forms(form): known words by the table or -25, others by their features or -10."""
+
+    @F.pandas_udf("double")
+    def log(p: pd.Series) -> pd.Series:  # as in Chain
+        return p.map(math.log)
+
     asked = forms.select("form").distinct()
     tags = tag_counts(tagged).select("tag")
-    known = emissions(tagged)
+    known = emission_probs(tagged).select("w", "tag", log("p").alias("logp"))
     seen = asked.join(known.select(F.col("w").alias("_w")).distinct(), F.lower("form") == F.col("_w"), "left_semi")
     of_known = seen.join(F.broadcast(tags)).withColumn("w", F.lower("form")).join(known, ["w", "tag"], "left").select("form", "tag", F.coalesce("logp", F.lit(-25.0)).alias("logp"))
     new = asked.join(seen, "form", "left_anti")

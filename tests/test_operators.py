@@ -1,5 +1,6 @@
 """Operators on small inputs with known results."""
 
+import math
 import os
 import random
 from itertools import product
@@ -89,6 +90,16 @@ def test_decoder_is_optimal_on_short_sentences(tagged):
     assert d.decode(["our", "kite", "soars", "softly"])[-1] == "ADV"
 
 
+def test_decoder_takes_logarithms_of_the_c_library(spark):
+    """Counts at which Spark's logarithm differs in the last bit."""
+    said = [("x", "A")] * 3 + [("y", "A")] * 16 + [("z", "B")] * 12
+    tagged = spark.createDataFrame([(k, [t]) for k, t in enumerate(said)], "sent int, tokens array<struct<form:string,tag:string>>")
+    forms = spark.createDataFrame([("x",)], "form string")
+    assert tagging.emission_scores(forms, tagged).first()["scores"] == {"A": math.log(3 / 19), "B": -25.0}
+    assert tagging.Decoder(tagged).emit["x"] == {"A": math.log(3 / 19)}
+    assert tagging.Chain(tagged).trans["<s>", "<s>", "A"] == math.log((19 + 0.1) / (31 + 0.1 * 2))
+
+
 def test_segmentation_by_joined_counts(spark, corpus):
     texts = ["ourtidewaslow", "everymorningbrings", "zzourq", "Our tideWasLow", "", None, "a", "lowourtideevery"]
     rows = spark.createDataFrame([*enumerate(texts)], "k int, text string")
