@@ -72,6 +72,17 @@ def frequent_of(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
     return cut(hot.select(*keys, parts.cast("int").alias("_parts")).where("_parts > 1"))
 
 
+def any_frequent(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """``frequent``, or None if no key is."""
+    return any_frequent_of(rows.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_n")
+
+
+def any_frequent_of(counts: DataFrame, keys: list[str], n: str) -> DataFrame | None:
+    """``frequent_of``, or None if no key is: of most tables this takes one row to tell, and no table is written."""
+    most, total = counts.agg(F.max(n), F.sum(n)).first()
+    return frequent_of(counts, keys, n) if most is not None and most > 256 and most * PARTS > total else None
+
+
 def salted(rows: DataFrame, hot: DataFrame, keys: list[str], by: str | list[str]) -> DataFrame:
     """``rows`` with _salt: rows of a frequent key are dealt over its parts by the hash of the columns ``by``."""
     parts, by = F.coalesce("_parts", F.lit(1)), [by] if isinstance(by, str) else by
@@ -83,6 +94,17 @@ def repeated(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
 
 
+def spread(rows: DataFrame, hot: DataFrame | None, keys: list[str], by: str | list[str], other: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``other`` by the keys; rows of a frequent key are dealt over its parts by the hash of the columns ``by``.
+
+    Without frequent keys it is a plain join.  Every broadcast takes the driver some megabytes until its garbage is
+    collected, and a loop of many small queries makes them faster than that.
+    """
+    if hot is None:
+        return rows.join(other, keys, how)
+    return salted(rows, hot, keys, by).join(repeated(other, hot, keys), [*keys, "_salt"], how).drop("_salt")
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until no column of ``df`` has them."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -167,8 +189,7 @@ def forest_roots(parents: DataFrame) -> DataFrame:
     now = cut(parents.select(F.col("a").alias("node"), F.col("b").alias("comp"), F.lit(True).alias("moved")))
     while now.where("moved").take(1):
         above = now.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        hot = frequent(now, ["comp"])
-        both = salted(now, hot, ["comp"], "node").join(repeated(above, hot, ["comp"]), ["comp", "_salt"], "left")
+        both = spread(now, any_frequent(now, ["comp"]), ["comp"], "node", above, "left")
         old, now = now, cut(both.select("node", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")))
         discard(old)
     return now.select("node", "comp")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, forest_roots, frugal, frequent, frequent_of, merged, repeated, salted
+from .base import any_frequent, any_frequent_of, cut, forest_roots, frugal, merged, spread
 from .shingles import U, counted, mix, slices
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -196,24 +196,24 @@ def _compared(t: pa.Table) -> pa.Table:
     return pa.table({"ca": comp[np.array([p[0] for p in kept], np.int64)], "cb": comp[np.array([p[1] for p in kept], np.int64)]})
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """(doc_id, node, row) of the rows, (node, comp, ...) of the texts, (comp, class_id, kept, class_size), frequent texts."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sig = cut(rows.mapInArrow(frugal(_signatures), f"doc_id {kind}, node long, bands array<long>, tag binary").withColumn("row", F.monotonically_increasing_id()))
     # Bands and tag follow from the text, so those of any copy will do; copies are collapsed before the shuffle.
     reps = cut(sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("tag").alias("tag")))
-    often = frequent_of(reps, ["node"], "copies")
+    often = any_frequent_of(reps, ["node"], "copies")
     members = reps.select("node", F.explode("bands").alias("key"))
     sizes = cut(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    hot = frequent_of(sizes, ["key"], "size")
-    met = cut(salted(members, hot, ["key"], "node").join(repeated(sizes, hot, ["key"]), ["key", "_salt"]).drop("_salt"))
+    hot = any_frequent_of(sizes, ["key"], "size")
+    met = cut(spread(members, hot, ["key"], "node", sizes))
     met = met.join(met.groupBy("node").agg(F.sum("size").alias("score")), "node")
     central = met.groupBy("key").agg(F.max(F.struct("score", "node")).getField("node").alias("low"))
-    shared = cut(salted(met, hot, ["key"], "node").join(repeated(central, hot, ["key"]), ["key", "_salt"]).select("node", "key", "low", "size"))
+    shared = cut(spread(met, hot, ["key"], "node", central).select("node", "key", "low", "size"))
     # The texts that can be linked at all, once.
     linked = shared.select("node").distinct().join(reps, "node").select("node", "rep")
-    copies = salted(rows, often, ["node"], "doc_id").join(repeated(linked, often, ["node"]), ["node", "_salt"])
+    copies = spread(rows, often, ["node"], "doc_id", linked)
     texts = cut(copies.where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").dropDuplicates(["node"]))
 
     def verify(pairs: DataFrame, hubs: str = "b") -> DataFrame:
@@ -223,8 +223,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
         for end, other in ("ab", "ba"):
             said = texts.select(F.col("node").alias(end), F.col("text").alias(f"t{end}"))
             if end in hubs:
-                many = frequent(pairs, [end])
-                p = salted(p, many, [end], other).join(repeated(said, many, [end]), [end, "_salt"]).drop("_salt")
+                p = spread(p, any_frequent(pairs, [end]), [end], other, said)
             else:
                 p = p.join(said, end)
         return p.select("a", "b", *kept, "ta", "tb").mapInArrow(frugal(_verified), ", ".join(f"{c} long" for c in ["a", "b", *kept]))
@@ -234,8 +233,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     # A central text ranks above all others of its bucket, so links to it hold no cycle.
     comps = forest_roots(verify(best))
     of = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
-    many = frequent(star, ["b"])
-    rest = salted(star.select("a", "b").join(of("a"), "a", "left"), many, ["b"], "a").join(repeated(of("b"), many, ["b"]), ["b", "_salt"], "left")
+    rest = spread(star.select("a", "b").join(of("a"), "a", "left"), any_frequent(star, ["b"]), ["b"], "a", of("b"), "left")
     rest = rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
     comps = merged(comps, verify(rest.where("ca <> cb").join(best, ["a", "b"], "left_anti")))
 
@@ -244,7 +242,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
         placed = shared.where("size > 2").join(comps, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
         chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-        open_ = salted(placed, hot, ["key"], "node").join(repeated(mixed, hot, ["key"]), ["key", "_salt"]).withColumn("chunks", chunks)
+        open_ = spread(placed, hot, ["key"], "node", mixed).withColumn("chunks", chunks)
         open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         # A text goes to the blocks of its chunk with every chunk of the bucket, its own included; without its text.
         dealt = open_.select("key", "node", "comp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
@@ -264,9 +262,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, class_size) for every row of ``docs(doc_id, text)``; class_id is the class's smallest doc_id."""
     sig, of_text, classes, often = _classes(docs)
-    large = frequent(of_text, ["comp"])
-    named = salted(of_text, large, ["comp"], "node").join(repeated(classes, large, ["comp"]), ["comp", "_salt"]).select("node", "class_id", "class_size")
-    return salted(sig, often, ["node"], "row").join(repeated(named, often, ["node"]), ["node", "_salt"]).select("doc_id", "class_id", "class_size")
+    named = spread(of_text, any_frequent(of_text, ["comp"]), ["comp"], "node", classes).select("node", "class_id", "class_size")
+    return spread(sig, often, ["node"], "row", named).select("doc_id", "class_id", "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

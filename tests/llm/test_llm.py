@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossa.llm import ann, chat, hamming, licenses, mixing, near_dedup, packing, personal, quality, registry, sharding
-from glossa.llm.base import connected_components, forest_roots, merged, table
+from glossa.llm.base import any_frequent, connected_components, forest_roots, merged, spread, table
 from glossa.llm.shingles import counted
 
 R = random.Random(11)
@@ -171,6 +171,30 @@ def test_a_group_without_one_centre(spark):
     assert sorted(map(sorted, got.values()), key=str) == classes(rows)
 
 
+def test_a_table_without_frequent_keys_broadcasts_none(spark, monkeypatch):
+    """Small tables have no frequent key; joins that would deal them out cost the driver a broadcast each."""
+    hints, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: hints.append(df) or broadcast(df))
+    rows = [(k, " ".join([*NEAR[: 60 + k % 3], f"z{k % 5}", *NEAR[60:]])) for k in range(40)]
+    got = collections.defaultdict(list)
+    for x in near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[x["class_id"]].append(x["doc_id"])
+    assert sorted(map(sorted, got.values()), key=str) == classes(rows)
+    assert not hints
+
+
+def test_joins_on_frequent_keys(spark):
+    rows = spark.createDataFrame([(k, 0 if k < 600 else None if k < 900 else k) for k in range(2000)], "id long, key long")
+    other = spark.createDataFrame([(0, "a"), (None, "b"), (1500, "c")], "key long, v string")
+    hot = any_frequent(rows, ["key"])
+    assert {r["key"]: r["_parts"] for r in hot.collect()} == {0: 3, None: 2}
+    assert any_frequent(rows.where("id < 256"), ["key"]) is None and any_frequent(rows.limit(0), ["key"]) is None
+    for how in ("inner", "left"):
+        for h in (hot, None):
+            got = spread(rows, h, ["key"], "id", other, how)
+            assert got.columns == ["key", "id", "v"] and sorted(map(str, got.collect())) == sorted(map(str, rows.join(other, "key", how).collect()))
+
+
 def test_one_doc_id_for_different_texts(spark):
     other = " ".join(R.choices(WORDS, k=90))
     docs = spark.createDataFrame([(5, BODY, 1), (5, other, 2), (9, BODY, 3), (None, BODY, 4), (None, "lone", 5), (None, "lone", 6), (7, other, 7), (5, BODY, 1)], "doc_id long, text string, node int")
