@@ -541,6 +541,19 @@ def test_ann_recall(spark):
     assert np.mean(hit) >= 0.95
 
 
+def test_ann_queries_unlike_the_rows(spark):
+    """Rows in clusters want few lists, the queries among them, without structure, want many."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((50, 32))[r.integers(0, 50, 4000)] + 0.05 * r.standard_normal((4000, 32))
+    x[::20] = r.standard_normal((200, 32))
+    v = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for row in ann.nearest(v, v.where("vec_id % 20 = 0")).collect():
+        found[row["query_id"]].add(row["vec_id"])
+    hit = [len({k for k in np.argsort(-(x @ x[q])) if k != q and (x @ x[q])[k] >= np.sort(np.delete(x @ x[q], q))[-20]} & found[q]) / 20 for q in range(0, 4000, 200)]
+    assert np.mean(hit) >= 0.95 and min(hit) >= 0.5
+
+
 # --- personal data
 
 
