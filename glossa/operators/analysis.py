@@ -26,7 +26,7 @@ def attributed(sents: DataFrame, alerts: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy(key, "sentence_idx").agg(of("SEGMENT").alias("merges_resolved"), of("SPELL").alias("spelling_corrections"))
 
 
-def analysed(passages: DataFrame, key: str, tagged: DataFrame, grammar: DataFrame, train: DataFrame | lm.Tables, alerts: DataFrame | None = None, text: str = "text") -> DataFrame:
+def analysed(passages: DataFrame, key: str, tagged: DataFrame | tagging.Counts, grammar: DataFrame, train: DataFrame | lm.Tables, alerts: DataFrame | None = None, text: str = "text") -> DataFrame:
     """(key, sentence_idx, sentence_text, pcfg_status, pcfg_logp, pcfg_tree, bigram_logp, trigram_logp, chosen_method,
     final_verdict, merges_resolved, spelling_corrections) for every sentence with a word of passages(key, text)."""
     sents = numbered_sentences(passages, key, text)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 MOST = 5_000_000  # rows of a model that may be collected and broadcast
+FEW = 500_000  # keys that are broadcast to a larger table, so that only its rows with these keys are shuffled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,12 @@ def collected(df: DataFrame, most: int = MOST) -> list:
     return rows.collect()
 
 
+def narrowed(rows: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key is among those asked for; up to FEW keys are broadcast, so ``rows`` are not shuffled."""
+    keys = stored(asked.select(*on).distinct())
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, on, "left_semi")
+
+
 def state_of(spark: SparkSession, path: str) -> tuple:
     """What tells one content of a folder or file from another: its size and its last change."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

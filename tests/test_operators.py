@@ -216,3 +216,11 @@ def test_stream_equals_replay(spark, tmp_path):
     q = editor.live_alerts(stream, language).writeStream.format("memory").queryName("alerts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(str, spark.sql("select * from alerts").collect())) == replay
+
+
+def test_long_sentences_are_tagged_as_short_ones(spark):
+    """A sentence of 3,000 words: the decoder copies no path, and its words' scores are joined once for each word."""
+    tagged = spark.createDataFrame([([("a", "X"), ("b", "Y"), ("a", "Y")],), ([("b", "X"), ("B", "Y")],)], "tokens array<struct<form:string,tag:string>>")
+    words = ["a", "b", "B"] * 1000
+    got = tagging.viterbi(spark.createDataFrame([(words,)], "w array<string>"), tagged).first()["tags"]
+    assert got == tagging.Decoder(tagged).decode(words) and len(got) == 3000
