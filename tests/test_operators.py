@@ -218,6 +218,14 @@ def test_stream_equals_replay(spark, tmp_path):
     assert sorted(map(str, spark.sql("select * from alerts").collect())) == replay
 
 
+def test_corruption_tries_deletions_before_replacements(spark):
+    vocab = ["gull", "ull", "gul", "tide", "ide", "tie", "abc", "bc", "ac", "ab", "aaa", "aa", "baa"]
+    known = set(vocab)
+    got = {r["w"]: r["wrong"] for r in spelling.corrupted(spark.createDataFrame([(w,) for w in vocab], "w string")).collect()}
+    tries = lambda w: [w[:i] + w[i + 1 :] for i in range(len(w))] + [w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in T.LETTERS]
+    assert got == {w: next(x for x in tries(w) if x not in known) for w in vocab if len(w) > 2}
+
+
 def test_long_sentences_are_tagged_as_short_ones(spark):
     """A sentence of 3,000 words: the decoder copies no path, and its words' scores are joined once for each word."""
     tagged = spark.createDataFrame([([("a", "X"), ("b", "Y"), ("a", "Y")],), ([("b", "X"), ("B", "Y")],)], "tokens array<struct<form:string,tag:string>>")
