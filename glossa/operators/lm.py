@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .corpus import narrowed, stored
+
 OPEN, CLOSE = "<s>", "</s>"
 LAMBDAS = (0.60, 0.25, 0.14, 0.01)
 
@@ -70,6 +72,24 @@ class Tables:
         """(w1, w2, w3, c)."""
         return self.keep(counts(self.sents, 3, 2))
 
+    def some_words(self, asked: DataFrame) -> DataFrame:
+        """The rows of ``marked`` of words asked(w)."""
+        return narrowed(self.marked, asked, ["w"])
+
+    def some_pairs(self, asked: DataFrame) -> DataFrame:
+        """The rows of ``pairs`` asked for, (w1, w2); if the table is not made, only these are counted."""
+        return self._some("pairs", asked, 2, 1)
+
+    def some_triples(self, asked: DataFrame) -> DataFrame:
+        """As ``some_pairs``."""
+        return self._some("triples", asked, 3, 2)
+
+    def _some(self, name: str, asked: DataFrame, n: int, opened: int) -> DataFrame:
+        keys = [f"w{k + 1}" for k in range(n)]
+        if name in self.__dict__:
+            return narrowed(self.__dict__[name], asked, keys)
+        return narrowed(self.sents.select(F.inline(grams(n, opened))), asked, keys).groupBy(*keys).agg(F.count("*").alias("c"))
+
 
 def tables(train: DataFrame | Tables) -> Tables:
     return train if isinstance(train, Tables) else Tables(train)
@@ -93,10 +113,10 @@ def relative_frequencies(train: DataFrame | Tables) -> DataFrame:
 
 def addk_scores(pairs: DataFrame, train: DataFrame | Tables, k: float = 0.05) -> DataFrame:
     """Adds ln((c(w1,w2) + k) / (c(w1) + k V)) to rows with w1 and w2."""
-    t = tables(train)
+    t, pairs = tables(train), stored(pairs)
     size = F.broadcast(t.marked.agg(F.count("*").alias("v")))
-    left = t.marked.select(F.col("w").alias("w1"), F.col("c").alias("c1"))
-    out = pairs.join(t.pairs, ["w1", "w2"], "left").join(left, "w1", "left").join(size)
+    left = t.some_words(pairs.select(F.col("w1").alias("w"))).select(F.col("w").alias("w1"), F.col("c").alias("c1"))
+    out = pairs.join(t.some_pairs(pairs), ["w1", "w2"], "left").join(left, "w1", "left").join(size)
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.withColumn("logp", F.ln((zero("c") + k) / (zero("c1") + k * F.col("v")))).drop("c", "c1", "v")
 
@@ -113,16 +133,18 @@ def addk_row_scores(pairs: DataFrame, train: DataFrame | Tables, k: float = 0.01
 
 def interpolated_scores(triples: DataFrame, train: DataFrame | Tables, lambdas: tuple = LAMBDAS) -> DataFrame:
     """Adds the interpolated log-probability of w3 after w1 and w2; words outside the vocabulary pay by their length."""
-    m = tables(train)
-    tri, bi, uni = m.triples, m.pairs, m.closed
+    m, triples = tables(train), stored(triples)
+    both = F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))
+    tri, bi = m.some_triples(triples), stored(m.some_pairs(triples.select(F.inline(both))))
+    some, uni = stored(m.some_words(triples.select(F.explode(F.array("w2", "w3")).alias("w")))), m.closed
     all_ = F.broadcast(uni.agg(F.sum("c").alias("t"), F.count(F.when(F.col("w") != CLOSE, 1)).alias("v")))
     out = triples.join(tri.withColumnRenamed("c", "c3"), ["w1", "w2", "w3"], "left")
     out = out.join(bi.select("w1", "w2", F.col("c").alias("c12")), ["w1", "w2"], "left")
     out = out.join(bi.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("c").alias("c23")), ["w2", "w3"], "left")
     # Every word and every opening mark begins one pair.
-    context = m.marked.where(F.col("w") != CLOSE).select(F.col("w").alias("w2"), F.col("c").alias("x2"))
+    context = some.where(F.col("w") != CLOSE).select(F.col("w").alias("w2"), F.col("c").alias("x2"))
     out = out.join(context, "w2", "left")
-    out = out.join(uni.select(F.col("w").alias("w3"), F.col("c").alias("c3u")), "w3", "left").join(all_)
+    out = out.join(some.where(F.col("w") != OPEN).select(F.col("w").alias("w3"), F.col("c").alias("c3u")), "w3", "left").join(all_)
     part = lambda a, b: F.coalesce(F.try_divide(F.coalesce(a, F.lit(0)), b), F.lit(0.0))
     a, b, c, d = lambdas
     p = a * part("c3", "c12") + b * part("c23", "x2") + c * part("c3u", F.col("t")) + d / F.col("v")
